@@ -1,0 +1,62 @@
+"""Intermediate tables in the shared folder of the cluster.
+
+A table that many reports read is computed once, written as Parquet and read back: the
+file keeps column pruning and filter pushdown, survives the loss of executors and cuts
+the lineage.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from forecast_duel.settings import Settings
+from forecast_duel.sources.parquet_table import read_parquet, write_parquet
+
+CHECKPOINT_SETTING = "spark.checkpoint.dir"
+
+_folders: dict[str, str] = {}
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder every executor can write to, one per application; ``None`` if there is none.
+
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, only a local
+    session gets a temporary folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        root = spark.conf.get(CHECKPOINT_SETTING, None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                return None
+            root = tempfile.mkdtemp(prefix="forecast-duel-")
+        _folders[app] = f"{root.rstrip('/')}/forecast-duel-{app}-{uuid.uuid4().hex[:8]}"
+    return _folders[app]
+
+
+def stored_series(
+    spark: SparkSession,
+    name: str,
+    build: Callable[[], DataFrame],
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """The comparison table ``name``, built once per application.
+
+    Without a shared folder the plan itself is returned and every report recomputes it.
+    """
+    folder = shared_folder(spark)
+    if folder is None:
+        return build()
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _tables:
+        path = f"{folder}/series-{len(_tables)}"
+        series = build()
+        # A run that died half-way left files behind; its retry replaces them.
+        write_parquet(series, path, mode="overwrite")
+        _tables[key] = read_parquet(spark, path, settings, schema=series.schema)
+    return _tables[key]
