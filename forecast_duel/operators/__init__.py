@@ -1,0 +1 @@
+"""Reports as DataFrame transformations; none of them runs a job."""

@@ -91,7 +91,7 @@ def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataF
         .agg(F.count("*").alias("N"))
     )
     return (
-        share_within(counts, "ID_CLIENT", s, "PCT")
+        share_within(counts, ["ID_CLIENT"], s, "PCT")
         .select("ID_CLIENT", s.exclusion_reason, "N", "PCT")
         .orderBy(*label_order(s), *most_frequent(s.exclusion_reason))
     )

@@ -34,12 +34,12 @@ def most_frequent(*values: str) -> list[Column]:
     return [F.col("N").desc(), *(F.col(v).asc_nulls_last() for v in values)]
 
 
-def share_within(counts: DataFrame, group: str, s: Settings, name: str) -> DataFrame:
-    """Add the share of ``N`` in its group. ``group`` is a client column or label."""
-    whole = counts.groupBy(group).agg(F.sum("N").alias("whole"))
+def share_within(counts: DataFrame, group: list[str], s: Settings, name: str, part: str = "N") -> DataFrame:
+    """Add the share of ``part`` in its group, a client with at most a few fixed codes."""
+    whole = counts.groupBy(*group).agg(F.sum(part).alias("whole"))
     return (
         counts.join(small(whole, s), group)
-        .withColumn(name, percent(F.col("N"), F.col("whole")))
+        .withColumn(name, percent(F.col(part), F.col("whole")))
         .drop("whole")
     )
 
@@ -49,7 +49,7 @@ def distribution_by_client(rows: DataFrame, column: str, s: Settings, share_name
     counts = rows.groupBy("ID_CLIENT", column).agg(F.count("*").alias("N"))
     labelled = add_total(counts, [column], ["N"])
     return (
-        share_within(labelled, "ID_CLIENT", s, share_name)
+        share_within(labelled, ["ID_CLIENT"], s, share_name)
         .filter(F.col(column).isNotNull())
         .select("ID_CLIENT", column, "N", share_name)
         .orderBy(*label_order(s), *most_frequent(column))

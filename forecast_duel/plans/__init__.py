@@ -1,0 +1,8 @@
+"""From a comparison table to named reports, stored tables and published blocks."""
+
+from forecast_duel.plans.blocks import write_blocks
+from forecast_duel.plans.catalogue import BLOCKS, REPORTS
+from forecast_duel.plans.comparison import Comparison
+from forecast_duel.plans.storage import shared_folder, stored_series
+
+__all__ = ["BLOCKS", "REPORTS", "Comparison", "shared_folder", "stored_series", "write_blocks"]
