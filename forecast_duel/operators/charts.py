@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
 from forecast_duel.operators.coverage import coverage_by_client
-from forecast_duel.operators.metrics import totals, weighted_wape
+from forecast_duel.operators.metrics import weighted_wape
 from forecast_duel.settings import TIE, TOTAL, Settings
 
 # The histogram's clip and number of bins.
@@ -15,7 +15,7 @@ CLIP = 100.0
 BINS = 40
 
 
-def chart_winners(metrics: DataFrame, s: Settings) -> DataFrame:
+def chart_winners(totals: DataFrame, s: Settings) -> DataFrame:
     """Bars in fixed order; a method without wins has none, series without winner do not count."""
     decided = F.col("comparable") - F.col("no_winner")
     bars = [
@@ -25,24 +25,23 @@ def chart_winners(metrics: DataFrame, s: Settings) -> DataFrame:
         )
     ]
     return (
-        totals(metrics)
-        .select(F.inline(F.array(*bars)))
+        totals.select(F.inline(F.array(*bars)))
         .filter(F.col("N") > 0)
         .select("ORDEN", "METODO", "N", percent(F.col("N"), F.col("whole")).alias("PCT"))
     )
 
 
-def chart_wape(metrics: DataFrame, s: Settings) -> DataFrame:
+def chart_wape(totals: DataFrame, s: Settings) -> DataFrame:
     base, challenger, _ = weighted_wape()
     bars = [
         F.struct(F.lit(i).alias("ORDEN"), F.lit(name).alias("METODO"), (value * 100).alias("WAPE_PCT"))
         for i, (name, value) in enumerate([(s.base, base), (s.challenger, challenger)], start=1)
     ]
-    return totals(metrics).select(F.inline(F.array(*bars)))
+    return totals.select(F.inline(F.array(*bars)))
 
 
-def chart_coverage(metrics: DataFrame, s: Settings) -> DataFrame:
-    return coverage_by_client(metrics, s).filter(F.col("ID_CLIENT") != TOTAL).select("ID_CLIENT", "PCT_COMPARABLES")
+def chart_coverage(by_label: DataFrame, s: Settings) -> DataFrame:
+    return coverage_by_client(by_label, s).filter(F.col("ID_CLIENT") != TOTAL).select("ID_CLIENT", "PCT_COMPARABLES")
 
 
 def improvement_histogram(comparable_rows: DataFrame, s: Settings) -> DataFrame:

@@ -48,11 +48,9 @@ def on_spine(rows: DataFrame, s: Settings, label: str = "ID_CLIENT", total: bool
 
 def spine_of(spark: SparkSession, s: Settings, label: str, total: bool) -> DataFrame:
     """The labels in one partition, so that sorting a join with them needs no shuffle."""
-    if total:
-        names, kind = s.labels, "string"
-    else:
-        names, kind = list(s.clients), "long"
-    return spark.createDataFrame(list(enumerate(names)), f"position int, {label} {kind}").coalesce(1)
+    names, kind = (s.labels, "string") if total else (list(s.clients), "bigint")
+    listed = F.array(*(F.lit(n) for n in names)).cast(f"array<{kind}>")
+    return spark.range(0, 1, 1, 1).select(F.posexplode(listed).alias("position", label))
 
 
 def label_order(s: Settings, label: str = "ID_CLIENT") -> list[Column]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecast_duel.operators.clients import add_total, label_order, on_spine
+from forecast_duel.operators.clients import label_order
 from forecast_duel.operators.distribution import (
     distribution_by_client, most_frequent, share_within, value_counts,
 )
-from forecast_duel.operators.metrics import share, totals, zero_if_absent
+from forecast_duel.operators.metrics import share, zero_if_absent
 from forecast_duel.operators.universe import is_excluded, is_not_comparable
 from forecast_duel.settings import COMPARABLE, TOTAL, Settings
 
@@ -26,14 +26,9 @@ STATUS_MEANING = [
 ]
 
 
-def totals_on_spine(metrics: DataFrame, s: Settings) -> DataFrame:
-    names = [c for c in metrics.columns if c != "ID_CLIENT"]
-    return on_spine(add_total(metrics, [], names), s)
-
-
-def coverage_by_client(metrics: DataFrame, s: Settings) -> DataFrame:
+def coverage_by_client(by_label: DataFrame, s: Settings) -> DataFrame:
     candidates, comparable = zero_if_absent("candidates"), zero_if_absent("comparable")
-    return totals_on_spine(metrics, s).select(
+    return by_label.select(
         "ID_CLIENT",
         candidates.alias("SERIES_CANDIDATAS"),
         comparable.alias("SERIES_COMPARABLES"),
@@ -44,9 +39,9 @@ def coverage_by_client(metrics: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def coverage_wide(metrics: DataFrame, s: Settings) -> DataFrame:
+def coverage_wide(by_label: DataFrame, s: Settings) -> DataFrame:
     """Share of the candidates in each state, one row per client."""
-    return totals_on_spine(metrics, s).select(
+    return by_label.select(
         "ID_CLIENT",
         zero_if_absent("candidates").alias("SERIES_CANDIDATAS"),
         zero_if_absent("comparable").alias("SERIES_COMPARABLES"),
@@ -105,10 +100,10 @@ def excluded_flag_distribution(candidate_rows: DataFrame, s: Settings) -> DataFr
     return value_counts(candidate_rows, s.excluded_flag)
 
 
-def exclusion_reconciliation(metrics: DataFrame, s: Settings) -> DataFrame:
+def exclusion_reconciliation(totals: DataFrame, s: Settings) -> DataFrame:
     """Exclusions by status and by flag; the gap is hidden behind a status of higher rank."""
     by_status, by_flag = F.col("status_excluded"), F.col("excluded")
-    return totals(metrics).select(
+    return totals.select(
         by_status.alias(f"N_COMPARISON_STATUS_{s.challenger}_EXCLUDED"),
         by_flag.alias(f"N_{s.excluded_flag}_1"),
         (by_flag - by_status).alias("DIFERENCIA"),

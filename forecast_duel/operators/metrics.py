@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import all_null, percent, ratio, relative_improvement
+from forecast_duel.operators.clients import add_total, on_spine
 from forecast_duel.operators.universe import is_comparable, is_excluded, won_by
 from forecast_duel.settings import TIE, Settings
 
@@ -55,14 +56,22 @@ def metrics_by_client(candidate_rows: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def metrics_by_label(metrics: DataFrame, s: Settings) -> DataFrame:
+    """The metrics of TOTAL and each configured client; TOTAL sums the client rows."""
+    return on_spine(add_total(metrics, [], metric_names(metrics)), s)
+
+
+def metric_names(metrics: DataFrame) -> list[str]:
+    return [c for c in metrics.columns if c != "ID_CLIENT"]
+
+
 def zero_if_absent(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def totals(metrics: DataFrame) -> DataFrame:
+def metric_totals(metrics: DataFrame) -> DataFrame:
     """One row, also for no input; counts and sums of nothing are 0."""
-    names = [c for c in metrics.columns if c != "ID_CLIENT"]
-    return metrics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    return metrics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in metric_names(metrics)))
 
 
 def weighted_wape() -> tuple[Column, Column, Column]:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.metrics import totals
 from forecast_duel.schema import KEY
 from forecast_duel.settings import Settings
 
@@ -31,8 +30,8 @@ def duplicate_rows(candidate_rows: DataFrame) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def data_quality_checks(candidate_rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    figures = totals(metrics).withColumn("duplicates", duplicate_rows(candidate_rows).scalar())
+def data_quality_checks(candidate_rows: DataFrame, totals: DataFrame) -> DataFrame:
+    figures = totals.withColumn("duplicates", duplicate_rows(candidate_rows).scalar())
     checks = [
         F.struct(F.lit(name).alias("CHECK"), F.col(count).alias("N_FILAS_AFECTADAS"), F.col(rows).alias("DENOMINADOR"))
         for name, count, rows in CHECKS
@@ -45,5 +44,5 @@ def data_quality_checks(candidate_rows: DataFrame, metrics: DataFrame) -> DataFr
     )
 
 
-def issue_count(candidate_rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    return data_quality_checks(candidate_rows, metrics).agg(F.count_if(F.col("ESTADO") == FAILED).alias("N_REVISAR"))
+def issue_count(candidate_rows: DataFrame, totals: DataFrame) -> DataFrame:
+    return data_quality_checks(candidate_rows, totals).agg(F.count_if(F.col("ESTADO") == FAILED).alias("N_REVISAR"))

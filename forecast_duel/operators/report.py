@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import format_count, format_percent
-from forecast_duel.operators.coverage import totals_on_spine
-from forecast_duel.operators.metrics import share, totals, weighted_wape, zero_if_absent
+from forecast_duel.operators.metrics import share, weighted_wape, zero_if_absent
 from forecast_duel.operators.statistics import GROUP, win_label, win_stats
 from forecast_duel.settings import Settings
 
 IMPROVES, NOT_IMPROVED, UNDEFINED = "IMPROVES", "NOT_IMPROVED", "UNDEFINED"
 
 
-def verdict(comparable_rows: DataFrame, metrics: DataFrame, s: Settings) -> DataFrame:
+def verdict(comparable_rows: DataFrame, totals: DataFrame, s: Settings) -> DataFrame:
     """Does the challenger improve the forecast? One row with the figures the answer quotes."""
     base, challenger, improvement = weighted_wape()
     answer = (
@@ -30,8 +29,7 @@ def verdict(comparable_rows: DataFrame, metrics: DataFrame, s: Settings) -> Data
         F.struct(*(quoted(s.challenger, n) for n in ("median", "mean", "p25", "p75")), quoted(s.base, "median"))
     ).scalar()
     return (
-        totals(metrics)
-        .withColumn("quotes", quotes)
+        totals.withColumn("quotes", quotes)
         .select(
             answer.alias("VEREDICTO"),
             (base * 100).alias(f"{s.base}_WAPE_PCT"),
@@ -52,11 +50,11 @@ def verdict(comparable_rows: DataFrame, metrics: DataFrame, s: Settings) -> Data
     )
 
 
-def formatted_kpis(metrics: DataFrame, s: Settings) -> DataFrame:
+def formatted_kpis(by_label: DataFrame, s: Settings) -> DataFrame:
     """Coverage and error figures per client as the report prints them."""
     candidates, comparable = zero_if_absent("candidates"), zero_if_absent("comparable")
     base, challenger, improvement = weighted_wape()
-    return totals_on_spine(metrics, s).select(
+    return by_label.select(
         "ID_CLIENT",
         format_count(candidates).alias("SERIES_CANDIDATAS"),
         format_count(comparable).alias("SERIES_COMPARABLES"),

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
 from forecast_duel.operators.clients import on_spine
-from forecast_duel.operators.coverage import totals_on_spine
 from forecast_duel.operators.distribution import (
     distribution_by_client, most_frequent, sum_of, value_counts,
 )
-from forecast_duel.operators.metrics import share, totals, weighted_wape, zero_if_absent
+from forecast_duel.operators.metrics import share, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
 from forecast_duel.settings import Settings
 
@@ -29,9 +28,9 @@ def finalist_distribution(comparable_rows: DataFrame, s: Settings) -> DataFrame:
     return value_counts(comparable_rows, s.finalist)
 
 
-def win_summary(metrics: DataFrame, s: Settings, method: str) -> DataFrame:
+def win_summary(totals: DataFrame, s: Settings, method: str) -> DataFrame:
     wins = wins_of(s, method)
-    return totals(metrics).select(
+    return totals.select(
         F.col(wins).alias(f"N_SERIES_GANA_{method}"),
         share(wins, "comparable").alias("PCT_SOBRE_COMPARABLES"),
         F.col("comparable").alias("N_SERIES_COMPARABLES_TOTAL"),
@@ -49,9 +48,9 @@ def wins_by_client(metrics: DataFrame, s: Settings, method: str) -> DataFrame:
     )
 
 
-def wape_impact(metrics: DataFrame, s: Settings) -> DataFrame:
+def wape_impact(by_label: DataFrame, s: Settings) -> DataFrame:
     base, challenger, improvement = weighted_wape()
-    return totals_on_spine(metrics, s).select(
+    return by_label.select(
         "ID_CLIENT",
         zero_if_absent("comparable").alias("N_SERIES_COMPARABLES"),
         base.alias(f"{s.base}_WAPE_GLOBAL"),
@@ -60,11 +59,11 @@ def wape_impact(metrics: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def global_summary(metrics: DataFrame, s: Settings) -> DataFrame:
+def global_summary(totals: DataFrame, s: Settings) -> DataFrame:
     """The executive row. A comparable series without winner counts in the shares."""
     base, challenger, improvement = weighted_wape()
     names = F.lit("*" if s.clients is None else ", ".join(str(c) for c in s.clients))
-    return totals(metrics).select(
+    return totals.select(
         names.alias("CLIENTES_ANALIZADOS"),
         F.col("candidates").alias("SERIES_CANDIDATAS_TOTAL"),
         F.col("comparable").alias("SERIES_COMPARABLES_TOTAL"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from forecast_duel.plans.catalogue import BLOCKS
+from forecast_duel.plans.catalogue import BLOCKS, Block
 from forecast_duel.plans.comparison import Comparison
 
 # Fixed value: note of a block without rows.
@@ -13,25 +15,33 @@ NO_DATA = "(sin datos)"
 INDEX_SCHEMA = "ORDEN int, HOJA string, BLOQUE string, TITULO string, N_FILAS long, NOTA string"
 
 
-def write_blocks(comparison: Comparison, folder: str, file_format: str = "parquet") -> DataFrame:
+def write_blocks(
+    comparison: Comparison, folder: str, file_format: str = "parquet", parallel: int = 4
+) -> DataFrame:
     """Write each block to ``folder/block=NAME`` and return the index of the document.
 
     A block without rows is written with its schema and marked in the index. Rows are
     counted while they are written. The aggregate that most blocks share is one row per
-    client and stays cached meanwhile.
+    client and stays cached meanwhile. Blocks do not depend on each other, so ``parallel``
+    of them run at a time and fill the cluster while the last tasks of another finish.
     """
+
+    def write(numbered: tuple[int, Block]) -> tuple:
+        position, block = numbered
+        written = Observation()
+        rows = comparison.report(block.report).observe(written, F.count("*").alias("n"))
+        writer = rows.write.mode("overwrite")
+        if file_format == "csv":
+            writer = writer.option("header", True).option("escape", '"')
+        writer.format(file_format).save(f"{folder}/block={block.report}")
+        n = written.get["n"]
+        return position, block.sheet, block.report, block.title, n, None if n else NO_DATA
+
     shared = comparison.metrics.persist()
     try:
-        index = []
-        for position, block in enumerate(BLOCKS, start=1):
-            written = Observation()
-            rows = comparison.report(block.report).observe(written, F.count("*").alias("n"))
-            writer = rows.write.mode("overwrite")
-            if file_format == "csv":
-                writer = writer.option("header", True).option("escape", '"')
-            writer.format(file_format).save(f"{folder}/block={block.report}")
-            n = written.get["n"]
-            index.append((position, block.sheet, block.report, block.title, n, None if n else NO_DATA))
+        shared.count()
+        with ThreadPoolExecutor(parallel) as pool:
+            index = list(pool.map(write, enumerate(BLOCKS, start=1)))
     finally:
         shared.unpersist()
     return comparison.series.sparkSession.createDataFrame(index, INDEX_SCHEMA)

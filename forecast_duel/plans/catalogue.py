@@ -21,8 +21,12 @@ def over_comparables(build) -> Report:
     return lambda c: build(c.comparables, c.settings)
 
 
-def over_metrics(build) -> Report:
-    return lambda c: build(c.metrics, c.settings)
+def over_labels(build) -> Report:
+    return lambda c: build(c.by_label, c.settings)
+
+
+def over_totals(build) -> Report:
+    return lambda c: build(c.totals, c.settings)
 
 
 REPORTS: dict[str, Report] = {
@@ -31,26 +35,26 @@ REPORTS: dict[str, Report] = {
     "comparables": lambda c: c.comparables,
     "ml_improvement_by_series": over_candidates(universe.improvement_by_series),
     # coverage
-    "coverage_by_client": over_metrics(coverage.coverage_by_client),
-    "coverage_wide": over_metrics(coverage.coverage_wide),
+    "coverage_by_client": over_labels(coverage.coverage_by_client),
+    "coverage_wide": over_labels(coverage.coverage_wide),
     "status_distribution": over_candidates(coverage.status_distribution),
     "status_with_meaning": over_candidates(coverage.status_with_meaning),
     "exclusion_reasons": over_candidates(coverage.exclusion_reasons),
     "exclusion_reasons_by_client": over_candidates(coverage.exclusion_reasons_by_client),
     "scp_no_output_reasons": over_candidates(coverage.no_output_reasons),
     "excluded_flag_distribution": over_candidates(coverage.excluded_flag_distribution),
-    "exclusion_reconciliation": over_metrics(coverage.exclusion_reconciliation),
+    "exclusion_reconciliation": over_totals(coverage.exclusion_reconciliation),
     # performance
-    "global_summary": over_metrics(winners.global_summary),
+    "global_summary": over_totals(winners.global_summary),
     "winner_distribution": over_comparables(winners.winner_distribution),
     "finalist_distribution": over_comparables(winners.finalist_distribution),
-    "wape_impact": over_metrics(winners.wape_impact),
+    "wape_impact": over_labels(winners.wape_impact),
     "ml_improvement_stats": over_comparables(statistics.improvement_stats),
-    "ml_win_summary": lambda c: winners.win_summary(c.metrics, c.settings, c.settings.challenger),
+    "ml_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.challenger),
     "ml_win_improvement_stats": lambda c: statistics.win_stats(c.comparables, c.settings, c.settings.challenger),
     "ml_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.challenger),
     "ml_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.challenger),
-    "scp_win_summary": lambda c: winners.win_summary(c.metrics, c.settings, c.settings.base),
+    "scp_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.base),
     "scp_win_improvement_stats": lambda c: statistics.win_stats(c.comparables, c.settings, c.settings.base),
     "scp_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.base),
     "scp_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.base),
@@ -60,15 +64,15 @@ REPORTS: dict[str, Report] = {
     "top_ml_improvements": over_comparables(ranking.top_improvements),
     "top_ml_underperformance": over_comparables(ranking.top_underperformance),
     # data quality
-    "data_quality_checks": lambda c: quality.data_quality_checks(c.candidates, c.metrics),
-    "dq_issue_count": lambda c: quality.issue_count(c.candidates, c.metrics),
+    "data_quality_checks": lambda c: quality.data_quality_checks(c.candidates, c.totals),
+    "dq_issue_count": lambda c: quality.issue_count(c.candidates, c.totals),
     # figures and text
-    "chart_winners": over_metrics(charts.chart_winners),
-    "chart_wape": over_metrics(charts.chart_wape),
-    "chart_coverage": over_metrics(charts.chart_coverage),
+    "chart_winners": over_totals(charts.chart_winners),
+    "chart_wape": over_totals(charts.chart_wape),
+    "chart_coverage": over_labels(charts.chart_coverage),
     "improvement_histogram": over_comparables(charts.improvement_histogram),
-    "verdict": lambda c: report.verdict(c.comparables, c.metrics, c.settings),
-    "formatted_kpis": over_metrics(report.formatted_kpis),
+    "verdict": lambda c: report.verdict(c.comparables, c.totals, c.settings),
+    "formatted_kpis": over_labels(report.formatted_kpis),
 }
 
 

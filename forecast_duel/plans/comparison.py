@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from forecast_duel.operators import metrics as m
 from forecast_duel.operators import universe
 from forecast_duel.settings import Settings
+from forecast_duel.sources.parquet_table import conform
 
 
 class Comparison:
@@ -27,6 +28,11 @@ class Comparison:
         universe.require_rows(self.series, self.settings)
         return self
 
+    @classmethod
+    def of(cls, table: DataFrame, settings: Settings = Settings()) -> Comparison:
+        """Evaluate a table that does not come from this package's sources: validate it first."""
+        return cls(conform(table, settings), settings)
+
     @cached_property
     def candidates(self) -> DataFrame:
         return universe.candidates(self.series, self.settings)
@@ -37,8 +43,19 @@ class Comparison:
 
     @cached_property
     def metrics(self) -> DataFrame:
+        """One row of additive figures per client present."""
         return m.metrics_by_client(self.candidates, self.settings)
 
+    @cached_property
+    def by_label(self) -> DataFrame:
+        """The same figures for TOTAL and each configured client, in report order."""
+        return m.metrics_by_label(self.metrics, self.settings)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """The same figures over all clients, one row."""
+        return m.metric_totals(self.metrics)
+
     def report(self, name: str) -> DataFrame:
         from forecast_duel.plans.catalogue import REPORTS
 

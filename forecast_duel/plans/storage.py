@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _folders[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table this application writes and reads."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that every executor can write to")
+    return f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def stored_series(
     spark: SparkSession,
     name: str,
@@ -49,14 +57,12 @@ def stored_series(
 
     Without a shared folder the plan itself is returned and every report recomputes it.
     """
-    folder = shared_folder(spark)
-    if folder is None:
+    if shared_folder(spark) is None:
         return build()
     key = (spark.sparkContext.applicationId, name)
     if key not in _tables:
-        path = f"{folder}/series-{len(_tables)}"
+        path = scratch_path(spark, "series")
         series = build()
-        # A run that died half-way left files behind; its retry replaces them.
-        write_parquet(series, path, mode="overwrite")
+        write_parquet(series, path)
         _tables[key] = read_parquet(spark, path, settings, schema=series.schema)
     return _tables[key]

@@ -14,6 +14,9 @@ def local_session(cores: int | str = "*", name: str = "forecast_duel") -> SparkS
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Plans are built from many small expressions; recording a call site for each costs more
+        # than the queries do on small data.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
