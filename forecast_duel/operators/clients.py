@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecast_duel.settings import TOTAL, Settings
+from forecast_duel.settings import LONG_LIST, TOTAL, Settings
 
 
 def small(df: DataFrame, s: Settings) -> DataFrame:
@@ -49,6 +49,8 @@ def on_spine(rows: DataFrame, s: Settings, label: str = "ID_CLIENT", total: bool
 def spine_of(spark: SparkSession, s: Settings, label: str, total: bool) -> DataFrame:
     """The labels in one partition, so that sorting a join with them needs no shuffle."""
     names, kind = (s.labels, "string") if total else (list(s.clients), "bigint")
+    if len(names) > LONG_LIST:
+        return spark.createDataFrame(list(enumerate(names)), f"position int, {label} {kind}").coalesce(1)
     listed = F.array(*(F.lit(n) for n in names)).cast(f"array<{kind}>")
     return spark.range(0, 1, 1, 1).select(F.posexplode(listed).alias("position", label))
 

@@ -10,6 +10,9 @@ TIE = "TIE"
 # Label of the row that covers every client.
 TOTAL = "TOTAL"
 
+# Client lists beyond this length travel as a small table instead of as literals.
+LONG_LIST = 1000
+
 
 @dataclass(frozen=True)
 class Settings:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from forecast_duel import BLOCKS, REPORTS, Comparison, write_blocks
 from forecast_duel.plans import shared_folder, stored_series
+from forecast_duel.sources.retail_series import monthly_quantities
 
 FOLDER = f"{TESTDATA}/sf0.001"
 ALL = list(entry.queries())
@@ -114,6 +115,36 @@ def test_hot_client_and_hot_customer(spark, tmp_path):
         assert differences(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) == []
 
 
+def test_lines_of_a_hot_order_are_split(spark):
+    """One order with most lines: the join splits its partition, the customer sum combines first."""
+    lines = spark.range(200_000).select(
+        F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("l_orderkey"),
+        (F.xxhash64("id") % 50).cast("double").alias("l_quantity"),
+        F.timestamp_add("DAY", -(F.col("id") % 900).cast("int"), F.lit("2001-11-04").cast("timestamp")).alias("l_shipdate"),
+    )
+    orders = spark.range(200_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5000).alias("o_custkey"))
+    tuned = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    before = {k: spark.conf.get(k) for k in tuned}
+    try:
+        for k, v in tuned.items():
+            spark.conf.set(k, v)
+        months = monthly_quantities(lines.repartition(16), orders)
+        total = months.agg(F.sum("q1"), F.count("*"))
+        found = total.collect()
+        plan = physical(total)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan or "skewed" in plan
+    expected = lines.filter("l_shipdate >= '2001-10-01' AND l_shipdate < '2001-11-01'").agg(F.sum("l_quantity")).first()[0]
+    assert found[0][0] == expected
+
+
 @pytest.mark.parametrize("file_format", ["parquet", "json", "csv"])
 def test_blocks_are_written_with_an_index(spark, compare, tmp_path, file_format):
     c = compare({}, {"ID_CLIENT": 2})

@@ -235,6 +235,14 @@ def test_other_methods_and_windows_pick_other_columns():
     assert "HISTORY_M4" not in names
 
 
+def test_long_client_list(compare):
+    c = compare({}, {"ID_CLIENT": 1500}, {"ID_CLIENT": 9999}, clients=tuple(range(1, 2001)))
+    rows = c.report("coverage_by_client").collect()
+    assert [r.ID_CLIENT for r in rows] == ["TOTAL", *(str(i) for i in range(1, 2001))]
+    assert (rows[0].SERIES_CANDIDATAS, rows[1500].SERIES_CANDIDATAS) == (2, 1)
+    assert [r.N for r in c.report("status_distribution").collect()] == [2, 1, 1]
+
+
 def test_all_clients_and_batches(compare):
     rows = ({}, {"ID_CLIENT": 30, "ID_BATCH": "2"}, {"ID_CLIENT": 4}, {"ID_CLIENT": None})
     c = compare(*rows, clients=None)
