@@ -1,7 +1,7 @@
 """Descriptive statistics with exact percentiles on any number of rows.
 
-``percentile`` keeps every distinct value of a group in one task. Here the wanted ranks
-are found by counting: the values are counted in coarse slots of a fixed monotone scale,
+``percentile`` keeps every distinct value of a group in one task, so it is used only for
+tables that are known to be short. Otherwise the wanted ranks are found by counting: the values are counted in coarse slots of a fixed monotone scale,
 a running total shows which slots hold the wanted ranks, and only the rows of those slots
 are counted again, in finer slots and at last by value. Each count is summed on the map
 side and shuffled by slot, so no task holds a group: a running total sees at most the
@@ -10,6 +10,8 @@ slots of one coarser slot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,27 @@ GROUP = "GRUPO"
 COARSE, FINE = 2**6, 2**22
 
 
-def describe(values: DataFrame, approx: bool = False, few_groups: bool = True) -> DataFrame:
+# Rows up to which one task may hold all values of a group.
+FEW_ROWS = 500_000
+
+
+def describe(
+    values: DataFrame, approx: bool = False, few_groups: bool = True, rows: int | None = None
+) -> DataFrame:
     """Statistics of the non-null ``value`` per ``GRUPO``; a group without any has no row.
 
-    ``few_groups`` states that the number of groups is bounded by the caller.
+    ``few_groups`` states that the number of groups is bounded by the caller, ``rows`` is
+    an upper bound of the number of values, ``None`` if unknown.
     """
     values = values.filter(F.col("value").isNotNull())
-    return approximate(values) if approx else exact(values, few_groups)
+    if approx:
+        return in_one_pass(values, F.percentile_approx)
+    if rows is not None and rows <= FEW_ROWS:
+        return in_one_pass(values, F.percentile)
+    return by_counting(values, few_groups)
 
 
-def approximate(values: DataFrame) -> DataFrame:
+def in_one_pass(values: DataFrame, percentiles: Callable[[str, Column], Column]) -> DataFrame:
     fractions = F.array(*(F.lit(f) for f in FRACTIONS.values()))
     return (
         values.groupBy(GROUP)
@@ -45,14 +58,14 @@ def approximate(values: DataFrame) -> DataFrame:
             F.avg("value").alias("mean"),
             F.min("value").alias("min"),
             F.max("value").alias("max"),
-            F.percentile_approx("value", fractions).alias("q"),
+            percentiles("value", fractions).alias("q"),
         )
         .withColumns({name: F.col("q")[i] for i, name in enumerate(FRACTIONS)})
         .select(GROUP, *STATISTICS)
     )
 
 
-def exact(values: DataFrame, few_groups: bool) -> DataFrame:
+def by_counting(values: DataFrame, few_groups: bool) -> DataFrame:
     hint = F.broadcast if few_groups else (lambda df: df)
     slotted = values.select(GROUP, "value", slot(COARSE).alias("coarse"), slot(FINE).alias("fine"))
 
@@ -126,15 +139,15 @@ def interpolated(fraction: float) -> Column:
 # -- reports --------------------------------------------------------------------
 
 
-def improvement_stats(comparable_rows: DataFrame, s: Settings) -> DataFrame:
+def improvement_stats(comparable_rows: DataFrame, s: Settings, rows: int | None = None) -> DataFrame:
     """Statistics of the row improvement for TOTAL and each client."""
     labels = F.array(F.lit(TOTAL), client_label(F.col("ID_CLIENT"), F.lit(False)))
     values = comparable_rows.select(F.explode(labels).alias(GROUP), F.col(s.improvement).alias("value"))
-    stats = describe(values, s.approx, few_groups=s.clients is not None)
+    stats = describe(values, s.approx, few_groups=s.clients is not None, rows=rows)
     return on_spine(stats, s, label=GROUP).withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def win_stats(comparable_rows: DataFrame, s: Settings, *methods: str) -> DataFrame:
+def win_stats(comparable_rows: DataFrame, s: Settings, *methods: str, rows: int | None = None) -> DataFrame:
     """Statistics of the improvement where a method wins, one row per method.
 
     The challenger's wins are measured by the winner's improvement, the base's by the row
@@ -145,8 +158,9 @@ def win_stats(comparable_rows: DataFrame, s: Settings, *methods: str) -> DataFra
     values = comparable_rows.filter(F.col(s.winner).isin(list(methods))).select(
         label.alias(GROUP), value.alias("value")
     )
-    stats = describe(values, s.approx)
-    spine = comparable_rows.sparkSession.createDataFrame([(win_label(m),) for m in methods], f"{GROUP} string")
+    stats = describe(values, s.approx, rows=rows)
+    labels = F.array(*(F.lit(win_label(m)) for m in methods))
+    spine = comparable_rows.sparkSession.range(0, 1, 1, 1).select(F.explode(labels).alias(GROUP))
     return spine.join(F.broadcast(stats), GROUP, "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

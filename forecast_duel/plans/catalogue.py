@@ -29,6 +29,10 @@ def over_totals(build) -> Report:
     return lambda c: build(c.totals, c.settings)
 
 
+def win_stats(c: Comparison, method: str) -> DataFrame:
+    return statistics.win_stats(c.comparables, c.settings, method, rows=c.rows)
+
+
 REPORTS: dict[str, Report] = {
     # universes
     "candidates": lambda c: c.candidates,
@@ -49,13 +53,13 @@ REPORTS: dict[str, Report] = {
     "winner_distribution": over_comparables(winners.winner_distribution),
     "finalist_distribution": over_comparables(winners.finalist_distribution),
     "wape_impact": over_labels(winners.wape_impact),
-    "ml_improvement_stats": over_comparables(statistics.improvement_stats),
+    "ml_improvement_stats": lambda c: statistics.improvement_stats(c.comparables, c.settings, c.rows),
     "ml_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.challenger),
-    "ml_win_improvement_stats": lambda c: statistics.win_stats(c.comparables, c.settings, c.settings.challenger),
+    "ml_win_improvement_stats": lambda c: win_stats(c, c.settings.challenger),
     "ml_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.challenger),
     "ml_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.challenger),
     "scp_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.base),
-    "scp_win_improvement_stats": lambda c: statistics.win_stats(c.comparables, c.settings, c.settings.base),
+    "scp_win_improvement_stats": lambda c: win_stats(c, c.settings.base),
     "scp_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.base),
     "scp_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.base),
     "win_profiles_by_client": over_comparables(profiles.win_profiles_by_client),
@@ -71,7 +75,7 @@ REPORTS: dict[str, Report] = {
     "chart_wape": over_totals(charts.chart_wape),
     "chart_coverage": over_labels(charts.chart_coverage),
     "improvement_histogram": over_comparables(charts.improvement_histogram),
-    "verdict": lambda c: report.verdict(c.comparables, c.totals, c.settings),
+    "verdict": lambda c: report.verdict(c.comparables, c.totals, c.settings, c.rows),
     "formatted_kpis": over_labels(report.formatted_kpis),
 }
 

@@ -16,12 +16,14 @@ class Comparison:
     """Lazy view on a series-comparison table.
 
     Nothing runs before a report is read, except for ``require_rows``. Every report scans
-    the table for its own columns only, so keep the table in Parquet.
+    the table for its own columns only, so keep the table in Parquet. ``rows`` is an upper
+    bound of the table's length if one is known; it allows cheaper plans for short tables.
     """
 
-    def __init__(self, series: DataFrame, settings: Settings = Settings()):
+    def __init__(self, series: DataFrame, settings: Settings = Settings(), rows: int | None = None):
         self.series = series
         self.settings = settings
+        self.rows = rows
 
     def require_rows(self) -> Comparison:
         """Fail early if the configured clients have no row at all; runs one limited job."""
@@ -29,9 +31,9 @@ class Comparison:
         return self
 
     @classmethod
-    def of(cls, table: DataFrame, settings: Settings = Settings()) -> Comparison:
+    def of(cls, table: DataFrame, settings: Settings = Settings(), rows: int | None = None) -> Comparison:
         """Evaluate a table that does not come from this package's sources: validate it first."""
-        return cls(conform(table, settings), settings)
+        return cls(conform(table, settings), settings, rows)
 
     @cached_property
     def candidates(self) -> DataFrame:

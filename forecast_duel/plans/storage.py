@@ -10,8 +10,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from forecast_duel.settings import Settings
 from forecast_duel.sources.parquet_table import read_parquet, write_parquet
@@ -19,7 +21,14 @@ from forecast_duel.sources.parquet_table import read_parquet, write_parquet
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _folders: dict[str, str] = {}
-_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+class Stored(NamedTuple):
+    table: DataFrame
+    rows: int | None
+
+
+_tables: dict[tuple[str, str], Stored] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -52,17 +61,20 @@ def stored_series(
     name: str,
     build: Callable[[], DataFrame],
     settings: Settings = Settings(),
-) -> DataFrame:
-    """The comparison table ``name``, built once per application.
+) -> Stored:
+    """The comparison table ``name``, built once per application, and its number of rows.
 
-    Without a shared folder the plan itself is returned and every report recomputes it.
+    Without a shared folder the plan itself is returned, of unknown length, and every
+    report recomputes it.
     """
     if shared_folder(spark) is None:
-        return build()
+        return Stored(build(), None)
     key = (spark.sparkContext.applicationId, name)
     if key not in _tables:
         path = scratch_path(spark, "series")
         series = build()
-        write_parquet(series, path)
-        _tables[key] = read_parquet(spark, path, settings, schema=series.schema)
+        written = Observation()
+        write_parquet(series.observe(written, F.count("*").alias("n")), path)
+        table = read_parquet(spark, path, settings, schema=series.schema)
+        _tables[key] = Stored(table, written.get["n"])
     return _tables[key]

@@ -455,5 +455,6 @@ ORACLE_SQL = {
     "series_table": f"WITH {SERIES} SELECT * FROM series",
     "load_comparison": f"WITH {SERIES} SELECT * REPLACE ({AS_TEXT}) FROM series",
     **{name: f"WITH {UNIVERSES} {body}" for name, body in BODIES.items()},
+    "ml_improvement_stats_any_length": f"WITH {UNIVERSES} {BODIES['ml_improvement_stats']}",
     "block_index": f"WITH {UNIVERSES} {block_index()}",
 }
