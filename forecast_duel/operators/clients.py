@@ -11,10 +11,10 @@ from forecast_duel.settings import LONG_LIST, TOTAL, Settings
 def small(df: DataFrame, s: Settings) -> DataFrame:
     """Broadcast a table with at most a few rows per configured client.
 
-    With a client list the size is bounded by that list. Without one the number of
-    clients is unknown and the choice is left to the optimizer.
+    A client list of moderate length bounds the size. Otherwise the choice is left to the
+    optimizer.
     """
-    return df if s.clients is None else F.broadcast(df)
+    return F.broadcast(df) if s.few_clients else df
 
 
 def client_label(client: Column, is_total: Column) -> Column:
@@ -40,7 +40,7 @@ def on_spine(rows: DataFrame, s: Settings, label: str = "ID_CLIENT", total: bool
     spark = rows.sparkSession
     if s.clients is not None:
         spine = spine_of(spark, s, label, total)
-        return spine.join(F.broadcast(rows), label, "left").orderBy("position").drop("position")
+        return spine.join(small(rows, s), label, "left").orderBy("position").drop("position")
     if total:
         rows = spine_of(spark, Settings(clients=()), label, True).join(rows, label, "full").drop("position")
     return rows.orderBy(*label_order(s, label))

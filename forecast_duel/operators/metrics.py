@@ -23,7 +23,7 @@ def additive_metrics(s: Settings) -> dict[str, Column]:
         return F.count_if(comparable & condition)
 
     def volume(column: str) -> Column:
-        return F.sum(F.when(comparable, F.col(column)))
+        return F.sum(F.when(comparable, summand(column, s)))
 
     either_wape_null = F.col(s.wape(s.base)).isNull() | F.col(s.wape(s.challenger)).isNull()
     return {
@@ -50,6 +50,11 @@ def additive_metrics(s: Settings) -> dict[str, Column]:
     }
 
 
+def summand(column: str, s: Settings) -> Column:
+    value = F.col(column)
+    return value if s.sum_scale is None else value.cast(f"decimal(28,{s.sum_scale})")
+
+
 def metrics_by_client(candidate_rows: DataFrame, s: Settings) -> DataFrame:
     return candidate_rows.groupBy("ID_CLIENT").agg(
         *(column.alias(name) for name, column in additive_metrics(s).items())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from forecast_duel.functions import percent
 from forecast_duel.operators.clients import label_order
 from forecast_duel.operators.distribution import most_frequent, share_within, sum_of
-from forecast_duel.operators.metrics import weighted_wape
+from forecast_duel.operators.metrics import summand, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
 from forecast_duel.settings import Settings
 
@@ -85,8 +85,8 @@ def value_by_dimension(comparable_rows: DataFrame, s: Settings) -> DataFrame:
     sums = (
         unpivoted_wins(comparable_rows, s, list(measures.values()))
         .groupBy("GANADOR", "DIMENSION", "VALOR")
-        .agg(F.count("*").alias("N"), *(F.sum(c).alias(name) for name, c in measures.items()))
-        .withColumn("saved", F.coalesce("base_error", F.lit(0)) - F.coalesce("challenger_error", F.lit(0)))
+        .agg(F.count("*").alias("N"), *(F.sum(summand(c, s)).alias(name) for name, c in measures.items()))
+        .withColumn("saved", (zero_if_absent("base_error") - zero_if_absent("challenger_error")).cast("double"))
     )
     base, challenger, improvement = weighted_wape()
     # One denominator per winner and profiled column: twelve rows at most.

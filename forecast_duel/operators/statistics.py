@@ -143,7 +143,7 @@ def improvement_stats(comparable_rows: DataFrame, s: Settings, rows: int | None
     """Statistics of the row improvement for TOTAL and each client."""
     labels = F.array(F.lit(TOTAL), client_label(F.col("ID_CLIENT"), F.lit(False)))
     values = comparable_rows.select(F.explode(labels).alias(GROUP), F.col(s.improvement).alias("value"))
-    stats = describe(values, s.approx, few_groups=s.clients is not None, rows=rows)
+    stats = describe(values, s.approx, few_groups=s.few_clients, rows=rows)
     return on_spine(stats, s, label=GROUP).withColumn("count", F.coalesce("count", F.lit(0)))
 
 

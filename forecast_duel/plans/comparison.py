@@ -58,6 +58,13 @@ class Comparison:
         """The same figures over all clients, one row."""
         return m.metric_totals(self.metrics)
 
+    def create_views(self, prefix: str = "") -> None:
+        """Make every report a temporary view, so that SQL can query it by name."""
+        from forecast_duel.plans.catalogue import REPORTS
+
+        for name in REPORTS:
+            self.report(name).createOrReplaceTempView(prefix + name)
+
     def report(self, name: str) -> DataFrame:
         from forecast_duel.plans.catalogue import REPORTS
 

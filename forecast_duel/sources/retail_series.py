@@ -45,9 +45,10 @@ def monthly_quantities(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """
     month_number = lambda c: F.year(c) * 12 + F.month(c)
     newest = lineitem.agg(month_number(F.max("l_shipdate"))).scalar()
+    age = newest - month_number("l_shipdate")
     lines = lineitem.select(
         "l_orderkey",
-        F.least(newest - month_number("l_shipdate"), F.lit(OLDER)).alias("m"),
+        F.when(age > OLDER, OLDER).otherwise(age).alias("m"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
     owners = orders.select("o_orderkey", "o_custkey")
@@ -56,7 +57,7 @@ def monthly_quantities(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy("o_custkey")
         .agg(
             *(F.expr(f"sum(CASE WHEN m = {i} THEN quantity END) AS q{i}") for i in range(1, OLDER)),
-            F.expr(f"any(m = {OLDER}) AS has_older"),
+            F.expr(f"coalesce(any(m = {OLDER}), false) AS has_older"),
         )
     )
 

@@ -116,6 +116,28 @@ def test_weighted_wape(compare):
     assert [r.WAPE_PCT for r in c.report("chart_wape").collect()] == [20.0, 15.0]
 
 
+def test_decimal_sums_do_not_depend_on_order(compare):
+    errors = [0.1, 0.2, 0.3, 1e9, -1e9 + 0.4] * 20
+    rows = [{"SCP_TOTAL_ABS_ERROR_6M": e, "TOTAL_HISTORY_6M": 1.0} for e in errors]
+    forward, backward = (compare(*r, sum_scale=2) for r in (rows, rows[::-1]))
+    for name in ("wape_impact", "value_by_dimension"):
+        assert forward.report(name).collect() == backward.report(name).collect()
+    assert forward.report("wape_impact").first().SCP_WAPE_GLOBAL == 0.2
+    assert forward.report("wape_impact").dtypes == compare({}).report("wape_impact").dtypes
+
+
+def test_views(spark, compare):
+    compare({}, SCP).create_views("v_")
+    found = spark.sql("SELECT METODO, N FROM v_chart_winners ORDER BY ORDEN").collect()
+    assert [tuple(r) for r in found] == [("ML", 1), ("SCP", 1)]
+
+
+def test_very_long_client_list_is_not_broadcast_by_hint(compare):
+    c = compare({}, {"ID_CLIENT": 15000}, clients=tuple(range(1, 20001)))
+    rows = c.report("ml_wins_by_client").filter("N_COMPARABLES > 0").collect()
+    assert [r.ID_CLIENT for r in rows] == [1, 15000]
+
+
 def test_verdict(compare):
     good = compare({}, SCP).report("verdict").first()
     assert (good.VEREDICTO, good.MEDIANA_MEJORA_ML, good.N_TIE) == ("IMPROVES", 25.0, 0)
