@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forecast_duel.operators.clients import label_order
 from forecast_duel.operators.distribution import (
-    distribution_by_client, most_frequent, share_within, value_counts,
+    distribution_by_client, most_frequent, share_within, shown, value_counts,
 )
 from forecast_duel.operators.metrics import share, zero_if_absent
 from forecast_duel.operators.universe import is_excluded, is_not_comparable
@@ -60,9 +60,11 @@ def status_distribution(candidate_rows: DataFrame, s: Settings) -> DataFrame:
 
 def status_with_meaning(candidate_rows: DataFrame, s: Settings) -> DataFrame:
     """Why candidates are not comparable, over all clients, with an explanation."""
-    meaning = candidate_rows.sparkSession.createDataFrame(
-        STATUS_MEANING, "COMPARISON_STATUS string, SIGNIFICADO string"
-    )
+    texts = F.array(*(
+        F.struct(F.lit(code).alias("COMPARISON_STATUS"), F.lit(text).alias("SIGNIFICADO"))
+        for code, text in STATUS_MEANING
+    ))
+    meaning = candidate_rows.sparkSession.range(0, 1, 1, 1).select(F.inline(texts))
     return (
         status_distribution(candidate_rows, s)
         .filter((F.col("ID_CLIENT") == TOTAL) & (F.col("COMPARISON_STATUS") != COMPARABLE))
@@ -76,7 +78,7 @@ def status_with_meaning(candidate_rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def exclusion_reasons(candidate_rows: DataFrame, s: Settings) -> DataFrame:
-    return value_counts(candidate_rows.filter(is_excluded(s)), s.exclusion_reason)
+    return value_counts(candidate_rows.filter(is_excluded(s)), s.exclusion_reason, s.null_label)
 
 
 def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataFrame:
@@ -87,13 +89,13 @@ def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataF
     )
     return (
         share_within(counts, ["ID_CLIENT"], s, "PCT")
-        .select("ID_CLIENT", s.exclusion_reason, "N", "PCT")
+        .select("ID_CLIENT", shown(s.exclusion_reason, s.null_label), "N", "PCT")
         .orderBy(*label_order(s), *most_frequent(s.exclusion_reason))
     )
 
 
 def no_output_reasons(candidate_rows: DataFrame, s: Settings) -> DataFrame:
-    return value_counts(candidate_rows.filter(is_not_comparable()), s.no_output_reason)
+    return value_counts(candidate_rows.filter(is_not_comparable()), s.no_output_reason, s.null_label)
 
 
 def excluded_flag_distribution(candidate_rows: DataFrame, s: Settings) -> DataFrame:

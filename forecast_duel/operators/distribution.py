@@ -19,12 +19,18 @@ def value_counts(rows: DataFrame, column: str, null_label: str | None = None, dr
     if drop_null:
         rows = rows.filter(F.col(column).isNotNull())
     counts = rows.groupBy(column).agg(F.count("*").alias("N"))
-    shown = F.col(column) if null_label is None else F.coalesce(F.col(column).cast("string"), F.lit(null_label))
     return counts.select(
-        shown.alias(column), "N", percent(F.col("N"), sum_of(counts, "N")).alias("PCT")
+        shown(column, null_label), "N", percent(F.col("N"), sum_of(counts, "N")).alias("PCT")
     ).orderBy(*most_frequent(column))
 
 
+def shown(column: str, null_label: str | None) -> Column:
+    """The column as reported: null, or the text that stands for it."""
+    if null_label is None:
+        return F.col(column)
+    return F.coalesce(F.col(column).cast("string"), F.lit(null_label)).alias(column)
+
+
 def sum_of(counts: DataFrame, name: str) -> Column:
     """Grand total as a scalar subquery; it reuses the shuffle behind ``counts``."""
     return counts.agg(F.sum(name)).scalar()

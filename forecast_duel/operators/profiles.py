@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
 from forecast_duel.operators.clients import label_order
-from forecast_duel.operators.distribution import most_frequent, share_within, sum_of
+from forecast_duel.operators.distribution import most_frequent, share_within, shown, sum_of
 from forecast_duel.operators.metrics import summand, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
 from forecast_duel.settings import Settings
@@ -36,7 +36,8 @@ def win_profile(comparable_rows: DataFrame, s: Settings, winner: str) -> DataFra
     )
     # Every dimension counts every won series once.
     wins = sum_of(counts.filter(F.col("DIMENSION") == dimensions[0]), "N")
-    return counts.withColumn("PCT", percent(F.col("N"), wins)).orderBy(
+    shares = percent(F.col("N"), wins).alias("PCT")
+    return counts.select("DIMENSION", shown("VALOR", s.null_label), "N", shares).orderBy(
         position_of(dimensions), *most_frequent("VALOR")
     )
 
@@ -70,7 +71,7 @@ def win_profiles_by_client(comparable_rows: DataFrame, s: Settings) -> DataFrame
     )
     return (
         share_within(counts, ["GANADOR", "ID_CLIENT", "DIMENSION"], s, "PCT")
-        .select("GANADOR", "ID_CLIENT", "DIMENSION", "VALOR", "N", "PCT")
+        .select("GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N", "PCT")
         .orderBy(F.col("GANADOR"), *label_order(s), *report_order(s)[1:], *most_frequent("VALOR"))
     )
 

@@ -25,6 +25,7 @@ class Settings:
     ``months``, pick the input columns (``SCP_WAPE_6M`` ...). ``approx`` replaces exact
     percentiles by ``percentile_approx``. ``sum_scale`` sums volumes as decimals with that
     many places, so that the result does not depend on the order of addition.
+    ``null_label`` is the text shown for a missing reason, model or class.
     """
 
     clients: tuple[int, ...] | None = None
@@ -35,6 +36,7 @@ class Settings:
     top_n: int = 20
     approx: bool = False
     sum_scale: int | None = None
+    null_label: str | None = None
 
     def __post_init__(self):
         for name in ("clients", "batches"):

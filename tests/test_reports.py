@@ -96,6 +96,15 @@ def test_value_counts_can_drop_or_name_the_null(compare):
     assert [r[0] for r in value_counts(rows, "ML_TYPE", null_label="nan").collect()] == ["Smooth", "nan"]
 
 
+def test_missing_reasons_and_models_can_be_labelled(compare):
+    out = {"HAS_ML_EXCLUDED": 1, **OUT}
+    c = compare(out, {"WINNER_MODEL_6M": None, "HAS_ML_EXCLUDED": 0}, null_label="nan")
+    assert tuple(c.report("exclusion_reasons").first()) == ("nan", 1, 100.0)
+    assert tuple(c.report("exclusion_reasons_by_client").first()) == (1, "nan", 1, 100.0)
+    assert tuple(c.report("scp_no_output_reasons").first()) == ("nan", 1, 100.0)
+    assert tuple(c.report("ml_win_profiles").first()) == ("WINNER_MODEL_6M", "nan", 1, 100.0)
+
+
 def test_wins_over_all_comparables_and_chart_over_decided_ones(compare):
     c = compare({}, {}, SCP, {"WINNER_METHOD_6M": None}, {"WINNER_METHOD_6M": "OTHER"}, {"ID_CLIENT": 2, **SCP})
     assert tuple(c.report("ml_win_summary").first()) == (2, pytest.approx(100 / 3), 6)
