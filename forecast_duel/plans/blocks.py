@@ -16,7 +16,7 @@ INDEX_SCHEMA = "ORDEN int, HOJA string, BLOQUE string, TITULO string, N_FILAS lo
 
 
 def write_blocks(
-    comparison: Comparison, folder: str, file_format: str = "parquet", parallel: int = 4
+    comparison: Comparison, folder: str, file_format: str = "parquet", parallel: int = 8
 ) -> DataFrame:
     """Write each block to ``folder/block=NAME`` and return the index of the document.
 

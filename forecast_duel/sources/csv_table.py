@@ -21,12 +21,13 @@ def read_csv(
 
     Every column is read as text under the header's own names and then selected by
     name, so column order and extra columns do not matter; files whose headers disagree
-    are refused. A text that does not fit the declared type fails the query with the
-    column and the value, in the same pass that reads the file.
+    are refused. Nothing is misread silently: a record with too few or too many fields
+    fails the query, and so does a text that does not fit the declared type, with the
+    column and the value, all in the same pass that reads the file.
 
     ``multi_line`` allows line breaks inside quoted fields, at the price of one task per
-    file. Pass ``False`` for files without such fields and Spark splits each file;
-    a record torn by a line break then fails the read instead of yielding wrong rows.
+    file. Pass ``False`` for files without such fields and Spark splits each file; a
+    record torn by a line break is then one with too few fields.
     """
     raw = (
         spark.read.option("header", True)
@@ -34,7 +35,8 @@ def read_csv(
         .option("escape", '"')
         .option("enforceSchema", False)
         .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # a pruned parser does not count the fields
         .csv(path)
     )
     require_columns(raw, settings)

@@ -45,11 +45,18 @@ def conform(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return df.select(*(column(f) for f in series_schema(settings)))
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_parquet(
+    df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False
+) -> None:
     """Store a comparison table so that later reads prune by batch, client and status.
 
     One directory per batch; rows of a file are sorted by client and status, which gives
-    row groups narrow min/max ranges without another shuffle.
+    row groups narrow min/max ranges without another shuffle. Where the input mixes many
+    batches, every task would write a small file for each: ``rebalance`` shuffles by
+    batch first and leaves it to adaptive execution to split a large batch into several
+    files and to put small ones together.
     """
+    if rebalance:
+        df = df.hint("rebalance", "ID_BATCH")
     order = ["ID_BATCH", "ID_CLIENT", "COMPARISON_STATUS"]
     df.sortWithinPartitions(*order).write.mode(mode).partitionBy("ID_BATCH").parquet(path)

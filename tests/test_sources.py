@@ -60,12 +60,24 @@ def test_quotes_commas_and_line_breaks(spark, tmp_path):
 
 def test_torn_record_fails_without_multi_line(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", [{"VALUE_LEVEL_2": '"two\nlines"'}])
-    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
-        read_csv(spark, path, multi_line=False).collect()
+    for columns in (NAMES, ["ID_CLIENT"]):
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+            read_csv(spark, path, multi_line=False).select(*columns).collect()
     plain = write_csv(tmp_path / "b.csv", [{}, {}])
     assert read_csv(spark, plain, multi_line=False).count() == 2
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("extra", [True, False])
+def test_record_of_the_wrong_length_fails_whatever_is_selected(spark, tmp_path, multi_line, extra):
+    path = write_csv(tmp_path / "a.csv", [{}, {}])
+    lines = (tmp_path / "a.csv").read_text(encoding="utf-8").splitlines()
+    lines[2] = lines[2] + ",1" if extra else lines[2].rsplit(",", 1)[0]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        read_csv(spark, path, multi_line=multi_line).select("ID_CLIENT").collect()
+
+
 def test_every_missing_token_is_null(spark, tmp_path):
     rows = [{"VALUE_LEVEL_1": t, "SCP_WAPE_6M": t, "HAS_ML_EXCLUDED": t, "ID_BATCH": t} for t in NA_TOKENS]
     df = read_csv(spark, write_csv(tmp_path / "a.csv", rows))
@@ -113,6 +125,24 @@ def test_parquet_round_trip_prunes_batches_clients_and_columns(spark, table, tmp
     assert "HISTORY_M1" not in text.split("ReadSchema")[1]
 
 
+def test_rebalanced_write_keeps_every_row_and_few_files(spark, table, tmp_path):
+    rows = table(*({"ID_BATCH": str(i % 5)} for i in range(60))).repartition(12)
+    path = tmp_path / "series"
+    write_parquet(rows, str(path), rebalance=True)
+    assert read_parquet(spark, str(path)).count() == 60
+    assert len(list(path.glob("*/*.parquet"))) == 5
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_byte_order_mark_carriage_returns_blank_lines_and_padded_numbers(spark, tmp_path, multi_line):
+    path = write_csv(tmp_path / "a.csv", [{"SCP_WAPE_6M": " 0.5 ", "VALUE_LEVEL_1": " x"}, {}])
+    text = (tmp_path / "a.csv").read_text(encoding="utf-8").replace("\n", "\r\n\r\n")
+    (tmp_path / "a.csv").write_bytes(("\ufeff" + text).encode("utf-8"))
+    rows = read_csv(spark, path, multi_line=multi_line).collect()
+    assert [(r.ID, r.SCP_WAPE_6M, r.VALUE_LEVEL_1) for r in rows] == [("1", 0.5, " x"), ("1", 0.2, None)]
+    assert rows[0].WINNER_IMPROVEMENT_PCT_6M == 25.0
+
+
 def test_derived_series_have_the_expected_mix(spark):
     df = series_from_retail(spark, "/root/testdata/sf0.001").cache()
     candidates = df.filter("ID_CLIENT IN (10200, 10201, 10202, 10203) AND HAS_BASE_CANDIDATE = 1")
