@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forecast_duel.operators.clients import label_order
 from forecast_duel.operators.distribution import (
-    distribution_by_client, most_frequent, share_within, shown, value_counts,
+    distribution_by_client, most_frequent, number_of_rows, share_within, shown, value_counts,
 )
 from forecast_duel.operators.metrics import share, zero_if_absent
 from forecast_duel.operators.universe import is_excluded, is_not_comparable
@@ -85,7 +85,7 @@ def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataF
     counts = (
         candidate_rows.filter(is_excluded(s))
         .groupBy("ID_CLIENT", s.exclusion_reason)
-        .agg(F.count("*").alias("N"))
+        .agg(number_of_rows(candidate_rows).alias("N"))
     )
     return (
         share_within(counts, ["ID_CLIENT"], s, "PCT")

@@ -10,6 +10,15 @@ from forecast_duel.operators.clients import add_total, label_order, small
 from forecast_duel.settings import Settings
 
 
+# Column of a pre-counted table: how many rows each of its rows stands for.
+ROWS = "ROWS"
+
+
+def number_of_rows(rows: DataFrame) -> Column:
+    """Aggregate that counts rows, also those of a pre-counted table."""
+    return F.sum(ROWS) if ROWS in rows.columns else F.count("*")
+
+
 def value_counts(rows: DataFrame, column: str, null_label: str | None = None, drop_null: bool = False) -> DataFrame:
     """Count and share of each value, most frequent first; null is a value of its own.
 
@@ -18,7 +27,7 @@ def value_counts(rows: DataFrame, column: str, null_label: str | None = None, dr
     """
     if drop_null:
         rows = rows.filter(F.col(column).isNotNull())
-    counts = rows.groupBy(column).agg(F.count("*").alias("N"))
+    counts = rows.groupBy(column).agg(number_of_rows(rows).alias("N"))
     return counts.select(
         shown(column, null_label), "N", percent(F.col("N"), sum_of(counts, "N")).alias("PCT")
     ).orderBy(*most_frequent(column))
@@ -52,7 +61,7 @@ def share_within(counts: DataFrame, group: list[str], s: Settings, name: str, pa
 
 def distribution_by_client(rows: DataFrame, column: str, s: Settings, share_name: str) -> DataFrame:
     """Distribution for TOTAL and each client; null values count only in the denominator."""
-    counts = rows.groupBy("ID_CLIENT", column).agg(F.count("*").alias("N"))
+    counts = rows.groupBy("ID_CLIENT", column).agg(number_of_rows(rows).alias("N"))
     labelled = add_total(counts, [column], ["N"])
     return (
         share_within(labelled, ["ID_CLIENT"], s, share_name)

@@ -59,6 +59,12 @@ def comparables(candidate_rows: DataFrame) -> DataFrame:
     return candidate_rows.filter(is_comparable())
 
 
+def code_counts(candidate_rows: DataFrame, s: Settings) -> DataFrame:
+    """Number of candidates per combination of client and the codes that reports only count."""
+    codes = ["ID_CLIENT", "COMPARISON_STATUS", s.excluded_flag, s.exclusion_reason, s.no_output_reason, s.winner, s.finalist]
+    return candidate_rows.groupBy(*codes).agg(F.count("*").alias("ROWS"))
+
+
 def improvement_by_series(candidate_rows: DataFrame, s: Settings) -> DataFrame:
     """Both WAPE values and the improvement of every candidate."""
     return candidate_rows.select(

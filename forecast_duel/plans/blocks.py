@@ -21,10 +21,12 @@ def write_blocks(
     """Write each block to ``folder/block=NAME`` and return the index of the document.
 
     A block without rows is written with its schema and marked in the index. Rows are
-    counted while they are written. The aggregate that most blocks share is one row per
-    client and stays cached meanwhile. Blocks do not depend on each other, so ``parallel``
-    of them run at a time and fill the cluster while the last tasks of another finish.
+    counted while they are written. The two aggregates that most blocks share, figures
+    per client and counts of all codes, stay cached meanwhile. Blocks do not depend on
+    each other, so ``parallel`` of them run at a time and fill the cluster while the last
+    tasks of another finish.
     """
+    comparison = comparison.sharing_codes()
 
     def write(numbered: tuple[int, Block]) -> tuple:
         position, block = numbered
@@ -37,11 +39,12 @@ def write_blocks(
         n = written.get["n"]
         return position, block.sheet, block.report, block.title, n, None if n else NO_DATA
 
-    shared = comparison.metrics.persist()
+    shared = [comparison.metrics.persist(), comparison.codes.persist()]
     try:
-        shared.count()
         with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(DataFrame.count, shared))
             index = list(pool.map(write, enumerate(BLOCKS, start=1)))
     finally:
-        shared.unpersist()
+        for cached in shared:
+            cached.unpersist()
     return comparison.series.sparkSession.createDataFrame(index, INDEX_SCHEMA)

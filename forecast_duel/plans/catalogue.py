@@ -17,6 +17,14 @@ def over_candidates(build) -> Report:
     return lambda c: build(c.candidates, c.settings)
 
 
+def over_codes(build) -> Report:
+    return lambda c: build(c.codes, c.settings)
+
+
+def over_comparable_codes(build) -> Report:
+    return lambda c: build(universe.comparables(c.codes), c.settings)
+
+
 def over_comparables(build) -> Report:
     return lambda c: build(c.comparables, c.settings)
 
@@ -41,17 +49,17 @@ REPORTS: dict[str, Report] = {
     # coverage
     "coverage_by_client": over_labels(coverage.coverage_by_client),
     "coverage_wide": over_labels(coverage.coverage_wide),
-    "status_distribution": over_candidates(coverage.status_distribution),
-    "status_with_meaning": over_candidates(coverage.status_with_meaning),
-    "exclusion_reasons": over_candidates(coverage.exclusion_reasons),
-    "exclusion_reasons_by_client": over_candidates(coverage.exclusion_reasons_by_client),
-    "scp_no_output_reasons": over_candidates(coverage.no_output_reasons),
-    "excluded_flag_distribution": over_candidates(coverage.excluded_flag_distribution),
+    "status_distribution": over_codes(coverage.status_distribution),
+    "status_with_meaning": over_codes(coverage.status_with_meaning),
+    "exclusion_reasons": over_codes(coverage.exclusion_reasons),
+    "exclusion_reasons_by_client": over_codes(coverage.exclusion_reasons_by_client),
+    "scp_no_output_reasons": over_codes(coverage.no_output_reasons),
+    "excluded_flag_distribution": over_codes(coverage.excluded_flag_distribution),
     "exclusion_reconciliation": over_totals(coverage.exclusion_reconciliation),
     # performance
     "global_summary": over_totals(winners.global_summary),
-    "winner_distribution": over_comparables(winners.winner_distribution),
-    "finalist_distribution": over_comparables(winners.finalist_distribution),
+    "winner_distribution": over_comparable_codes(winners.winner_distribution),
+    "finalist_distribution": over_comparable_codes(winners.finalist_distribution),
     "wape_impact": over_labels(winners.wape_impact),
     "ml_improvement_stats": lambda c: statistics.improvement_stats(c.comparables, c.settings, c.rows),
     "ml_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.challenger),

@@ -24,6 +24,7 @@ class Comparison:
         self.series = series
         self.settings = settings
         self.rows = rows
+        self._codes: DataFrame | None = None
 
     def require_rows(self) -> Comparison:
         """Fail early if the configured clients have no row at all; runs one limited job."""
@@ -43,6 +44,21 @@ class Comparison:
     def comparables(self) -> DataFrame:
         return universe.comparables(self.candidates)
 
+    @property
+    def codes(self) -> DataFrame:
+        """Rows for the reports that only count codes: the candidates, or their shared counts."""
+        return self.candidates if self._codes is None else self._codes
+
+    def sharing_codes(self) -> Comparison:
+        """The same evaluation with one count of all codes behind those reports.
+
+        It pays off if several of them are read and the counts are cached meanwhile; a
+        single report is cheaper without.
+        """
+        shared = Comparison(self.series, self.settings, self.rows)
+        shared._codes = universe.code_counts(shared.candidates, self.settings)
+        return shared
+
     @cached_property
     def metrics(self) -> DataFrame:
         """One row of additive figures per client present."""

@@ -170,6 +170,14 @@ def test_blocks_are_written_with_an_index(spark, compare, tmp_path, file_format)
         assert empty.columns == ["ML_EXCLUSION_REASON", "N", "PCT"] and empty.isEmpty()
 
 
+@pytest.mark.parametrize("name", [
+    "status_distribution", "status_with_meaning", "exclusion_reasons", "exclusion_reasons_by_client",
+    "scp_no_output_reasons", "excluded_flag_distribution", "winner_distribution", "finalist_distribution"])
+def test_shared_counts_give_the_same_reports(spark, con, name):
+    shared = entry.comparison(spark, FOLDER).sharing_codes()
+    assert differences(shared.report(name), con, entry.oracle_sql()[name]) == []
+
+
 def test_stored_series_is_built_once(spark, table):
     calls = []
 
