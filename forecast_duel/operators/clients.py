@@ -55,6 +55,15 @@ def spine_of(spark: SparkSession, s: Settings, label: str, total: bool) -> DataF
     return spark.range(0, 1, 1, 1).select(F.posexplode(listed).alias("position", label))
 
 
+def in_report_order(rows: DataFrame, s: Settings, *then: Column, first: tuple[str, ...] = ()) -> DataFrame:
+    """Sort by ``first``, then by client as configured with TOTAL ahead, then by ``then``."""
+    if s.clients is not None and len(s.clients) > LONG_LIST:
+        spine = small(spine_of(rows.sparkSession, s, "label", True), s)
+        placed = rows.join(spine, F.col("ID_CLIENT").cast("string") == F.col("label")).drop("label")
+        return placed.orderBy(*first, "position", *then).drop("position")
+    return rows.orderBy(*first, *label_order(s), *then)
+
+
 def label_order(s: Settings, label: str = "ID_CLIENT") -> list[Column]:
     name = F.col(label).cast("string")
     if s.clients is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecast_duel.operators.clients import label_order
+from forecast_duel.operators.clients import in_report_order
 from forecast_duel.operators.distribution import (
     distribution_by_client, most_frequent, number_of_rows, share_within, shown, value_counts,
 )
@@ -87,11 +87,10 @@ def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataF
         .groupBy("ID_CLIENT", s.exclusion_reason)
         .agg(number_of_rows(candidate_rows).alias("N"))
     )
-    return (
-        share_within(counts, ["ID_CLIENT"], s, "PCT")
-        .select("ID_CLIENT", shown(s.exclusion_reason, s.null_label), "N", "PCT")
-        .orderBy(*label_order(s), *most_frequent(s.exclusion_reason))
+    shares = share_within(counts, ["ID_CLIENT"], s, "PCT").select(
+        "ID_CLIENT", shown(s.exclusion_reason, s.null_label), "N", "PCT"
     )
+    return in_report_order(shares, s, *most_frequent(s.exclusion_reason))
 
 
 def no_output_reasons(candidate_rows: DataFrame, s: Settings) -> DataFrame:

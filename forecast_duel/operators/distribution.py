@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.clients import add_total, label_order, small
+from forecast_duel.operators.clients import add_total, in_report_order, small
 from forecast_duel.settings import Settings
 
 
@@ -63,9 +63,5 @@ def distribution_by_client(rows: DataFrame, column: str, s: Settings, share_name
     """Distribution for TOTAL and each client; null values count only in the denominator."""
     counts = rows.groupBy("ID_CLIENT", column).agg(number_of_rows(rows).alias("N"))
     labelled = add_total(counts, [column], ["N"])
-    return (
-        share_within(labelled, ["ID_CLIENT"], s, share_name)
-        .filter(F.col(column).isNotNull())
-        .select("ID_CLIENT", column, "N", share_name)
-        .orderBy(*label_order(s), *most_frequent(column))
-    )
+    shares = share_within(labelled, ["ID_CLIENT"], s, share_name).filter(F.col(column).isNotNull())
+    return in_report_order(shares.select("ID_CLIENT", column, "N", share_name), s, *most_frequent(column))

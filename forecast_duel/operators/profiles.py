@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.clients import label_order
+from forecast_duel.operators.clients import in_report_order
 from forecast_duel.operators.distribution import most_frequent, share_within, shown, sum_of
 from forecast_duel.operators.metrics import summand, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
@@ -57,9 +57,8 @@ def unpivoted_wins(comparable_rows: DataFrame, s: Settings, kept: list[str]) ->
     )
 
 
-def report_order(s: Settings) -> list[Column]:
-    every = list(dict.fromkeys(profiled_columns(s, s.challenger) + profiled_columns(s, s.base)))
-    return [F.col("GANADOR"), position_of(every)]
+def position_in_report(s: Settings) -> Column:
+    return position_of(list(dict.fromkeys(profiled_columns(s, s.challenger) + profiled_columns(s, s.base))))
 
 
 def win_profiles_by_client(comparable_rows: DataFrame, s: Settings) -> DataFrame:
@@ -69,11 +68,10 @@ def win_profiles_by_client(comparable_rows: DataFrame, s: Settings) -> DataFrame
         .groupBy("GANADOR", "ID_CLIENT", "DIMENSION", "VALOR")
         .agg(F.count("*").alias("N"))
     )
-    return (
-        share_within(counts, ["GANADOR", "ID_CLIENT", "DIMENSION"], s, "PCT")
-        .select("GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N", "PCT")
-        .orderBy(F.col("GANADOR"), *label_order(s), *report_order(s)[1:], *most_frequent("VALOR"))
+    shares = share_within(counts, ["GANADOR", "ID_CLIENT", "DIMENSION"], s, "PCT").select(
+        "GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N", "PCT"
     )
+    return in_report_order(shares, s, position_in_report(s), *most_frequent("VALOR"), first=("GANADOR",))
 
 
 def value_by_dimension(comparable_rows: DataFrame, s: Settings) -> DataFrame:
@@ -102,5 +100,5 @@ def value_by_dimension(comparable_rows: DataFrame, s: Settings) -> DataFrame:
             challenger.alias(f"{s.challenger}_WAPE"),
             improvement.alias(f"{s.challenger}_IMPROVEMENT_VS_{s.base}_PCT"),
         )
-        .orderBy(*report_order(s), F.col("REDUCCION_ERROR").desc(), F.col("VALOR").asc_nulls_last())
+        .orderBy("GANADOR", position_in_report(s), F.col("REDUCCION_ERROR").desc(), F.col("VALOR").asc_nulls_last())
     )

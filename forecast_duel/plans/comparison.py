@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from forecast_duel.operators import metrics as m
 from forecast_duel.operators import universe
-from forecast_duel.settings import Settings
+from forecast_duel.settings import BROADCAST_LIST, Settings
 from forecast_duel.sources.parquet_table import conform
 
 
@@ -36,6 +37,20 @@ class Comparison:
         """Evaluate a table that does not come from this package's sources: validate it first."""
         return cls(conform(table, settings), settings, rows)
 
+    def with_listed_clients(self) -> Comparison:
+        """Replace "every client present" by their list, if it has a moderate length.
+
+        Runs one job. A known list bounds the tables of a few rows per client, which can
+        then be broadcast instead of shuffling the series to them.
+        """
+        if self.settings.clients is not None:
+            return self
+        present = universe.selected(self.series, self.settings).select("ID_CLIENT").distinct()
+        found = [row.ID_CLIENT for row in present.limit(BROADCAST_LIST + 1).collect()]
+        if len(found) > BROADCAST_LIST:
+            return self
+        return Comparison(self.series, replace(self.settings, clients=tuple(sorted(found))), self.rows)
+
     @cached_property
     def candidates(self) -> DataFrame:
         return universe.candidates(self.series, self.settings)

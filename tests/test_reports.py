@@ -271,7 +271,8 @@ def test_long_client_list(compare):
     rows = c.report("coverage_by_client").collect()
     assert [r.ID_CLIENT for r in rows] == ["TOTAL", *(str(i) for i in range(1, 2001))]
     assert (rows[0].SERIES_CANDIDATAS, rows[1500].SERIES_CANDIDATAS) == (2, 1)
-    assert [r.N for r in c.report("status_distribution").collect()] == [2, 1, 1]
+    assert [tuple(r)[::2] for r in c.report("status_distribution").collect()] == [("TOTAL", 2), ("1", 1), ("1500", 1)]
+    assert [r.ID_CLIENT for r in c.report("win_profiles_by_client").collect()] == [1] * 5 + [1500] * 5
 
 
 def test_all_clients_and_batches(compare):
@@ -281,6 +282,10 @@ def test_all_clients_and_batches(compare):
     assert [r.ID_CLIENT for r in c.report("ml_wins_by_client").collect()] == [1, 4, 30]
     assert [r.GRUPO for r in c.report("ml_improvement_stats").collect()] == ["TOTAL", "1", "4", "30"]
     assert {r.ID_CLIENT for r in c.report("status_distribution").collect()} == {"TOTAL", "1", "4", "30"}
+    listed = c.with_listed_clients()
+    assert listed.settings.clients == (1, 4, 30)
+    for name in ("coverage_by_client", "ml_improvement_stats", "status_distribution", "win_profiles_by_client"):
+        assert listed.report(name).collect() == c.report(name).collect()
     empty = compare({"ID_CLIENT": None}, clients=None)
     assert [tuple(r)[:3] for r in empty.report("coverage_by_client").collect()] == [("TOTAL", 0, 0)]
     assert compare(*rows, batches=("2",), clients=None).candidates.count() == 1
