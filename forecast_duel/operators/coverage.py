@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forecast_duel.operators.clients import in_report_order
 from forecast_duel.operators.distribution import (
-    distribution_by_client, most_frequent, number_of_rows, share_within, shown, value_counts,
+    distribution_by_client, most_frequent, number_of_rows, share_of_client, shown, value_counts,
 )
 from forecast_duel.operators.metrics import share, zero_if_absent
 from forecast_duel.operators.universe import is_excluded, is_not_comparable
@@ -87,7 +87,7 @@ def exclusion_reasons_by_client(candidate_rows: DataFrame, s: Settings) -> DataF
         .groupBy("ID_CLIENT", s.exclusion_reason)
         .agg(number_of_rows(candidate_rows).alias("N"))
     )
-    shares = share_within(counts, ["ID_CLIENT"], s, "PCT").select(
+    shares = share_of_client(counts, s, "PCT").select(
         "ID_CLIENT", shown(s.exclusion_reason, s.null_label), "N", "PCT"
     )
     return in_report_order(shares, s, *most_frequent(s.exclusion_reason))

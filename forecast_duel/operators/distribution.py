@@ -49,12 +49,12 @@ def most_frequent(*values: str) -> list[Column]:
     return [F.col("N").desc(), *(F.col(v).asc_nulls_last() for v in values)]
 
 
-def share_within(counts: DataFrame, group: list[str], s: Settings, name: str, part: str = "N") -> DataFrame:
-    """Add the share of ``part`` in its group, a client with at most a few fixed codes."""
-    whole = counts.groupBy(*group).agg(F.sum(part).alias("whole"))
+def share_of_client(counts: DataFrame, s: Settings, name: str) -> DataFrame:
+    """Add the share of ``N`` in its client; the client sums reuse the shuffle of the counts."""
+    whole = counts.groupBy("ID_CLIENT").agg(F.sum("N").alias("whole"))
     return (
-        counts.join(small(whole, s), group)
-        .withColumn(name, percent(F.col(part), F.col("whole")))
+        counts.join(small(whole, s), "ID_CLIENT")
+        .withColumn(name, percent(F.col("N"), F.col("whole")))
         .drop("whole")
     )
 
@@ -63,5 +63,5 @@ def distribution_by_client(rows: DataFrame, column: str, s: Settings, share_name
     """Distribution for TOTAL and each client; null values count only in the denominator."""
     counts = rows.groupBy("ID_CLIENT", column).agg(number_of_rows(rows).alias("N"))
     labelled = add_total(counts, [column], ["N"])
-    shares = share_within(labelled, ["ID_CLIENT"], s, share_name).filter(F.col(column).isNotNull())
+    shares = share_of_client(labelled, s, share_name).filter(F.col(column).isNotNull())
     return in_report_order(shares.select("ID_CLIENT", column, "N", share_name), s, *most_frequent(column))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.clients import in_report_order
-from forecast_duel.operators.distribution import most_frequent, share_within, shown, sum_of
+from forecast_duel.operators.clients import in_report_order, small
+from forecast_duel.operators.distribution import most_frequent, shown, sum_of
 from forecast_duel.operators.metrics import summand, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
 from forecast_duel.settings import Settings
@@ -34,14 +34,19 @@ def win_profile(comparable_rows: DataFrame, s: Settings, winner: str) -> DataFra
         .groupBy("DIMENSION", "VALOR")
         .agg(F.count("*").alias("N"))
     )
-    # Every dimension counts every won series once.
-    wins = sum_of(counts.filter(F.col("DIMENSION") == dimensions[0]), "N")
+    # Every dimension counts every won series once, so this reuses the shuffle of the counts.
+    wins = sum_of(counts, "N") / len(dimensions)
     shares = percent(F.col("N"), wins).alias("PCT")
     return counts.select("DIMENSION", shown("VALOR", s.null_label), "N", shares).orderBy(
         position_of(dimensions), *most_frequent("VALOR")
     )
 
 
+def won_series(comparable_rows: DataFrame, s: Settings) -> DataFrame:
+    """Series won by either method, with the winner as GANADOR."""
+    return comparable_rows.filter(F.col(s.winner).isin(s.challenger, s.base)).withColumn("GANADOR", F.col(s.winner))
+
+
 def unpivoted_wins(comparable_rows: DataFrame, s: Settings, kept: list[str]) -> DataFrame:
     """Won series of both methods with their profiled columns as (DIMENSION, VALOR) rows."""
     of_challenger = profiled_columns(s, s.challenger)
@@ -50,8 +55,7 @@ def unpivoted_wins(comparable_rows: DataFrame, s: Settings, kept: list[str]) ->
         F.col("DIMENSION").isin(of_base)
     )
     return (
-        comparable_rows.filter(F.col(s.winner).isin(s.challenger, s.base))
-        .withColumn("GANADOR", F.col(s.winner))
+        won_series(comparable_rows, s)
         .unpivot(["GANADOR", *kept], list(dict.fromkeys(of_challenger + of_base)), "DIMENSION", "VALOR")
         .filter(applies)
     )
@@ -68,8 +72,11 @@ def win_profiles_by_client(comparable_rows: DataFrame, s: Settings) -> DataFrame
         .groupBy("GANADOR", "ID_CLIENT", "DIMENSION", "VALOR")
         .agg(F.count("*").alias("N"))
     )
-    shares = share_within(counts, ["GANADOR", "ID_CLIENT", "DIMENSION"], s, "PCT").select(
-        "GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N", "PCT"
+    # The denominator needs no unpivot: every dimension counts each won series once.
+    wins = won_series(comparable_rows, s).groupBy("GANADOR", "ID_CLIENT").agg(F.count("*").alias("wins"))
+    shares = counts.join(small(wins, s), ["GANADOR", "ID_CLIENT"]).select(
+        "GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N",
+        percent(F.col("N"), F.col("wins")).alias("PCT"),
     )
     return in_report_order(shares, s, position_in_report(s), *most_frequent("VALOR"), first=("GANADOR",))
 
@@ -81,17 +88,19 @@ def value_by_dimension(comparable_rows: DataFrame, s: Settings) -> DataFrame:
         "base_error": s.abs_error(s.base),
         "challenger_error": s.abs_error(s.challenger),
     }
+    saved = zero_if_absent("base_error") - zero_if_absent("challenger_error")
+    summed = [F.sum(summand(c, s)).alias(name) for name, c in measures.items()]
     sums = (
         unpivoted_wins(comparable_rows, s, list(measures.values()))
         .groupBy("GANADOR", "DIMENSION", "VALOR")
-        .agg(F.count("*").alias("N"), *(F.sum(summand(c, s)).alias(name) for name, c in measures.items()))
-        .withColumn("saved", (zero_if_absent("base_error") - zero_if_absent("challenger_error")).cast("double"))
+        .agg(F.count("*").alias("N"), *summed)
+        .withColumn("saved", saved.cast("double"))
     )
     base, challenger, improvement = weighted_wape()
-    # One denominator per winner and profiled column: twelve rows at most.
-    whole = F.broadcast(sums.groupBy("GANADOR", "DIMENSION").agg(F.sum("saved").alias("whole")))
+    # One denominator per winner, two rows: every dimension covers the same series.
+    whole = won_series(comparable_rows, s).groupBy("GANADOR").agg(*summed).select("GANADOR", saved.alias("whole"))
     return (
-        sums.join(whole, ["GANADOR", "DIMENSION"])
+        sums.join(F.broadcast(whole), "GANADOR")
         .select(
             "GANADOR", "DIMENSION", "VALOR", "N",
             F.col("saved").alias("REDUCCION_ERROR"),

@@ -87,9 +87,11 @@ def top_winner_models(comparable_rows: DataFrame, s: Settings, n: int = 5) -> Da
         .groupBy(s.winner_model)
         .agg(F.count("*").alias("N"))
     )
+    order = most_frequent(s.winner_model)
+    # The null model is one row, so the wanted ones are among the first n + 1.
+    first = counts.orderBy(*order).limit(n + 1).filter(F.col(s.winner_model).isNotNull())
     return (
-        counts.select(s.winner_model, "N", percent(F.col("N"), sum_of(counts, "N")).alias("PCT"))
-        .filter(F.col(s.winner_model).isNotNull())
-        .orderBy(*most_frequent(s.winner_model))
+        first.select(s.winner_model, "N", percent(F.col("N"), sum_of(counts, "N")).alias("PCT"))
+        .orderBy(*order)
         .limit(n)
     )
