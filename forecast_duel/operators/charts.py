@@ -58,7 +58,9 @@ def improvement_histogram(comparable_rows: DataFrame, s: Settings) -> DataFrame:
     def with_range(df: DataFrame) -> DataFrame:
         return df.withColumn("extent", extent).withColumns({"lo": lo, "hi": hi, "width": (hi - lo) / BINS})
 
-    counts = with_range(values).groupBy(bin_of(F.col("x")).alias("BIN")).agg(F.count("*").alias("N"))
+    guess = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(BINS - 1))
+    placed = with_range(values).withColumn("guess", guess)
+    counts = placed.groupBy(bin_from_guess().alias("BIN")).agg(F.count("*").alias("N"))
     bins = comparable_rows.sparkSession.range(1, BINS + 1, 1, 1).select(F.col("id").alias("BIN"))
     return (
         with_range(bins)
@@ -77,9 +79,9 @@ def edge(i: Column) -> Column:
     return F.when(i == BINS, F.col("hi")).otherwise(F.col("lo") + i * F.col("width"))
 
 
-def bin_of(x: Column) -> Column:
+def bin_from_guess() -> Column:
     """1-based bin by the printed edges: a quotient next to an edge may round to the wrong side."""
-    guess = F.least(F.floor((x - F.col("lo")) / F.col("width")), F.lit(BINS - 1))
+    x, guess = F.col("x"), F.col("guess")
     too_high = (x < edge(guess)).cast("long")
     too_low = ((x >= edge(guess + 1)) & (guess < BINS - 1)).cast("long")
     return guess - too_high + too_low + 1
