@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
+from forecast_duel.llm.packing import pack
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 
 
@@ -68,11 +69,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op7_decontamination": op7_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 

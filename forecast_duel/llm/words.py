@@ -42,9 +42,10 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
-    """The maximal runs of ``inside`` bytes of each text, lower-cased, with a 64-bit code of their bytes."""
-    data = LOWER[data]
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True) -> Words:
+    """The maximal runs of ``inside`` bytes of each text with a 64-bit code of their (lower-cased) bytes."""
+    if lower:
+        data = LOWER[data]
     is_in = inside[data]
     begins = is_in.copy()
     begins[1:] &= ~is_in[:-1]
