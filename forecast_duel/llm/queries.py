@@ -12,6 +12,7 @@ from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
 from forecast_duel.llm.packing import pack
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
+from forecast_duel.llm.secrets import base_spans, scan, spans_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,13 @@ FROM w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(spans_text(base_spans(F.col("spans"))), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +85,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op7_decontamination": op7_decontamination,
+        "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
