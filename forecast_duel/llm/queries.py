@@ -11,6 +11,7 @@ from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
 from forecast_duel.llm.packing import pack
+from forecast_duel.llm.ppm import score_documents
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 from forecast_duel.llm.secrets import base_spans, scan, spans_text
 
@@ -26,6 +27,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "family")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 1)
+    scored = score_documents(docs, "NOT held_out")
+    return scored.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
     found = contamination(search(index, table(spark, sf_dir, "benchmark")))
@@ -84,6 +92,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_lm_scoring": op3_lm_scoring,
         "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
