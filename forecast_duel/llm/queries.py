@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
+from forecast_duel.llm.ngram_join import near_duplicates
 from forecast_duel.llm.packing import pack
 from forecast_duel.llm.ppm import score_documents
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
@@ -27,6 +28,33 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "family")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + least(len(words), 5) - 1], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
+    FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+    SELECT u, v FROM pairs JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+    WHERE 100 * shared >= 75 * (nu.n + nv.n - shared)),
+reach AS (
+    WITH RECURSIVE r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, links.v FROM r JOIN links ON links.u = r.v)
+    SELECT * FROM r)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(v) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.u = d.doc_id
+GROUP BY ALL
+"""
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 1)
     scored = score_documents(docs, "NOT held_out")
@@ -92,6 +120,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_lm_scoring": op3_lm_scoring,
         "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
@@ -102,5 +131,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard": OP2_SQL,
         "op7_decontamination": OP7_SQL,
     }
