@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm"
 
 
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once for each Python worker and kept for its later tasks."""
+    shelf = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in shelf:
+        shelf[name] = make()
+    return shelf[name]
+
+
 def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ each. Equal pieces are interchangeable, so ties have no effect on the number of
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from forecast_duel.llm.common import stored, text_chunks
-from forecast_duel.llm.words import SPACED, words
+from forecast_duel.llm.common import kept, stored, text_chunks
+from forecast_duel.llm.words import PARTED, SPACED, words
 
 CAPACITY = 2048
 #: Nodes of the search tree that a packing may visit; the best plan found so far stands at the end.
 NODE_LIMIT = 30_000
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED_WORDS = 300_000
+#: Words whose ids a Python worker remembers before it starts anew.
+REMEMBERED_WORDS = 1_000_000
 
 Pattern = tuple[int, tuple[int, ...]]  # copies, lengths
 
@@ -41,35 +42,60 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole buffers. The vocabulary drops white space and no token spans it, so each word is encoded once."""
+    """Ids of whole buffers.
 
-    def __init__(self, path: str):
-        import os
+    The vocabulary folds case, drops white space and parts words between letters, digits and other signs. No token
+    spans such a border, so each different part is encoded once.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self.ids_of(b"\x01")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[int, int] = {}
         self.begin, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def encode_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word and their numbers. Words are encoded in strings of several, with a control character between."""
+        flat, sizes = [], []
+        for i in range(0, len(texts), 1024):
+            part = texts[i : i + 1024]
+            whole = b" \x01 ".join(part)
+            if whole.count(b"\x01") == len(part) - 1:
+                ids = self.ids_of(whole)
+                cut = np.flatnonzero(ids == self.between)
+                flat.append(ids[ids != self.between])
+                sizes.append(np.diff(np.r_[-1, cut, len(ids)]) - 1)
+            else:  # a word has the control character itself
+                for text in part:
+                    flat.append(self.ids_of(text))
+                    sizes.append([len(flat[-1])])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def ids_of(self, text: bytes) -> np.ndarray:
+        encoded = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0]
+        return np.array(encoded.ids, np.uint32)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin."""
-        found = words(data, offsets, SPACED, lower=False)
+        raw = data.tobytes()
+        # Parts of words recur more than words do; a special token is no sequence of parts.
+        whole = any(token in raw for token in self.special)
+        found = words(data, offsets, SPACED, lower=not whole, part=None if whole else PARTED)
         codes, at, which = np.unique(found.code, return_index=True, return_inverse=True)
         if len(self.rows) > REMEMBERED_WORDS:
             self.forget()
         keys = codes.tolist()
         new = [i for i, code in enumerate(keys) if code not in self.rows]
         if new:
-            raw = data.tobytes()
-            texts = [raw[found.start[at[i]] : found.end[at[i]]].decode("utf-8", "replace") for i in new]
-            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
+            begins, ends = found.start[at[new]].tolist(), found.end[at[new]].tolist()
+            flat, sizes = self.encode_words([raw[b:e] for b, e in zip(begins, ends)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
             self.ids[self.used : self.used + len(flat)] = flat
@@ -98,7 +124,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     schema = T.StructType(fields)
 
     def run(batches):
-        encoder, shard, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder = kept(f"encoder {path}", lambda: Encoder(path))
+        shard, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch, "text"):
                 ids, first = encoder.encode(data, offsets)

@@ -32,6 +32,21 @@ ALPHANUMERIC[ord("0") : ord("9") + 1] = True
 ALPHANUMERIC[ord("a") : ord("z") + 1] = True
 
 
+def _parted() -> np.ndarray:
+    """Borders between ASCII letters, digits and other signs; an apostrophe stays with the letters after it."""
+    kind = np.zeros(256, np.uint8)  # 0: outside ASCII, never parted from what stands beside it
+    kind[33:127] = 3
+    kind[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+    kind[list(b"0123456789")] = 2
+    a, b = kind[:, None], kind[None, :]
+    cut = (a > 0) & (b > 0) & (a != b)
+    cut[ord("'"), kind == 1] = False
+    return cut.ravel()
+
+
+PARTED = _parted()
+
+
 @dataclass(frozen=True)
 class Words:
     """Words of several texts one after another; text i has the words ``first[i]`` to ``first[i + 1]``."""
@@ -42,8 +57,11 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True) -> Words:
-    """The maximal runs of ``inside`` bytes of each text with a 64-bit code of their (lower-cased) bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True, part: np.ndarray | None = None) -> Words:
+    """The maximal runs of ``inside`` bytes of each text with a 64-bit code of their (lower-cased) bytes.
+
+    ``part`` marks pairs of bytes, the first times 256 plus the second, between which a run is parted.
+    """
     if lower:
         data = LOWER[data]
     is_in = inside[data]
@@ -51,6 +69,10 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool
     begins[1:] &= ~is_in[:-1]
     ends = is_in.copy()
     ends[:-1] &= ~is_in[1:]
+    if part is not None:
+        cut = part[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        begins[1:] |= cut & is_in[1:]
+        ends[:-1] |= cut & is_in[:-1]
     borders = offsets[1:-1]
     borders = borders[(borders > 0) & (borders < len(data))]
     begins[borders] |= is_in[borders]
