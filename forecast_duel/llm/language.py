@@ -151,7 +151,7 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = Window.partitionBy("lang").orderBy("share", "text")
     sample = (
         rows.withColumn("share", share)
-        .join(counts, "lang")
+        .join(F.broadcast(counts), "lang")  # one row a language: as many as the model has classes
         .where(F.col("share") * F.col("count") <= 2.0 * rows_per_language + 20)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= rows_per_language)
