@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forecast_duel.llm import sketch
 from forecast_duel.llm.common import stored, text_chunks
 from forecast_duel.llm.components import components
 from forecast_duel.llm.words import SPACED, mixed, words
@@ -33,9 +34,6 @@ from forecast_duel.llm.words import SPACED, mixed, words
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Counters of the frequency sketch: its size does not depend on the documents.
-SKETCH_BITS = 20
-SLICE = 1 << 14
 #: Groups that shingles are hashed into, the dimensions of the R-tree.
 GROUPS = 128
 LEAF = 16
@@ -205,13 +203,12 @@ def across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
     """(id, text_hash, n_shingles, class) of every row, stored, and the frequency sketch of the shingles."""
-    n_slices = (1 << SKETCH_BITS) // SLICE
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
                            T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
-        sketch, known, last = np.zeros(1 << SKETCH_BITS, np.int32), set(), None
+        often, known, last = sketch.empty(), set(), None
         for batch in batches:
             last, n, name = batch, np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             new = []
@@ -221,36 +218,25 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
                     known.add(name[row])
                     new.append(own)
             if new:
-                sketch += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+                sketch.add(often, np.concatenate(new))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(name), pa.nulls(len(batch), pa.int32()),
                                               pa.nulls(len(batch), pa.binary())], names=schema.names)
         if last is not None:
+            n = sketch.N_SLICES
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n_slices, last.column("id").type), pa.nulls(n_slices, pa.int64()), pa.nulls(n_slices, pa.int64()), pa.nulls(n_slices, pa.int64()),
-                pa.array(np.arange(n_slices, dtype=np.int32)), pa.array([x.tobytes() for x in sketch.reshape(n_slices, SLICE)], pa.binary())],
+                pa.nulls(n, last.column("id").type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *sketch.as_slices(often)],
                 names=schema.names)
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     both = stored(source.mapInArrow(run, schema), "sets")
 
-    def summed(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, counts in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                own = total.setdefault(s, np.zeros(SLICE, np.int64))
-                own += np.frombuffer(counts.as_py(), np.int32)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-    slices = both.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(summed, "slice int, counts binary")
-    sketch = np.zeros((n_slices, SLICE), np.int64)
-    for row in slices.collect():
-        sketch[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return both.where("slice IS NULL").select("id", "text_hash", "n_shingles", "class"), np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
+    counts = sketch.total(both.where("slice IS NOT NULL"))
+    return both.where("slice IS NULL").select("id", "text_hash", "n_shingles", "class"), counts
 
 
-def bucketed(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
+def bucketed(docs: DataFrame, text_col: str, often: np.ndarray) -> DataFrame:
     """(bucket, class): classes that share one of their first shingles; buckets of the same classes are one. Stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def first_shingles(batches):
         counts, known = shared.value, set()
@@ -260,8 +246,8 @@ def bucketed(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
                 if len(own) and (name := class_of(own)) not in known:
                     known.add(name)
                     size = prefix_size(len(own))
-                    often = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    parts.append(own[np.lexsort((own, often))[:size]])
+                    times = counts[sketch.places(own)]
+                    parts.append(own[np.lexsort((own, times))[:size]])
                     names.append(np.full(size, name, np.int64))
             if parts:
                 yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts).view(np.int64), "class": np.concatenate(names)})
@@ -299,9 +285,9 @@ def sets_table(docs: DataFrame, of_class: DataFrame, wanted: DataFrame, text_col
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class and component_id (the smallest id that links reach) of every row."""
-    rows, sketch = measured(docs, id_col, text_col)
+    rows, often = measured(docs, id_col, text_col)
     classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("text_hash").alias("text_hash"))
-    buckets = bucketed(docs, text_col, sketch)
+    buckets = bucketed(docs, text_col, often)
     sets = sets_table(docs, classes, buckets.select("class").distinct(), text_col)
     first = buckets.groupBy("class").agg(F.min("bucket").alias("bucket")).withColumn("label", F.col("class"))
     edges = stored(compared(in_blocks(first), sets), "links")

@@ -14,6 +14,7 @@ from forecast_duel.llm.ngram_join import near_duplicates
 from forecast_duel.llm.packing import pack
 from forecast_duel.llm.ppm import score_documents
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
+from forecast_duel.llm.repeats import removed
 from forecast_duel.llm.secrets import base_spans, scan, spans_text
 
 
@@ -62,6 +63,13 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return removed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
     found = contamination(search(index, table(spark, sf_dir, "benchmark")))
@@ -122,6 +130,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_lm_scoring": op3_lm_scoring,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
