@@ -94,10 +94,8 @@ def in_runs(batches, key: str):
 class Tree:
     """An R-tree over count vectors, bulk-loaded by size and position; nodes keep the largest counts of their points."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+    def __init__(self, points: np.ndarray):
+        self.points, self.sizes = points, points.sum(axis=1)
         order = np.lexsort((*self.points[:, :3].T, self.sizes))
         self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
         self.levels = [(np.stack([self.points[x].max(axis=0) for x in self.leaves]), np.array([self.sizes[x].min() for x in self.leaves]))]
@@ -123,17 +121,23 @@ class Tree:
         rows, bound = rows[ok := bound >= needed(size, self.sizes[rows])], bound[ok]
         return rows[np.argsort(-bound, kind="stable")]
 
-    def linked(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        return int((b[at] == a).sum()) >= needed(len(a), len(b))
+
+def point_of(own: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each group."""
+    return np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The exact rule on two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum()) >= needed(len(a), len(b))
 
 
 def links(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
     """Verified links that join different components: enough of them to join all that the ``ask`` rows link to."""
-    tree = Tree(sets)
+    tree = Tree(np.stack([point_of(s) for s in sets]))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -146,7 +150,7 @@ def links(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, ask: np
     for i in np.flatnonzero(ask):
         for j in tree.candidates(int(i)).tolist():
             a, b = root(int(labels[i])), root(int(labels[j]))
-            if a != b and tree.linked(int(i), j):
+            if a != b and linked(sets[i], sets[j]):
                 parent[max(a, b)] = min(a, b)
                 out.append((int(names[i]), int(names[j])))
     return out
@@ -202,36 +206,40 @@ def across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """(id, text_hash, n_shingles, class) of every row, stored, and the frequency sketch of the shingles."""
+    """(id, text_hash, n_shingles, class, point) of every row, stored, and the frequency sketch of the shingles.
+
+    A task gives the point of a class once.
+    """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
-                           T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+                           T.StructField("point", T.BinaryType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         often, known, last = sketch.empty(), set(), None
         for batch in batches:
             last, n, name = batch, np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            new = []
+            new, point = [], [None] * len(batch)
             for row, own in sets_of(batch):
                 n[row], name[row] = len(own), class_of(own)
-                if name[row] not in known:  # equal sets of a task count once
-                    known.add(name[row])
+                if len(own) and int(name[row]) not in known:  # equal sets of a task count once
+                    known.add(int(name[row]))
                     new.append(own)
+                    point[row] = point_of(own).astype(np.uint32).tobytes()
             if new:
                 sketch.add(often, np.concatenate(new))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(name), pa.nulls(len(batch), pa.int32()),
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(name), pa.array(point, pa.binary()), pa.nulls(len(batch), pa.int32()),
                                               pa.nulls(len(batch), pa.binary())], names=schema.names)
         if last is not None:
             n = sketch.N_SLICES
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, last.column("id").type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *sketch.as_slices(often)],
+                pa.nulls(n, last.column("id").type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), *sketch.as_slices(often)],
                 names=schema.names)
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     both = stored(source.mapInArrow(run, schema), "sets")
 
     counts = sketch.total(both.where("slice IS NOT NULL"))
-    return both.where("slice IS NULL").select("id", "text_hash", "n_shingles", "class"), counts
+    return both.where("slice IS NULL").drop("slice", "counts"), counts
 
 
 def bucketed(docs: DataFrame, text_col: str, often: np.ndarray) -> DataFrame:
@@ -268,26 +276,68 @@ def bucketed(docs: DataFrame, text_col: str, often: np.ndarray) -> DataFrame:
     return stored(rows.mapInArrow(grouped, "bucket long, class long").distinct(), "buckets")
 
 
+def promising(buckets: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` whose class has a partner there that the overlap bound does not rule out. Stored.
+
+    Buckets beyond the size of a block stay as they are; their pairs are bounded when they are compared.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    sized = buckets.join(sizes, "bucket")
+    small = sized.where(F.col("n") <= BLOCK).select("bucket", "class").join(points, "class")
+
+    def search(batches):
+        for table in in_runs(batches, "bucket"):
+            table = table.combine_chunks()
+            key, name = table.column("bucket").to_numpy(), table.column("class").to_numpy()
+            raw = b"".join(table.column("point").to_pylist())
+            at = np.frombuffer(raw, np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[begins, len(key)])
+            keep = np.zeros(len(key), bool)
+            two = begins[sizes == 2]
+            near = np.minimum(at[two], at[two + 1]).sum(axis=1) >= needed(at[two].sum(axis=1), at[two + 1].sum(axis=1))
+            keep[two[near]] = keep[two[near] + 1] = True
+            for b, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                tree = Tree(at[b : b + n])
+                for i in range(n):
+                    if not keep[b + i]:
+                        with_ = tree.candidates(i)
+                        if len(with_) > 1:
+                            keep[b + with_] = True
+            yield pa.RecordBatch.from_pydict({"bucket": key[keep], "class": name[keep]})
+
+    rows = small.select("bucket", "class", "point").repartition("bucket").sortWithinPartitions("bucket")
+    large = sized.where(F.col("n") > BLOCK).select("bucket", "class")
+    return stored(rows.mapInArrow(search, "bucket long, class long").unionByName(large), "promising")
+
+
 def sets_table(docs: DataFrame, of_class: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """(class, shingles) of the ``wanted`` classes, from one document each. Stored."""
+    """(class, shingles) of the ``wanted`` classes. Stored.
+
+    Copies of a text meet in one task, which gives their class once; a class that comes twice would do no harm.
+    """
     def run(batches):
+        known = set()
         for batch in batches:
             names, raw = [], []
             for _, own in sets_of(batch):
-                names.append(class_of(own))
-                raw.append(own.tobytes())
+                if (name := class_of(own)) not in known:
+                    known.add(name)
+                    names.append(name)
+                    raw.append(own.tobytes())
             yield pa.RecordBatch.from_pydict({"class": pa.array(names, pa.int64()), "shingles": pa.array(raw, pa.binary())})
 
     one = of_class.join(wanted, "class", "left_semi").select("text_hash")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(one, "text_hash", "left_semi")
-    return stored(texts.select("text").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"]), "shingles")
+    return stored(texts.select("text").mapInArrow(run, "class long, shingles binary"), "shingles")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class and component_id (the smallest id that links reach) of every row."""
     rows, often = measured(docs, id_col, text_col)
     classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("text_hash").alias("text_hash"))
-    buckets = bucketed(docs, text_col, often)
+    points = rows.where("point IS NOT NULL").groupBy("class").agg(F.first("point").alias("point"))
+    buckets = promising(bucketed(docs, text_col, often), points)
     sets = sets_table(docs, classes, buckets.select("class").distinct(), text_col)
     first = buckets.groupBy("class").agg(F.min("bucket").alias("bucket")).withColumn("label", F.col("class"))
     edges = stored(compared(in_blocks(first), sets), "links")
@@ -296,6 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = buckets.join(labels, "class", "left").select("bucket", F.coalesce("root", "class").alias("label"), "class")
         one = named.groupBy("bucket", "label").agg(F.min("class").alias("class"))
         large = one.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket")
+        if large.isEmpty():
+            break
         new = stored(compared(in_blocks(one.join(large, "bucket", "left_semi")), sets), "links")
         if new.isEmpty():
             break
