@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
+from forecast_duel.llm.neighbours import neighbours
 from forecast_duel.llm.ngram_join import near_duplicates
 from forecast_duel.llm.packing import pack
 from forecast_duel.llm.ppm import score_documents
@@ -70,6 +71,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
     found = contamination(search(index, table(spark, sf_dir, "benchmark")))
@@ -131,6 +136,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
