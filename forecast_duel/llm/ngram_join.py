@@ -333,7 +333,10 @@ def sets_table(docs: DataFrame, of_class: DataFrame, wanted: DataFrame, text_col
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, class and component_id (the smallest id that links reach) of every row."""
+    """id, text_hash, n_shingles, root and component_id (the smallest id that links reach) of every row.
+
+    ``root`` names the component, it is null without shingles.
+    """
     rows, often = measured(docs, id_col, text_col)
     classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("text_hash").alias("text_hash"))
     points = rows.where("point IS NOT NULL").groupBy("class").agg(F.first("point").alias("point"))
@@ -357,7 +360,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = stored(components(edges.unionByName(more)).withColumnRenamed("node", "class"), "labels")
     rooted = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = rooted.select("class", "root").join(smallest, "root").select("class", "component_id")
+    of_class = rooted.select("class", "root").join(smallest, "root").select("class", "root", "component_id")
     joined = rows.join(of_class, "class", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", "class", component.alias("component_id"))
+    return joined.select(F.col("id").alias(id_col), "text_hash", "n_shingles", "root", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, then of the smallest hash of the text."""
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "text_hash", "root")
+    row = F.struct("id", "text_hash")
+    firsts = found.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("row")).select("row.*")
+    stay = firsts.unionByName(found.where("root IS NULL").select("id", "text_hash").distinct())
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay["id"]) & (hashed["_hash"] == stay["text_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")

@@ -16,6 +16,7 @@ from forecast_duel.llm.packing import pack
 from forecast_duel.llm.ppm import score_documents
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 from forecast_duel.llm.repeats import removed
+from forecast_duel.llm.revisits import crawl_of, resolve
 from forecast_duel.llm.secrets import base_spans, scan, spans_text
 
 
@@ -75,6 +76,52 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve(crawl_of(table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.withColumn("headers", F.array_join(entries, ";"))
+
+
+OP6_SQL = r"""
+WITH base AS (SELECT page_id, url, md5(html) AS digest, page_id % 7 AS m FROM pages),
+records AS (
+    SELECT page_id * 8 AS record_id, url, page_id * 10 AS ts, 200 AS status, '"' || digest || '"' AS etag, page_id AS modified,
+        'text/html' AS kind, '0' AS age, digest AS payload FROM base
+    UNION ALL SELECT page_id * 8 + 1, url, page_id * 10 + 1 + page_id % 1000, 304,
+        CASE WHEN m = 0 THEN '"other"' WHEN m = 1 THEN 'W/"' || digest || '"' WHEN m < 4 THEN NULL ELSE '"' || digest || '"' END,
+        CASE WHEN m = 2 THEN page_id END, 'text/plain', '1', NULL FROM base
+    UNION ALL SELECT page_id * 8 + 2, url, page_id * 10 + 500, 200, '"' || md5(digest) || '"', page_id + 1, 'text/html', '2', md5(digest)
+        FROM base WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id * 8 + 3, url, page_id * 10 + 900, 304, '"' || md5(digest) || '"', NULL, 'text/html', '3', NULL
+        FROM base WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id * 8 + 4, url, page_id * 10 - 3, 304, '"' || digest || '"', NULL, 'text/html', '4', NULL
+        FROM base WHERE page_id % 5 = 0),
+parts AS (
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+        regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+        list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS kept
+    FROM records),
+named AS (
+    SELECT *, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS page FROM parts),
+found AS (
+    SELECT *, last_value(CASE WHEN status = 200 THEN {'id': record_id, 'etag': etag, 'modified': modified, 'kind': kind, 'payload': payload} END IGNORE NULLS)
+        OVER (PARTITION BY page ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f
+    FROM named),
+judged AS (
+    SELECT *, CASE WHEN f IS NULL THEN 'no_response'
+        WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+        WHEN modified IS NOT NULL THEN CASE WHEN modified = f.modified THEN 'resolved' ELSE 'mismatch' END
+        ELSE 'unchecked' END AS outcome
+    FROM found WHERE status = 304)
+SELECT record_id, page AS canonical_url, outcome,
+    CASE WHEN outcome IN ('resolved', 'unchecked') THEN f.id END AS response_id,
+    CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'age=' || age || ';content-type=' || f.kind || ';etag=' || coalesce(etag, f.etag) END AS headers,
+    CASE WHEN outcome IN ('resolved', 'unchecked') THEN f.payload END AS payload
+FROM judged
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
     found = contamination(search(index, table(spark, sf_dir, "benchmark")))
@@ -137,6 +184,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_scoring": op3_lm_scoring,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,
+        "op6_warc_revisits": op6_warc_revisits,
         "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
@@ -147,5 +195,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": OP2_SQL,
+        "op6_warc_revisits": OP6_SQL,
         "op7_decontamination": OP7_SQL,
     }

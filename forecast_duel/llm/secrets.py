@@ -103,18 +103,27 @@ def entropy_spans(text: Column) -> Column:
         (m["start"] + m["at"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["at"]["last"]).alias("end")))
 
 
+def spans_by_kind(text: Column) -> dict[str, Column]:
+    assign = F.filter(located(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    return {
+        "assign": as_spans(assign, "assign"), "access": as_spans(located(text, ACCESS), "access"),
+        "hex": as_spans(located(text, HEX), "hex"), "entropy": entropy_spans(text)}
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (empty for null), n_assign, n_access, n_hex, and all spans (start, kind, end) by start and kind."""
+    """id, text (empty for null), n_assign, n_access, n_hex, n_entropy, and all spans (start, kind, end) by start and kind."""
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    text = F.col("_text")
-    assign = F.filter(located(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    found = source.select(
-        id_col, "_text", as_spans(assign, "assign").alias("_assign"),
-        as_spans(located(text, ACCESS), "access").alias("_access"), as_spans(located(text, HEX), "hex").alias("_hex"),
-        entropy_spans(text).alias("_entropy"))
+    found = source.select(id_col, "_text", *(c.alias(f"_{k}") for k, c in spans_by_kind(F.col("_text")).items()))
     return found.select(
         id_col, F.col("_text").alias("text"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
-        F.array_sort(F.concat("_assign", "_access", "_hex", "_entropy")).cast(SPAN).alias("spans"))
+        F.array_sort(F.concat(*(f"_{k}" for k in KINDS))).cast(SPAN).alias("spans"))
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of its texts replaced by a mark; a null text stays null."""
+    spans = F.array_sort(F.concat(*spans_by_kind(F.col(text_col)).values())).cast(SPAN)
+    marked = docs.withColumn("_spans", F.when(F.col(text_col).isNotNull(), spans))
+    return marked.withColumn(text_col, F.when(F.col("_spans").isNotNull(), redacted(F.col(text_col), F.col("_spans"), mark))).drop("_spans")
 
 
 def spans_text(spans: Column) -> Column:
