@@ -3,28 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forecast_duel.llm.common import stored
+from forecast_duel.llm.decontamination import build_index, contamination, search
+from forecast_duel.llm.ngram_join import one_of_each
+from forecast_duel.llm.packing import pack
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
+from forecast_duel.llm.secrets import without_secrets
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    trees = fit_quality(docs.select("doc_id", "text"), labels)
+    trees = fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return score_quality(docs, trees, score_col="_score").where(f"_score >= {THRESHOLD}").drop("_score")
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates: the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that share a twentieth of their words or more with the benchmark's windows."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    index = build_index(docs.select(key.alias("key"), "text"), id_col="key")
+    found = contamination(search(index, table(spark, sf_dir, "benchmark"), id_col="key"))
+    bad = found.where("contaminated").select("key.doc_id", "key.text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts by a mark; every document stays."""
+    return without_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into sequences: one row a piece with its place."""
+    return pack(docs)
+
+
 STAGES = [
-    ("quality", quality_stage),
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
-#: Trained scores and searches over token lists are no SQL; tests hold the stages against brute force.
+#: Trained scores and token ids are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
