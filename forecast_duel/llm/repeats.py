@@ -218,8 +218,10 @@ def repeated_windows(texts: list[np.ndarray], order: np.ndarray, start: np.ndarr
     if not marked:
         return []
     rows = np.concatenate(marked)
+    if not len(rows):
+        return []
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    new = np.r_[True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 1)][: len(rows)]
+    new = np.r_[True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(rows)] - 1
     return list(zip(rows[first, 0].tolist(), rows[first, 1].tolist(), rows[last, 1].tolist()))
@@ -298,7 +300,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             keep = known | open_
             yield from table.set_column(6, "known", pa.array(known)).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    found = source.mapInArrow(find, row_type).repartition("anchor")
+    # Rows that are settled only pass, so they are dealt out evenly; a common anchor leaves few others.
+    found = source.mapInArrow(find, row_type).repartition(F.when(F.col("known"), F.xxhash64("id", "first")).otherwise(F.col("anchor")))
     found = found.sortWithinPartitions("anchor", "block", F.col("id").asc_nulls_last(), "first")
     settled = stored(found.mapInArrow(settle, row_type), "blocks")
 
