@@ -180,6 +180,35 @@ def blocks_of(n: str) -> Column:
     return F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
 
 
+def narrowed(groups: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows of ``groups`` that the overlap bound leaves with a partner of another label.
+
+    Groups that end up with the same rows become one.
+    """
+    rows = groups.join(points, "class").select("key", "class", "label", "ask", "point").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        for table in in_runs(batches, "key"):
+            table = table.combine_chunks()
+            key, name = table.column("key").to_numpy(), table.column("class").to_numpy()
+            label, ask = table.column("label").to_numpy(), table.column("ask").to_numpy()
+            at = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            keep, group = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+            for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(key)]):
+                own, tree = label[b:e], Tree(at[b:e])
+                for i in np.flatnonzero(ask[b:e]).tolist():
+                    other = tree.candidates(i)
+                    other = other[own[other] != own[i]]
+                    if len(other):
+                        keep[b + i] = keep[b + other] = True
+                stay = b + np.flatnonzero(keep[b:e])
+                group[stay] = mixed(mixed(name[stay].view(np.uint64) + ask[stay].astype(np.uint64)).sum(keepdims=True)).view(np.int64)[0] if len(stay) else 0
+            yield pa.RecordBatch.from_pydict({"key": group[keep], "class": name[keep], "label": label[keep], "ask": ask[keep]})
+
+    return rows.mapInArrow(run, "key long, class long, label long, ask boolean").distinct()
+
+
 def in_blocks(members: DataFrame) -> DataFrame:
     """(key, class, label, ask): each bucket's ``members`` (bucket, class, label) dealt out to blocks."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -327,8 +356,16 @@ def sets_table(docs: DataFrame, of_class: DataFrame, wanted: DataFrame, text_col
                     raw.append(own.tobytes())
             yield pa.RecordBatch.from_pydict({"class": pa.array(names, pa.int64()), "shingles": pa.array(raw, pa.binary())})
 
-    one = of_class.join(wanted, "class", "left_semi").select("text_hash")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(one, "text_hash", "left_semi")
+    one = stored(of_class.join(wanted, "class", "left_semi").select("text_hash"), "wanted")
+    # A bitmap of fixed size keeps most of the other texts out of the shuffle; the join decides.
+    shared = docs.sparkSession.sparkContext.broadcast(sketch.members(one, "text_hash"))
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(sketch.may_hold(shared.value, batch.column("text_hash").to_numpy())))
+
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = texts.mapInArrow(likely, "text_hash long, text string").join(one, "text_hash", "left_semi")
     return stored(texts.select("text").mapInArrow(run, "class long, shingles binary"), "shingles")
 
 
@@ -356,7 +393,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         edges = edges.unionByName(new)
         labels = stored(components(edges).withColumnRenamed("node", "class"), "labels")
-    more = stored(compared(across(buckets, labels), sets), "links")
+    more = stored(compared(stored(narrowed(across(buckets, labels), points), "open"), sets), "links")
     roots = stored(components(edges.unionByName(more)).withColumnRenamed("node", "class"), "labels")
     rooted = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))

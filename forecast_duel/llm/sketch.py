@@ -45,3 +45,41 @@ def total(slices: DataFrame) -> np.ndarray:
     for row in slices.select("slice", "counts").repartition("slice").mapInArrow(summed, "slice int, counts binary").collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+
+
+#: Bits of a membership bitmap, 8 MB whatever it holds.
+MEMBER_BITS = 26
+MEMBER_SLICE = 1 << 16
+
+
+def members(codes: DataFrame, column: str) -> np.ndarray:
+    """Packed bits of the places of all codes (long): a code whose bit is not set is not among them."""
+    def run(batches):
+        bits = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+        for batch in batches:
+            place = batch.column(column).to_numpy().view(np.uint64) >> np.uint64(64 - MEMBER_BITS)
+            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        slices = bits.reshape(-1, MEMBER_SLICE)
+        used = np.flatnonzero(slices.any(axis=1))
+        yield pa.RecordBatch.from_pydict({
+            "slice": pa.array(used, pa.int32()), "bits": pa.array([slices[i].tobytes() for i in used], pa.binary())})
+
+    def together(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, bits in zip(batch.column("slice").to_pylist(), batch.column("bits")):
+                own = sums.setdefault(s, np.zeros(MEMBER_SLICE, np.uint8))
+                own |= np.frombuffer(bits.as_py(), np.uint8)
+        yield pa.RecordBatch.from_pydict({
+            "slice": pa.array(list(sums), pa.int32()), "bits": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    out = np.zeros((1 << (MEMBER_BITS - 3)) // MEMBER_SLICE * MEMBER_SLICE, np.uint8).reshape(-1, MEMBER_SLICE)
+    parts = codes.select(column).mapInArrow(run, "slice int, bits binary").repartition("slice").mapInArrow(together, "slice int, bits binary")
+    for row in parts.toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def may_hold(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    place = code.view(np.uint64) >> np.uint64(64 - MEMBER_BITS)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
