@@ -98,14 +98,24 @@ series AS (
   SELECT * REPLACE ("ID" + 1000000000 AS "ID") FROM once WHERE "ID_CONFIGURATION" % 97 = 0
 )"""
 
-UNIVERSES = f"""{SERIES},
+def universes(clients: tuple[int, ...] | None) -> str:
+    """Candidates and comparables of the listed clients, or of all."""
+    if clients is None:
+        chosen = "true"
+        labels = """SELECT 'TOTAL' AS label UNION SELECT CAST("ID_CLIENT" AS VARCHAR) FROM sub"""
+        present = """SELECT DISTINCT "ID_CLIENT" AS client FROM sub"""
+    else:
+        chosen = f'"ID_CLIENT" IN {clients}'
+        labels = "SELECT * FROM (VALUES ('TOTAL'), " + ", ".join(f"('{c}')" for c in clients) + ") AS t(label)"
+        present = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({c} AS BIGINT))" for c in clients) + ") AS t(client)"
+    return f"""{SERIES},
 sub AS (
   SELECT *, ("SCP_WAPE_6M" - "ML_WAPE_6M") / nullif("SCP_WAPE_6M", 0) * 100 AS "ML_IMPROVEMENT_VS_SCP_6M"
-  FROM series WHERE "ID_CLIENT" IN {CLIENTS} AND "HAS_BASE_CANDIDATE" = 1
+  FROM series WHERE {chosen} AND "HAS_BASE_CANDIDATE" = 1
 ),
 comp AS (SELECT * FROM sub WHERE "COMPARISON_STATUS" = 'COMPARABLE'),
-labels AS (SELECT * FROM (VALUES ('TOTAL'), {", ".join(f"('{c}')" for c in CLIENTS)}) AS t(label)),
-clients AS (SELECT * FROM (VALUES {", ".join(f"(CAST({c} AS BIGINT))" for c in CLIENTS)}) AS t(client)),
+labels AS ({labels}),
+clients AS ({present}),
 sub_labelled AS (
   SELECT 'TOTAL' AS label, * FROM sub UNION ALL SELECT CAST("ID_CLIENT" AS VARCHAR) AS label, * FROM sub
 ),
@@ -121,6 +131,9 @@ wape AS (
 )"""
 
 
+UNIVERSES, ALL_CLIENTS = universes(CLIENTS), universes(None)
+
+
 def value_counts(column: str, source: str) -> str:
     return f"""SELECT "{column}", count(*) AS "N", count(*) / sum(count(*)) OVER () * 100 AS "PCT"
         FROM {source} GROUP BY "{column}" """
@@ -198,6 +211,7 @@ def value_by_dimension() -> str:
         FROM ({parts})"""
 
 
+# The columns of the rankings.
 RANKING = ", ".join(
     f'"{c}"'
     for c in [
@@ -271,6 +285,7 @@ COVERAGE_WIDE = f"""SELECT l.label AS "ID_CLIENT", count(s.label) AS "SERIES_CAN
     {status_share("NOT_COMPARABLE_NO_HISTORY", "PCT_NO_HISTORY")}
     FROM labels l LEFT JOIN sub_labelled s ON l.label = s.label GROUP BY l.label"""
 
+# The texts.
 STATUS_WITH_MEANING = """SELECT "COMPARISON_STATUS", count(*) AS "N",
     count(*) / (SELECT count(*) FROM sub) * 100 AS "PCT_SOBRE_CANDIDATAS",
     CASE "COMPARISON_STATUS"
@@ -413,7 +428,8 @@ BODIES = {
     "formatted_kpis": FORMATTED,
 }
 
-# Sheet, block and title in document order.
+# Sheet, block and title in document order. The sheet names.
+RECONCILED = """NOT_COMPARABLE_ML_EXCLUDED solo cuenta las series sin un estado de mayor precedencia; HAS_ML_EXCLUDED = 1 cuenta todas las exclusiones."""
 DOCUMENT = [
     ("01_global_summary", "global_summary", "Executive summary"),
     ("02_client_coverage", "coverage_by_client", "Coverage by client"),
@@ -431,8 +447,11 @@ DOCUMENT = [
     ("08_scp_wins_analysis", "scp_win_improvement_stats", "Improvement where the base wins (negative)"),
     ("08_scp_wins_analysis", "scp_wins_by_client", "Base wins by client"),
     ("08_scp_wins_analysis", "scp_win_profiles", "Models and classes where the base wins"),
+    ("09_exclusions", "status_distribution", "Comparison status, total and by client"),
     ("09_exclusions", "exclusion_reconciliation", "Exclusions by status and by flag"),
+    ("09_exclusions", "exclusion_reasons", "Exclusion reasons of the challenger"),
     ("09_exclusions", "exclusion_reasons_by_client", "Exclusion reasons by client"),
+    ("09_exclusions", "scp_no_output_reasons", "Reasons for missing base output"),
     ("10_top_ml_improvements", "top_ml_improvements", "Largest improvements of the challenger"),
     ("11_top_ml_underperformance", "top_ml_underperformance", "Worst series of the challenger"),
     ("12_data_quality_checks", "data_quality_checks", "Data-quality checks"),
@@ -442,7 +461,7 @@ DOCUMENT = [
 def block_index() -> str:
     counts = " UNION ALL ".join(
         f"""SELECT {i} AS "ORDEN", '{sheet}' AS "HOJA", '{block}' AS "BLOQUE", '{title}' AS "TITULO",
-            count(*) AS "N_FILAS", CASE WHEN count(*) = 0 THEN '(sin datos)' END AS "NOTA" FROM ({BODIES[block]})"""
+            count(*) AS "N_FILAS", CASE WHEN count(*) = 0 THEN '(sin datos)' WHEN '{block}' = 'exclusion_reconciliation' THEN '{RECONCILED}' END AS "NOTA" FROM ({BODIES[block]})"""
         for i, (sheet, block, title) in enumerate(DOCUMENT, start=1)
     )
     return counts
@@ -451,10 +470,20 @@ def block_index() -> str:
 IDS = ("ID", "ID_BATCH", "ID_RUN_STAGING", "SOURCE_RUN_ID", "ID_CONFIGURATION")
 AS_TEXT = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in IDS)
 
+# Reports that are also checked without a client list.
+ALL_CLIENT_REPORTS = (
+    "coverage_by_client", "status_distribution", "exclusion_reasons_by_client", "winner_distribution", "wape_impact",
+    "ml_improvement_stats", "win_profiles_by_client", "value_by_dimension", "ml_wins_by_client")
+
 ORACLE_SQL = {
     "series_table": f"WITH {SERIES} SELECT * FROM series",
     "load_comparison": f"WITH {SERIES} SELECT * REPLACE ({AS_TEXT}) FROM series",
     **{name: f"WITH {UNIVERSES} {body}" for name, body in BODIES.items()},
-    "ml_improvement_stats_any_length": f"WITH {UNIVERSES} {BODIES['ml_improvement_stats']}",
     "block_index": f"WITH {UNIVERSES} {block_index()}",
+    "stored_block": f"WITH {UNIVERSES} {BODIES['coverage_by_client']}",
+    "one_batch_coverage": f"WITH {UNIVERSES} {BODIES['coverage_by_client']}",
+    "other_methods_status": f"""WITH {UNIVERSES}
+        SELECT replace(replace("COMPARISON_STATUS", 'SCP', 'AAA'), 'ML', 'BBB') AS "COMPARISON_STATUS", "N", "PCT_SOBRE_CANDIDATAS",
+            replace(replace("SIGNIFICADO", 'SCP', 'AAA'), 'ML', 'BBB') AS "SIGNIFICADO" FROM ({STATUS_WITH_MEANING})""",
+    **{f"all_clients_{name}": f"WITH {ALL_CLIENTS} {BODIES[name]}" for name in ALL_CLIENT_REPORTS},
 }

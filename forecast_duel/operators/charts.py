@@ -49,39 +49,39 @@ def improvement_histogram(comparable_rows: DataFrame, s: Settings) -> DataFrame:
     values = comparable_rows.filter(F.col(s.improvement).isNotNull()).select(
         F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col(s.improvement))).alias("x")
     )
-    extent = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     # A single value gets a range of 1 around it, no value the range 0 to 1.
-    flat = F.when(F.col("extent.lo") == F.col("extent.hi"), 0.5).otherwise(0.0)
-    lo = F.coalesce(F.col("extent.lo") - flat, F.lit(0.0))
-    hi = F.coalesce(F.col("extent.hi") + flat, F.lit(1.0))
+    flat = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    extent = (
+        values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .select(F.coalesce(F.col("lo") - flat, F.lit(0.0)).alias("lo"), F.coalesce(F.col("hi") + flat, F.lit(1.0)).alias("hi"))
+        .select(F.struct("lo", "hi", ((F.col("hi") - F.col("lo")) / BINS).alias("width")))
+        .scalar()
+    )
 
-    def with_range(df: DataFrame) -> DataFrame:
-        return df.withColumn("extent", extent).withColumns({"lo": lo, "hi": hi, "width": (hi - lo) / BINS})
+    def with_range(build) -> Column:
+        """Bound to a lambda variable, the subquery stands once in the plan, however often it is used."""
+        return F.transform(F.array("extent"), build)[0]
 
-    guess = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(BINS - 1))
-    placed = with_range(values).withColumn("guess", guess)
-    counts = placed.groupBy(bin_from_guess().alias("BIN")).agg(F.count("*").alias("N"))
+    placed = values.withColumn("extent", extent).select(with_range(lambda e: bin_of(F.col("x"), e)).alias("BIN"))
+    counts = placed.groupBy("BIN").agg(F.count("*").alias("N"))
     bins = comparable_rows.sparkSession.range(1, BINS + 1, 1, 1).select(F.col("id").alias("BIN"))
+    edges = with_range(lambda e: F.struct(edge(F.col("BIN") - 1, e).alias("DESDE"), edge(F.col("BIN"), e).alias("HASTA")))
     return (
-        with_range(bins)
+        bins.withColumn("extent", extent)
         .join(F.broadcast(counts), "BIN", "left")
-        .select(
-            "BIN",
-            edge(F.col("BIN") - 1).alias("DESDE"),
-            edge(F.col("BIN")).alias("HASTA"),
-            F.coalesce("N", F.lit(0)).alias("N"),
-        )
+        .select("BIN", edges.alias("edges"), F.coalesce("N", F.lit(0)).alias("N"))
+        .select("BIN", "edges.DESDE", "edges.HASTA", "N")
         .orderBy("BIN")
     )
 
 
-def edge(i: Column) -> Column:
-    return F.when(i == BINS, F.col("hi")).otherwise(F.col("lo") + i * F.col("width"))
+def edge(i: Column, extent: Column) -> Column:
+    return F.when(i == BINS, extent["hi"]).otherwise(extent["lo"] + i * extent["width"])
 
 
-def bin_from_guess() -> Column:
+def bin_of(x: Column, extent: Column) -> Column:
     """1-based bin by the printed edges: a quotient next to an edge may round to the wrong side."""
-    x, guess = F.col("x"), F.col("guess")
-    too_high = (x < edge(guess)).cast("long")
-    too_low = ((x >= edge(guess + 1)) & (guess < BINS - 1)).cast("long")
+    guess = F.least(F.floor((x - extent["lo"]) / extent["width"]), F.lit(BINS - 1))
+    too_high = (x < edge(guess, extent)).cast("long")
+    too_low = ((x >= edge(guess + 1, extent)) & (guess < BINS - 1)).cast("long")
     return guess - too_high + too_low + 1

@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecast_duel.settings import LONG_LIST, TOTAL, Settings
-
-
-def small(df: DataFrame, s: Settings) -> DataFrame:
-    """Broadcast a table with at most a few rows per configured client.
-
-    A client list of moderate length bounds the size. Otherwise the choice is left to the
-    optimizer.
-    """
-    return F.broadcast(df) if s.few_clients else df
+from forecast_duel.settings import TOTAL, Settings
 
 
 def client_label(client: Column, is_total: Column) -> Column:
@@ -39,8 +30,7 @@ def on_spine(rows: DataFrame, s: Settings, label: str = "ID_CLIENT", total: bool
     """
     spark = rows.sparkSession
     if s.clients is not None:
-        spine = spine_of(spark, s, label, total)
-        return spine.join(small(rows, s), label, "left").orderBy("position").drop("position")
+        return spine_of(spark, s, label, total).join(rows, label, "left").orderBy("position").drop("position")
     if total:
         rows = spine_of(spark, Settings(clients=()), label, True).join(rows, label, "full").drop("position")
     return rows.orderBy(*label_order(s, label))
@@ -49,23 +39,17 @@ def on_spine(rows: DataFrame, s: Settings, label: str = "ID_CLIENT", total: bool
 def spine_of(spark: SparkSession, s: Settings, label: str, total: bool) -> DataFrame:
     """The labels in one partition, so that sorting a join with them needs no shuffle."""
     names, kind = (s.labels, "string") if total else (list(s.clients), "bigint")
-    if len(names) > LONG_LIST:
-        return spark.createDataFrame(list(enumerate(names)), f"position int, {label} {kind}").coalesce(1)
-    listed = F.array(*(F.lit(n) for n in names)).cast(f"array<{kind}>")
+    listed = F.lit(names).cast(f"array<{kind}>") if names else F.array().cast(f"array<{kind}>")
     return spark.range(0, 1, 1, 1).select(F.posexplode(listed).alias("position", label))
 
 
 def in_report_order(rows: DataFrame, s: Settings, *then: Column, first: tuple[str, ...] = ()) -> DataFrame:
     """Sort by ``first``, then by client as configured with TOTAL ahead, then by ``then``."""
-    if s.clients is not None and len(s.clients) > LONG_LIST:
-        spine = small(spine_of(rows.sparkSession, s, "label", True), s)
-        placed = rows.join(spine, F.col("ID_CLIENT").cast("string") == F.col("label")).drop("label")
-        return placed.orderBy(*first, "position", *then).drop("position")
     return rows.orderBy(*first, *label_order(s), *then)
 
 
 def label_order(s: Settings, label: str = "ID_CLIENT") -> list[Column]:
     name = F.col(label).cast("string")
     if s.clients is None:
-        return [(name != TOTAL), F.col(label).try_cast("long")]
-    return [F.array_position(F.array(*(F.lit(x) for x in s.labels)), name)]
+        return [~name.eqNullSafe(TOTAL), F.col(label).try_cast("long").asc_nulls_last()]
+    return [F.array_position(F.lit(s.labels), name)]

@@ -13,17 +13,19 @@ from forecast_duel.operators.metrics import share, zero_if_absent
 from forecast_duel.operators.universe import is_excluded, is_not_comparable
 from forecast_duel.settings import COMPARABLE, TOTAL, Settings
 
-# Meaning of each status in the report.
-STATUS_MEANING = [
-    ("COMPARABLE", "Serie comparable (incluida en el análisis de performance)."),
-    ("NOT_COMPARABLE_MISSING_SCP_AND_ML", "Faltan ambos forecasts (SCP y ML)."),
-    ("NOT_COMPARABLE_ML_EXCLUDED", "ML excluyó explícitamente la serie (ver más abajo)."),
-    ("NOT_COMPARABLE_NO_HISTORY", "No hay histórico útil para evaluar la serie."),
-    ("NOT_COMPARABLE_MISSING_SCP", "Falta el forecast de SCP."),
-    ("NOT_COMPARABLE_MISSING_ML", "Falta el forecast de ML."),
-    ("NOT_COMPARABLE_MISSING_VALIDATION", "No hay datos de validación disponibles."),
-    ("NOT_COMPARABLE_RUN_FAILED", "El run de cálculo falló."),
-]
+
+def status_meanings(s: Settings) -> list[tuple[str, str]]:
+    """Each status with its meaning in the report. The texts, but for the methods' names."""
+    return [
+        (COMPARABLE, "Serie comparable (incluida en el análisis de performance)."),
+        (s.status_missing_both, f"Faltan ambos forecasts ({s.base} y {s.challenger})."),
+        (s.status_excluded, f"{s.challenger} excluyó explícitamente la serie (ver más abajo)."),
+        ("NOT_COMPARABLE_NO_HISTORY", "No hay histórico útil para evaluar la serie."),
+        (s.status_missing(s.base), f"Falta el forecast de {s.base}."),
+        (s.status_missing(s.challenger), f"Falta el forecast de {s.challenger}."),
+        ("NOT_COMPARABLE_MISSING_VALIDATION", "No hay datos de validación disponibles."),
+        ("NOT_COMPARABLE_RUN_FAILED", "El run de cálculo falló."),
+    ]
 
 
 def coverage_by_client(by_label: DataFrame, s: Settings) -> DataFrame:
@@ -62,7 +64,7 @@ def status_with_meaning(candidate_rows: DataFrame, s: Settings) -> DataFrame:
     """Why candidates are not comparable, over all clients, with an explanation."""
     texts = F.array(*(
         F.struct(F.lit(code).alias("COMPARISON_STATUS"), F.lit(text).alias("SIGNIFICADO"))
-        for code, text in STATUS_MEANING
+        for code, text in status_meanings(s)
     ))
     meaning = candidate_rows.sparkSession.range(0, 1, 1, 1).select(F.inline(texts))
     return (

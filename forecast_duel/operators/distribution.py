@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.clients import add_total, in_report_order, small
+from forecast_duel.operators.clients import add_total, in_report_order
 from forecast_duel.settings import Settings
 
 
@@ -51,11 +51,11 @@ def most_frequent(*values: str) -> list[Column]:
 
 def share_of_client(counts: DataFrame, s: Settings, name: str) -> DataFrame:
     """Add the share of ``N`` in its client; the client sums reuse the shuffle of the counts."""
-    whole = counts.groupBy("ID_CLIENT").agg(F.sum("N").alias("whole"))
+    whole = counts.groupBy(F.col("ID_CLIENT").alias("client")).agg(F.sum("N").alias("whole"))
     return (
-        counts.join(small(whole, s), "ID_CLIENT")
+        counts.join(whole, F.col("ID_CLIENT").eqNullSafe(F.col("client")))
         .withColumn(name, percent(F.col("N"), F.col("whole")))
-        .drop("whole")
+        .drop("client", "whole")
     )
 
 

@@ -5,16 +5,19 @@ The profiled columns are unpivoted, so that one aggregate counts all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import percent
-from forecast_duel.operators.clients import in_report_order, small
+from forecast_duel.operators.clients import in_report_order
 from forecast_duel.operators.distribution import most_frequent, shown, sum_of
 from forecast_duel.operators.metrics import summand, weighted_wape, zero_if_absent
 from forecast_duel.operators.universe import won_by
 from forecast_duel.settings import Settings
 
+# A dimension of both methods' profiles.
+COMMON_DIMENSION = "SERIES_CLASSIFICATION"
+
 
 def profiled_columns(s: Settings, winner: str) -> list[str]:
     first = s.winner_model if winner == s.challenger else s.best_model(s.base)
@@ -72,11 +75,11 @@ def win_profiles_by_client(comparable_rows: DataFrame, s: Settings) -> DataFrame
         .groupBy("GANADOR", "ID_CLIENT", "DIMENSION", "VALOR")
         .agg(F.count("*").alias("N"))
     )
-    # The denominator needs no unpivot: every dimension counts each won series once.
-    wins = won_series(comparable_rows, s).groupBy("GANADOR", "ID_CLIENT").agg(F.count("*").alias("wins"))
-    shares = counts.join(small(wins, s), ["GANADOR", "ID_CLIENT"]).select(
+    # Every dimension counts each won series once, so the counts of any one add up to the wins.
+    wins = F.sum(F.when(F.col("DIMENSION") == COMMON_DIMENSION, F.col("N"))).over(Window.partitionBy("GANADOR", "ID_CLIENT"))
+    shares = counts.select(
         "GANADOR", "ID_CLIENT", "DIMENSION", shown("VALOR", s.null_label), "N",
-        percent(F.col("N"), F.col("wins")).alias("PCT"),
+        percent(F.col("N"), wins).alias("PCT"),
     )
     return in_report_order(shares, s, position_in_report(s), *most_frequent("VALOR"), first=("GANADOR",))
 
@@ -97,10 +100,10 @@ def value_by_dimension(comparable_rows: DataFrame, s: Settings) -> DataFrame:
         .withColumn("saved", saved.cast("double"))
     )
     base, challenger, improvement = weighted_wape()
-    # One denominator per winner, two rows: every dimension covers the same series.
-    whole = won_series(comparable_rows, s).groupBy("GANADOR").agg(*summed).select("GANADOR", saved.alias("whole"))
+    # Every dimension covers the same series, so the sums of any one add up to the winner's.
+    whole = F.sum(F.when(F.col("DIMENSION") == COMMON_DIMENSION, F.col("saved"))).over(Window.partitionBy("GANADOR"))
     return (
-        sums.join(F.broadcast(whole), "GANADOR")
+        sums.withColumn("whole", whole)
         .select(
             "GANADOR", "DIMENSION", "VALOR", "N",
             F.col("saved").alias("REDUCCION_ERROR"),

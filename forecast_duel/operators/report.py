@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from forecast_duel.functions import format_count, format_percent
 from forecast_duel.operators.metrics import share, weighted_wape, zero_if_absent
-from forecast_duel.operators.statistics import GROUP, win_label, win_stats
+from forecast_duel.operators.statistics import GROUP, win_label
 from forecast_duel.settings import Settings
 
 IMPROVES, NOT_IMPROVED, UNDEFINED = "IMPROVES", "NOT_IMPROVED", "UNDEFINED"
 
 
-def verdict(comparable_rows: DataFrame, totals: DataFrame, s: Settings, rows: int | None = None) -> DataFrame:
-    """Does the challenger improve the forecast? One row with the figures the answer quotes."""
+def verdict(stats: DataFrame, totals: DataFrame, s: Settings) -> DataFrame:
+    """Does the challenger improve the forecast? One row with the figures the answer quotes.
+
+    ``stats`` are the statistics of both methods' wins.
+    """
     base, challenger, improvement = weighted_wape()
     answer = (
         F.when(improvement.isNull(), UNDEFINED).when(improvement > 0, IMPROVES).otherwise(NOT_IMPROVED)
     )
-    stats = win_stats(comparable_rows, s, s.challenger, s.base, rows=rows)
 
     def quoted(method: str, name: str):
         return F.max(F.when(F.col(GROUP) == win_label(method), F.col(name))).alias(f"{method}_{name}")

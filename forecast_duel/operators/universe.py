@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecast_duel.functions import relative_improvement
-from forecast_duel.operators.clients import small
-from forecast_duel.settings import COMPARABLE, LONG_LIST, Settings
+from forecast_duel.settings import COMPARABLE, Settings
 
 
 def is_comparable() -> Column:
@@ -32,10 +31,7 @@ def selected(series: DataFrame, s: Settings) -> DataFrame:
     if s.batches is not None:
         series = series.filter(F.col("ID_BATCH").isin(list(s.batches)))
     if s.clients is None:
-        return series.filter(F.col("ID_CLIENT").isNotNull())
-    if len(s.clients) > LONG_LIST:
-        listed = series.sparkSession.createDataFrame([(c,) for c in s.clients], "ID_CLIENT long")
-        return series.join(small(listed, s), "ID_CLIENT", "left_semi")
+        return series
     return series.filter(F.col("ID_CLIENT").isin(list(s.clients)))
 
 

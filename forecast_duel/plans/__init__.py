@@ -3,6 +3,6 @@
 from forecast_duel.plans.blocks import write_blocks
 from forecast_duel.plans.catalogue import BLOCKS, REPORTS
 from forecast_duel.plans.comparison import Comparison
-from forecast_duel.plans.stored_tables import scratch_path, shared_folder, stored_series
+from forecast_duel.plans.stored_tables import StoredTables, scratch_path
 
-__all__ = ["BLOCKS", "REPORTS", "Comparison", "scratch_path", "shared_folder", "stored_series", "write_blocks"]
+__all__ = ["BLOCKS", "REPORTS", "Comparison", "StoredTables", "scratch_path", "write_blocks"]

@@ -37,10 +37,6 @@ def over_totals(build) -> Report:
     return lambda c: build(c.totals, c.settings)
 
 
-def win_stats(c: Comparison, method: str) -> DataFrame:
-    return statistics.win_stats(c.comparables, c.settings, method, rows=c.rows)
-
-
 REPORTS: dict[str, Report] = {
     # universes
     "candidates": lambda c: c.candidates,
@@ -61,13 +57,13 @@ REPORTS: dict[str, Report] = {
     "winner_distribution": over_comparable_codes(winners.winner_distribution),
     "finalist_distribution": over_comparable_codes(winners.finalist_distribution),
     "wape_impact": over_labels(winners.wape_impact),
-    "ml_improvement_stats": lambda c: statistics.improvement_stats(c.comparables, c.settings, c.rows),
+    "ml_improvement_stats": over_comparables(statistics.improvement_stats),
     "ml_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.challenger),
-    "ml_win_improvement_stats": lambda c: win_stats(c, c.settings.challenger),
+    "ml_win_improvement_stats": lambda c: statistics.stats_of_wins(c.win_stats, c.settings.challenger),
     "ml_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.challenger),
     "ml_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.challenger),
     "scp_win_summary": lambda c: winners.win_summary(c.totals, c.settings, c.settings.base),
-    "scp_win_improvement_stats": lambda c: win_stats(c, c.settings.base),
+    "scp_win_improvement_stats": lambda c: statistics.stats_of_wins(c.win_stats, c.settings.base),
     "scp_wins_by_client": lambda c: winners.wins_by_client(c.metrics, c.settings, c.settings.base),
     "scp_win_profiles": lambda c: profiles.win_profile(c.comparables, c.settings, c.settings.base),
     "win_profiles_by_client": over_comparables(profiles.win_profiles_by_client),
@@ -83,7 +79,7 @@ REPORTS: dict[str, Report] = {
     "chart_wape": over_totals(charts.chart_wape),
     "chart_coverage": over_labels(charts.chart_coverage),
     "improvement_histogram": over_comparables(charts.improvement_histogram),
-    "verdict": lambda c: report.verdict(c.comparables, c.totals, c.settings, c.rows),
+    "verdict": lambda c: report.verdict(c.win_stats, c.totals, c.settings),
     "formatted_kpis": over_labels(report.formatted_kpis),
 }
 
@@ -112,8 +108,11 @@ BLOCKS = [
     Block("08_scp_wins_analysis", "scp_win_improvement_stats", "Improvement where the base wins (negative)"),
     Block("08_scp_wins_analysis", "scp_wins_by_client", "Base wins by client"),
     Block("08_scp_wins_analysis", "scp_win_profiles", "Models and classes where the base wins"),
+    Block("09_exclusions", "status_distribution", "Comparison status, total and by client"),
     Block("09_exclusions", "exclusion_reconciliation", "Exclusions by status and by flag"),
+    Block("09_exclusions", "exclusion_reasons", "Exclusion reasons of the challenger"),
     Block("09_exclusions", "exclusion_reasons_by_client", "Exclusion reasons by client"),
+    Block("09_exclusions", "scp_no_output_reasons", "Reasons for missing base output"),
     Block("10_top_ml_improvements", "top_ml_improvements", "Largest improvements of the challenger"),
     Block("11_top_ml_underperformance", "top_ml_underperformance", "Worst series of the challenger"),
     Block("12_data_quality_checks", "data_quality_checks", "Data-quality checks"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from forecast_duel.operators import metrics as m
-from forecast_duel.operators import universe
-from forecast_duel.settings import BROADCAST_LIST, Settings
+from forecast_duel.operators import statistics, universe
+from forecast_duel.settings import Settings
 from forecast_duel.sources.parquet_table import conform
 
 
@@ -17,14 +16,12 @@ class Comparison:
     """Lazy view on a series-comparison table.
 
     Nothing runs before a report is read, except for ``require_rows``. Every report scans
-    the table for its own columns only, so keep the table in Parquet. ``rows`` is an upper
-    bound of the table's length if one is known; it allows cheaper plans for short tables.
+    the table for its own columns only, so keep the table in Parquet.
     """
 
-    def __init__(self, series: DataFrame, settings: Settings = Settings(), rows: int | None = None):
+    def __init__(self, series: DataFrame, settings: Settings = Settings()):
         self.series = series
         self.settings = settings
-        self.rows = rows
         self._codes: DataFrame | None = None
 
     def require_rows(self) -> Comparison:
@@ -33,23 +30,9 @@ class Comparison:
         return self
 
     @classmethod
-    def of(cls, table: DataFrame, settings: Settings = Settings(), rows: int | None = None) -> Comparison:
+    def of(cls, table: DataFrame, settings: Settings = Settings()) -> Comparison:
         """Evaluate a table that does not come from this package's sources: validate it first."""
-        return cls(conform(table, settings), settings, rows)
-
-    def with_listed_clients(self) -> Comparison:
-        """Replace "every client present" by their list, if it has a moderate length.
-
-        Runs one job. A known list bounds the tables of a few rows per client, which can
-        then be broadcast instead of shuffling the series to them.
-        """
-        if self.settings.clients is not None:
-            return self
-        present = universe.selected(self.series, self.settings).select("ID_CLIENT").distinct()
-        found = [row.ID_CLIENT for row in present.limit(BROADCAST_LIST + 1).collect()]
-        if len(found) > BROADCAST_LIST:
-            return self
-        return Comparison(self.series, replace(self.settings, clients=tuple(sorted(found))), self.rows)
+        return cls(conform(table, settings), settings)
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -70,7 +53,7 @@ class Comparison:
         It pays off if several of them are read and the counts are cached meanwhile; a
         single report is cheaper without.
         """
-        shared = Comparison(self.series, self.settings, self.rows)
+        shared = Comparison(self.series, self.settings)
         shared._codes = universe.code_counts(shared.candidates, self.settings)
         return shared
 
@@ -89,6 +72,11 @@ class Comparison:
         """The same figures over all clients, one row."""
         return m.metric_totals(self.metrics)
 
+    @cached_property
+    def win_stats(self) -> DataFrame:
+        """Statistics of both methods' wins, at most two rows."""
+        return statistics.win_stats(self.comparables, self.settings)
+
     def create_views(self, prefix: str = "") -> None:
         """Make every report a temporary view, so that SQL can query it by name."""
         from forecast_duel.plans.catalogue import REPORTS

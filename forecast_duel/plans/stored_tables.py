@@ -7,74 +7,40 @@ the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
-from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from forecast_duel.settings import Settings
 from forecast_duel.sources.parquet_table import read_parquet, write_parquet
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-_folders: dict[str, str] = {}
 
-
-class Stored(NamedTuple):
-    table: DataFrame
-    rows: int | None
-
-
-_tables: dict[tuple[str, str], Stored] = {}
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: below spark.checkpoint.dir, else below the warehouse."""
+    root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/forecast-duel/{name}-{uuid.uuid4().hex}"
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can write to, one per application; ``None`` if there is none.
+class StoredTables:
+    """Comparison tables that were written once; the owner of this object decides how long they are kept.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, only a local
-    session gets a temporary folder.
+    A table is found again by its plan, so another folder, query or setting is another table.
     """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        root = spark.conf.get(CHECKPOINT_SETTING, None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                return None
-            root = tempfile.mkdtemp(prefix="forecast-duel-")
-        _folders[app] = f"{root.rstrip('/')}/forecast-duel-{app}-{uuid.uuid4().hex[:8]}"
-    return _folders[app]
 
+    def __init__(self):
+        self._tables: list[tuple[str, DataFrame, DataFrame]] = []
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table this application writes and reads."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that every executor can write to")
-    return f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
-
-
-def stored_series(
-    spark: SparkSession,
-    name: str,
-    build: Callable[[], DataFrame],
-    settings: Settings = Settings(),
-) -> Stored:
-    """The comparison table ``name``, built once per application, and its number of rows.
-
-    Without a shared folder the plan itself is returned, of unknown length, and every
-    report recomputes it.
-    """
-    if shared_folder(spark) is None:
-        return Stored(build(), None)
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _tables:
+    def get(self, series: DataFrame, settings: Settings = Settings()) -> DataFrame:
+        """``series`` from a written table, written on first use."""
+        spark = series.sparkSession
+        app = spark.sparkContext.applicationId
+        for owner, plan, table in self._tables:
+            if owner == app and plan.sameSemantics(series):
+                return table
         path = scratch_path(spark, "series")
-        series = build()
-        written = Observation()
-        write_parquet(series.observe(written, F.count("*").alias("n")), path)
+        write_parquet(series, path)
         table = read_parquet(spark, path, settings, schema=series.schema)
-        _tables[key] = Stored(table, written.get["n"])
-    return _tables[key]
+        self._tables.append((app, series, table))
+        return table

@@ -10,18 +10,13 @@ TIE = "TIE"
 # Label of the row that covers every client.
 TOTAL = "TOTAL"
 
-# Client lists beyond this length travel as a small table instead of as literals.
-LONG_LIST = 1000
-# Client lists up to this length bound a table of a few rows per client well enough to broadcast it.
-BROADCAST_LIST = 10_000
-
 
 @dataclass(frozen=True)
 class Settings:
     """Parameters of one comparison.
 
     ``clients`` lists the clients to analyse, in report order; ``None`` takes every
-    client present. ``base`` and ``challenger`` are the two method names and, with
+    row, and rows without a client form a client of their own. ``base`` and ``challenger`` are the two method names and, with
     ``months``, pick the input columns (``SCP_WAPE_6M`` ...). ``approx`` replaces exact
     percentiles by ``percentile_approx``. ``sum_scale`` sums volumes as decimals with that
     many places, so that the result does not depend on the order of addition.
@@ -127,13 +122,6 @@ class Settings:
     def status_missing(self, method: str) -> str:
         return f"NOT_COMPARABLE_MISSING_{method}"
 
-    # -- sizes ----------------------------------------------------------------
-
-    @property
-    def few_clients(self) -> bool:
-        """A table with a few rows per client is known to be small."""
-        return self.clients is not None and len(self.clients) <= BROADCAST_LIST
-
     # -- labels ---------------------------------------------------------------
 
     @property

@@ -2,6 +2,5 @@
 
 from forecast_duel.sources.csv_table import read_csv
 from forecast_duel.sources.parquet_table import read_parquet, write_parquet
-from forecast_duel.sources.retail_series import series_from_retail
 
-__all__ = ["read_csv", "read_parquet", "series_from_retail", "write_parquet"]
+__all__ = ["read_csv", "read_parquet", "write_parquet"]

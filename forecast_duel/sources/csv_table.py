@@ -15,7 +15,7 @@ def read_csv(
     spark: SparkSession,
     path: str | list[str],
     settings: Settings = Settings(),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read the comparison table from UTF-8 CSV files with a header line.
 
@@ -25,9 +25,8 @@ def read_csv(
     fails the query, and so does a text that does not fit the declared type, with the
     column and the value, all in the same pass that reads the file.
 
-    ``multi_line`` allows line breaks inside quoted fields, at the price of one task per
-    file. Pass ``False`` for files without such fields and Spark splits each file; a
-    record torn by a line break is then one with too few fields.
+    Spark splits each file. A record torn by a line break inside a quoted field is then one with too few
+    fields and fails; ``multi_line=True`` reads such files, at the price of one task per file.
     """
     raw = (
         spark.read.option("header", True)

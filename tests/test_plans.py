@@ -12,12 +12,12 @@ from oracle_check import connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from forecast_duel import BLOCKS, REPORTS, Comparison, write_blocks
-from forecast_duel.plans import shared_folder, stored_series
-from forecast_duel.sources.retail_series import monthly_quantities
+from forecast_duel import BLOCKS, REPORTS, Comparison, Settings, write_blocks
+from forecast_duel.plans import StoredTables, scratch_path
+from retail_series import monthly_quantities
 
 FOLDER = f"{TESTDATA}/sf0.001"
-ALL = list(entry.queries())
+ALL = list(entry.library_queries())
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(ALL) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 6
 
 
@@ -90,12 +90,25 @@ def test_identities_between_reports(spark):
     assert histogram == c.report("ml_improvement_stats").first()["count"]
 
 
-@pytest.mark.parametrize("name", ["ml_win_improvement_stats", "scp_win_improvement_stats", "verdict"])
-def test_tables_of_unknown_length_give_the_same_statistics(spark, con, name):
-    c = entry.comparison(spark, FOLDER)
-    unknown = Comparison(c.series, c.settings).report(name)
-    assert "functions=[percentile" not in physical(unknown) and "Window" in physical(unknown)
-    assert differences(entry.rounded(unknown), con, entry.oracle_sql()[name]) == []
+def test_statistics_have_one_plan_with_three_scans(spark):
+    plan = physical(entry.comparison(spark, FOLDER).report("ml_improvement_stats"))
+    assert "functions=[percentile" not in plan and plan.split("Subqueries")[0].count(") Scan parquet") <= 6
+
+
+@pytest.mark.parametrize("name", ["win_profiles_by_client", "value_by_dimension", "ml_win_profiles"])
+def test_profiles_scan_once(spark, name):
+    plan = physical(entry.comparison(spark, FOLDER).report(name))
+    assert plan.split("Subqueries")[0].count("Scan parquet") // 2 == 1
+
+
+def test_histogram_binds_its_range_once(spark):
+    plan = entry.comparison(spark, FOLDER).report("improvement_histogram")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery#") <= 8
+
+
+def test_a_long_client_list_reaches_the_scan(spark):
+    c = entry.comparison(spark, FOLDER, Settings(clients=tuple(range(20_000))))
+    assert "In(ID_CLIENT" in physical(c.report("coverage_by_client"))
 
 
 @pytest.mark.parametrize("name", ["coverage_by_client", "status_distribution", "ml_improvement_stats", "value_by_dimension"])
@@ -162,11 +175,12 @@ def test_blocks_are_written_with_an_index(spark, compare, tmp_path, file_format)
     assert rows["coverage_by_client"].N_FILAS == 4 and rows["coverage_by_client"].NOTA is None
     assert rows["exclusion_reasons"].N_FILAS == 0 and rows["exclusion_reasons"].NOTA == "(sin datos)"
     reader = spark.read.option("header", True) if file_format == "csv" else spark.read
-    back = reader.format(file_format).load(f"{tmp_path}/block=coverage_by_client")
+    assert reader.format(file_format).load(f"{tmp_path}/index").count() == len(BLOCKS)
+    back = reader.format(file_format).load(f"{tmp_path}/coverage_by_client")
     assert {(r.ID_CLIENT, str(r.SERIES_CANDIDATAS)) for r in back.collect()} == {
         ("TOTAL", "2"), ("1", "1"), ("2", "1"), ("3", "0")}
     if file_format == "parquet":
-        empty = spark.read.parquet(f"{tmp_path}/block=exclusion_reasons")
+        empty = spark.read.parquet(f"{tmp_path}/exclusion_reasons")
         assert empty.columns == ["ML_EXCLUSION_REASON", "N", "PCT"] and empty.isEmpty()
 
 
@@ -178,13 +192,24 @@ def test_shared_counts_give_the_same_reports(spark, con, name):
     assert differences(shared.report(name), con, entry.oracle_sql()[name]) == []
 
 
-def test_stored_series_is_built_once(spark, table):
-    calls = []
+def test_stored_tables_are_found_by_their_plan(spark, table):
+    store, one, two = StoredTables(), table({}, {"ID_CLIENT": 2}), table({"ID_CLIENT": 3})
+    first = store.get(one)
+    assert store.get(one) is first and first.count() == 2
+    assert store.get(two).first().ID_CLIENT == 3
+    assert store.get(one.filter("ID_CLIENT = 2")).count() == 1
+    assert "Scan parquet" in physical(first)
+
+
+def test_scratch_paths_follow_the_shared_folder(spark):
+    from forecast_duel.plans.stored_tables import CHECKPOINT_SETTING
+
+    root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert one != two and one.startswith(root.rstrip("/"))
 
-    def build():
-        calls.append(1)
-        return table({}, {"ID_CLIENT": 2})
 
-    first, second = (stored_series(spark, "once", build) for _ in range(2))
-    assert calls == [1] and first is second and first.rows == first.table.count() == 2
-    assert "Scan parquet" in physical(first.table) and shared_folder(spark) in first.table.inputFiles()[0]
+def test_an_empty_selection_fails_before_anything_is_written(spark, compare, tmp_path):
+    with pytest.raises(ValueError, match="left no row"):
+        write_blocks(compare({"ID_CLIENT": 77}), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()

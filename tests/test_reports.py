@@ -278,14 +278,34 @@ def test_long_client_list(compare):
 def test_all_clients_and_batches(compare):
     rows = ({}, {"ID_CLIENT": 30, "ID_BATCH": "2"}, {"ID_CLIENT": 4}, {"ID_CLIENT": None})
     c = compare(*rows, clients=None)
-    assert [r.ID_CLIENT for r in c.report("coverage_by_client").collect()] == ["TOTAL", "1", "4", "30"]
-    assert [r.ID_CLIENT for r in c.report("ml_wins_by_client").collect()] == [1, 4, 30]
-    assert [r.GRUPO for r in c.report("ml_improvement_stats").collect()] == ["TOTAL", "1", "4", "30"]
-    assert {r.ID_CLIENT for r in c.report("status_distribution").collect()} == {"TOTAL", "1", "4", "30"}
-    listed = c.with_listed_clients()
-    assert listed.settings.clients == (1, 4, 30)
-    for name in ("coverage_by_client", "ml_improvement_stats", "status_distribution", "win_profiles_by_client"):
-        assert listed.report(name).collect() == c.report(name).collect()
-    empty = compare({"ID_CLIENT": None}, clients=None)
-    assert [tuple(r)[:3] for r in empty.report("coverage_by_client").collect()] == [("TOTAL", 0, 0)]
+    assert [r.ID_CLIENT for r in c.report("coverage_by_client").collect()] == ["TOTAL", "1", "4", "30", None]
+    assert c.report("coverage_by_client").first().SERIES_CANDIDATAS == 4
+    assert [r.ID_CLIENT for r in c.report("ml_wins_by_client").collect()] == [1, 4, 30, None]
+    assert [(r.GRUPO, r["count"]) for r in c.report("ml_improvement_stats").collect()] == [
+        ("TOTAL", 4), ("1", 1), ("4", 1), ("30", 1), (None, 1)]
+    assert {(r.ID_CLIENT, r.N) for r in c.report("status_distribution").collect()} == {
+        ("TOTAL", 4), ("1", 1), ("4", 1), ("30", 1), (None, 1)}
+    assert {r.PCT for r in c.report("win_profiles_by_client").collect()} == {100.0}
     assert compare(*rows, batches=("2",), clients=None).candidates.count() == 1
+
+
+def test_infinite_errors_have_no_improvement(compare):
+    inf = float("inf")
+    c = compare({"SCP_WAPE_6M": 1.0, "ML_WAPE_6M": 1.1}, {"SCP_WAPE_6M": inf, "ML_WAPE_6M": 0.1}, {"SCP_WAPE_6M": inf, "ML_WAPE_6M": inf})
+    stats = c.report("ml_improvement_stats").first()
+    assert stats["count"] == 1 and stats["median"] == pytest.approx(-10.0)
+    assert sum(r.N for r in c.report("improvement_histogram").collect()) == 1
+
+
+def test_reports_run_with_other_method_names_and_months(spark):
+    from forecast_duel import REPORTS, Comparison, Settings
+    from forecast_duel.schema import series_schema
+
+    s = Settings(clients=(1,), base="AAA", challenger="BBB", months=3)
+    schema = series_schema(s)
+    row = {"ID": "1", "ID_CLIENT": 1, "HAS_BASE_CANDIDATE": 1, "COMPARISON_STATUS": s.status_missing("AAA")}
+    c = Comparison.of(spark.createDataFrame([[row.get(n) for n in schema.names]], schema), s)
+    for name in REPORTS:
+        c.report(name).collect()
+    assert [tuple(r)[::3] for r in c.report("status_with_meaning").collect()] == [
+        ("NOT_COMPARABLE_MISSING_AAA", "Falta el forecast de AAA.")]

@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from forecast_duel.schema import NA_TOKENS, ranking_columns, require_columns, series_schema
-from forecast_duel.sources import read_csv, read_parquet, series_from_retail, write_parquet
+from forecast_duel.sources import read_csv, read_parquet, write_parquet
+from retail_series import series_from_retail
 from forecast_duel.sources.parquet_table import conform
 
 NAMES = series_schema().names
@@ -54,7 +55,7 @@ def test_quotes_commas_and_line_breaks(spark, tmp_path):
         tmp_path / "a.csv",
         [{"VALUE_LEVEL_1": f'"{text}"', "VALUE_LEVEL_2": '"two\nlines"', "VALUE_LEVEL_3": '"a,b"'}],
     )
-    row = read_csv(spark, path).first()
+    row = read_csv(spark, path, multi_line=True).first()
     assert (row.VALUE_LEVEL_1, row.VALUE_LEVEL_2, row.VALUE_LEVEL_3) == ('he said "hi", ok', "two\nlines", "a,b")
 
 
@@ -150,3 +151,13 @@ def test_derived_series_have_the_expected_mix(spark):
     assert (df.count(), candidates.count(), comparable.count()) == (152, 109, 78)
     wins = {r[0]: r[1] for r in comparable.groupBy("WINNER_METHOD_6M").count().collect()}
     assert wins == {"ML": 26, "SCP": 51, None: 1}
+
+
+def test_a_large_file_is_split(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [{} for _ in range(400)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert read_csv(spark, path).rdd.getNumPartitions() > 1 and read_csv(spark, path).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -78,5 +78,27 @@ def test_approximate_percentiles_are_close(spark):
 
 def test_unbounded_number_of_groups(spark):
     df = frame(spark, {str(i): [float(i), float(i + 1)] for i in range(300)})
-    rows = by(describe(df, few_groups=False), "GRUPO")
+    rows = by(describe(df), "GRUPO")
     assert len(rows) == 300 and rows["17"]["median"] == 17.5
+
+
+def test_infinite_and_missing_values(spark):
+    inf = float("inf")
+    row = describe(frame(spark, {"x": [1.0, inf, inf, inf, inf, float("nan"), None]})).first()
+    assert [row[k] for k in ("count", "min", "median", "p25", "p75", "p90", "max")] == [5, 1.0, inf, inf, inf, inf, inf]
+    row = describe(frame(spark, {"x": [-inf, -inf, 0.0, 10.0, 20.0]})).first()
+    assert (row["median"], row["p10"], row["p75"]) == (0.0, -inf, 10.0)
+
+
+def test_values_packed_closely_beside_far_ones(spark):
+    values = [1e6 + i * 1e-7 for i in range(900)] + [-1e6, 3e6]
+    row = describe(frame(spark, {"x": values})).first()
+    assert row["median"] == pytest.approx(float(np.median(values)), rel=1e-15)
+
+
+def test_total_is_over_all_groups(spark):
+    groups = {"a": CASES["heavy_tail"], "b": CASES["negative_tail"], "c": [1.0]}
+    rows = by(describe(frame(spark, groups), total=True), "GRUPO")
+    assert set(rows) == {"TOTAL", *groups}
+    for key, value in expected([v for vs in groups.values() for v in vs]).items():
+        assert rows["TOTAL"][key] == pytest.approx(value, rel=1e-9), key
