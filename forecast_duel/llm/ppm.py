@@ -82,6 +82,9 @@ class Trie:
         for k in range(order + 1):
             place = np.argsort(filled[k][0])
             known, count = filled[k][0][place], filled[k][1][place].astype(np.float64)
+            if k > 1:  # a context whose own shorter one has given way goes with it
+                stay = np.isin((known >> BITS) & np.int64((1 << (BITS * (k - 1))) - 1), contexts[k - 1])
+                known, count = known[stay], count[stay]
             context, inside = np.unique(known >> BITS, return_inverse=True)
             keys.append(known)
             counts.append(count)
