@@ -34,8 +34,8 @@ from forecast_duel.llm.words import SPACED, mixed, words
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Groups that shingles are hashed into, the dimensions of the R-tree.
-GROUPS = 128
+#: Fewest groups that shingles are hashed into, the dimensions of an R-tree; larger sets have one for every two to four shingles.
+GROUPS = 64
 LEAF = 16
 #: Sets of a bucket that a task compares at once.
 BLOCK = 256
@@ -95,6 +95,7 @@ class Tree:
     """An R-tree over count vectors, bulk-loaded by size and position; nodes keep the largest counts of their points."""
 
     def __init__(self, points: np.ndarray):
+        points = points.astype(np.int64)
         self.points, self.sizes = points, points.sum(axis=1)
         order = np.lexsort((*self.points[:, :3].T, self.sizes))
         self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
@@ -123,8 +124,44 @@ class Tree:
 
 
 def point_of(own: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each group."""
-    return np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    """How many shingles of a set fall into each group; the number of groups, a power of two, grows with the set."""
+    groups = max(GROUPS, 1 << max(len(own) // 2, 1).bit_length() - 1)
+    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's point in fewer groups."""
+    return point.reshape(-1, groups).sum(axis=0) if len(point) > groups else point
+
+
+class Forest:
+    """A tree for each number of groups. Linked sets differ by less than a factor of two, so each set is in the tree
+    of its own groups and, folded, in that of half as many."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.groups = np.array([len(p) for p in points])
+        self.trees, self.members = {}, {}
+        for g in np.unique(self.groups).tolist():
+            rows = np.flatnonzero((self.groups == g) | (self.groups == 2 * g))
+            self.members[g] = rows
+            self.trees[g] = Tree(np.stack([folded(points[k], g) for k in rows]))
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Sets that the bound does not rule out, itself among them."""
+        g = int(self.groups[i])
+        found = [self._in_tree(g, i)]
+        if g // 2 in self.trees:
+            smaller = self._in_tree(g // 2, i)
+            found.append(smaller[self.groups[smaller] == g // 2])
+        return np.concatenate(found)
+
+    def _in_tree(self, g: int, i: int) -> np.ndarray:
+        rows = self.members[g]
+        return rows[self.trees[g].candidates(int(np.searchsorted(rows, i)))]
+
+
+def points_in(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -137,7 +174,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def links(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
     """Verified links that join different components: enough of them to join all that the ``ask`` rows link to."""
-    tree = Tree(np.stack([point_of(s) for s in sets]))
+    tree = Forest([point_of(s) for s in sets])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -192,11 +229,11 @@ def narrowed(groups: DataFrame, points: DataFrame) -> DataFrame:
             table = table.combine_chunks()
             key, name = table.column("key").to_numpy(), table.column("class").to_numpy()
             label, ask = table.column("label").to_numpy(), table.column("ask").to_numpy()
-            at = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            at = points_in(table.column("point"))
             begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             keep, group = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
             for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(key)]):
-                own, tree = label[b:e], Tree(at[b:e])
+                own, tree = label[b:e], Forest(at[b:e])
                 for i in np.flatnonzero(ask[b:e]).tolist():
                     other = tree.candidates(i)
                     other = other[own[other] != own[i]]
@@ -253,7 +290,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
                 if len(own) and int(name[row]) not in known:  # equal sets of a task count once
                     known.add(int(name[row]))
                     new.append(own)
-                    point[row] = point_of(own).astype(np.uint32).tobytes()
+                    point[row] = point_of(own).astype(np.uint16).tobytes()
             if new:
                 sketch.add(often, np.concatenate(new))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(name), pa.array(point, pa.binary()), pa.nulls(len(batch), pa.int32()),
@@ -318,16 +355,16 @@ def promising(buckets: DataFrame, points: DataFrame) -> DataFrame:
         for table in in_runs(batches, "bucket"):
             table = table.combine_chunks()
             key, name = table.column("bucket").to_numpy(), table.column("class").to_numpy()
-            raw = b"".join(table.column("point").to_pylist())
-            at = np.frombuffer(raw, np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            at = points_in(table.column("point"))
             begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[begins, len(key)])
             keep = np.zeros(len(key), bool)
-            two = begins[sizes == 2]
-            near = np.minimum(at[two], at[two + 1]).sum(axis=1) >= needed(at[two].sum(axis=1), at[two + 1].sum(axis=1))
-            keep[two[near]] = keep[two[near] + 1] = True
+            for b in begins[sizes == 2].tolist():
+                g = min(len(at[b]), len(at[b + 1]))
+                over = int(np.minimum(folded(at[b], g), folded(at[b + 1], g)).sum())
+                keep[b] = keep[b + 1] = over >= needed(int(at[b].sum()), int(at[b + 1].sum()))
             for b, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                tree = Tree(at[b : b + n])
+                tree = Forest(at[b : b + n])
                 for i in range(n):
                     if not keep[b + i]:
                         with_ = tree.candidates(i)
@@ -406,8 +443,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, then of the smallest hash of the text."""
     found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "text_hash", "root")
-    row = F.struct("id", "text_hash")
-    firsts = found.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("row")).select("row.*")
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    firsts = found.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("row")).select("row.id", "row.text_hash")
     stay = firsts.unionByName(found.where("root IS NULL").select("id", "text_hash").distinct())
     hashed = docs.withColumn("_hash", F.xxhash64(text_col))
     kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay["id"]) & (hashed["_hash"] == stay["text_hash"]), "left_semi")
