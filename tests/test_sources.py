@@ -161,3 +161,12 @@ def test_a_large_file_is_split(spark, tmp_path):
         assert read_csv(spark, path).rdd.getNumPartitions() > 1 and read_csv(spark, path).count() == 400
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_job_writes_the_document_or_fails(spark, tmp_path):
+    from run_comparison import main
+
+    path = write_csv(tmp_path / "in.csv", [{}, {"ID_CLIENT": "2"}])
+    assert main([path, str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "index")).count() > 20
+    assert main([path, str(tmp_path / "none"), "999"]) == 1 and main([str(tmp_path / "missing.csv"), "x"]) == 1
