@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forecast_duel.llm import secrets
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
@@ -164,6 +166,52 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(base_spans(F.col("spans"))), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def _located(pattern: str) -> str:
+    """SQL for doc_id, start and hit of every match of a pattern."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, hits[i] AS hit,
+        coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+        + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0) AS start
+    FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i
+          FROM (SELECT doc_id, string_split_regex(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS hits FROM d))"""
+
+
+def op8_sql() -> str:
+    letters = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", letters)
+    value = assign.replace("'", "''")
+    allowed = "|".join(f"(?:{p})" for p in secrets.ALLOWED)
+    most = {k: int((log2(secrets.WINDOW) - v) * secrets.WINDOW * 1e6) for k, v in secrets.BOUNDS.items()}
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+assign AS (SELECT doc_id, 0 AS kind, start, start + length(hit) AS stop FROM ({_located(assign)})
+    WHERE length(regexp_extract(hit, '{value}', 2)) >= {secrets.ASSIGN_LEAST}),
+access AS (SELECT doc_id, 1 AS kind, start, start + length(hit) AS stop FROM ({_located(secrets.ACCESS)})),
+hex AS (SELECT doc_id, 2 AS kind, start, start + length(hit) AS stop FROM ({_located(secrets.HEX)})),
+candidate AS (
+    SELECT *, CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN {most["hex"]} ELSE {most["mixed"]} END AS most
+    FROM ({_located(secrets.CANDIDATE)})
+    WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{allowed}')),
+letter AS (
+    SELECT doc_id, start, most, w, hit[w + k] AS c
+    FROM (SELECT *, unnest(range(0, {secrets.WINDOW})) AS k
+          FROM (SELECT *, unnest(range(1, length(hit) - {secrets.WINDOW} + 2)) AS w FROM candidate))),
+high AS (
+    SELECT doc_id, start, w FROM (SELECT doc_id, start, most, w, c, count(*) AS n FROM letter GROUP BY ALL)
+    GROUP BY doc_id, start, most, w HAVING sum({secrets.TERMS}[n + 1]) <= most),
+entropy AS (SELECT doc_id, 3 AS kind, start + min(w) - 1 AS start, start + max(w) - 1 + {secrets.WINDOW} AS stop FROM high GROUP BY doc_id, high.start),
+span AS (
+    SELECT *, {list(secrets.KINDS)}[kind + 1] || ':' || start || ':' || stop AS words
+    FROM (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex UNION ALL SELECT * FROM entropy))
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+    count(*) FILTER (WHERE kind = 2) AS n_hex,
+    sha256(coalesce(string_agg(words, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+    coalesce(string_agg(words, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN span ON d.doc_id = span.doc_id GROUP BY d.n, d.doc_id
+"""
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -197,4 +245,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": OP2_SQL,
         "op6_warc_revisits": OP6_SQL,
         "op7_decontamination": OP7_SQL,
+        "op8_secret_scan": op8_sql(),
     }
