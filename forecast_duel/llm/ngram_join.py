@@ -430,7 +430,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         edges = edges.unionByName(new)
         labels = stored(components(edges).withColumnRenamed("node", "class"), "labels")
-    more = stored(compared(stored(narrowed(across(buckets, labels), points), "open"), sets), "links")
+    # Few classes stay open, each in many buckets: buckets that share classes are put together, so that a set moves once.
+    open_ = stored(narrowed(across(buckets, labels), points), "open")
+    groups = components(open_.select(F.col("class").alias("u"), F.col("key").alias("v"))).withColumnRenamed("root", "bucket")
+    regrouped = stored(open_.select("class").distinct().join(groups, F.col("class") == F.col("node")).select("bucket", "class"), "regrouped")
+    more = stored(compared(across(regrouped, labels), sets), "links")
     roots = stored(components(edges.unionByName(more)).withColumnRenamed("node", "class"), "labels")
     rooted = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
