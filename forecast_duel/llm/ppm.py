@@ -32,7 +32,7 @@ from forecast_duel.llm.words import SPACED, mixed, words
 
 ORDER = 5
 #: Bound of the trie that is sent to the tasks: strings of any one order.
-MAX_NODES = 1_500_000
+MAX_NODES = 1_000_000
 BLOCK_BYTES = 8 << 20
 BITS, END, PAD, SYMBOLS = 9, 256, 257, 257
 
