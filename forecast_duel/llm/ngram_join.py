@@ -218,20 +218,20 @@ def blocks_of(n: str) -> Column:
 
 
 def narrowed(groups: DataFrame, points: DataFrame) -> DataFrame:
-    """The rows of ``groups`` that the overlap bound leaves with a partner of another label.
+    """The classes of ``groups`` that the overlap bound leaves with a partner of another label, as new buckets.
 
-    Groups that end up with the same rows become one.
+    Few classes stay, each in many groups. Groups around one component become one bucket, so that a set moves once for each.
     """
-    rows = groups.join(points, "class").select("key", "class", "label", "ask", "point").repartition("key").sortWithinPartitions("key")
+    rows = groups.join(points, "class").select("key", "class", "label", "ask", "most", "point").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         for table in in_runs(batches, "key"):
             table = table.combine_chunks()
             key, name = table.column("key").to_numpy(), table.column("class").to_numpy()
-            label, ask = table.column("label").to_numpy(), table.column("ask").to_numpy()
+            label, ask, most = (table.column(c).to_numpy() for c in ("label", "ask", "most"))
             at = points_in(table.column("point"))
             begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            keep, group = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+            keep = np.zeros(len(key), bool)
             for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(key)]):
                 own, tree = label[b:e], Forest(at[b:e])
                 for i in np.flatnonzero(ask[b:e]).tolist():
@@ -239,11 +239,9 @@ def narrowed(groups: DataFrame, points: DataFrame) -> DataFrame:
                     other = other[own[other] != own[i]]
                     if len(other):
                         keep[b + i] = keep[b + other] = True
-                stay = b + np.flatnonzero(keep[b:e])
-                group[stay] = mixed(mixed(name[stay].view(np.uint64) + ask[stay].astype(np.uint64)).sum(keepdims=True)).view(np.int64)[0] if len(stay) else 0
-            yield pa.RecordBatch.from_pydict({"key": group[keep], "class": name[keep], "label": label[keep], "ask": ask[keep]})
+            yield pa.RecordBatch.from_pydict({"bucket": most[keep], "class": name[keep]})
 
-    return rows.mapInArrow(run, "key long, class long, label long, ask boolean").distinct()
+    return rows.mapInArrow(run, "bucket long, class long").distinct()
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -254,21 +252,25 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, class, label, ask) such that in every bucket each class outside of its largest component meets all others."""
+    """(key, class, label, ask, most) such that in every bucket each class outside of its largest component meets all others.
+
+    ``most`` is that largest component of the bucket.
+    """
     named = buckets.join(labels, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("label"))
     by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = by_label.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"),
     ).where("labels > 1").withColumn("few", F.col("n") - F.col("n_most"))
     member = named.join(open_, "bucket").select(
-        "bucket", "class", "label", (F.col("label") != F.col("most")).alias("apart"),
+        "bucket", "class", "label", "most", (F.col("label") != F.col("most")).alias("apart"),
         blocks_of("n").alias("n_all"), blocks_of("few").alias("n_few"))
     own = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     asked = member.select("*", F.explode(F.sequence(F.lit(0), F.col("n_few") - 1)).alias("j")).withColumn("k", own("n_all"))
     asking = member.where("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("k")).withColumn("j", own("n_few"))
     key = F.xxhash64("bucket", "j", "k").alias("key")
-    both = asked.select(key, "class", "label", F.lit(False).alias("ask")).unionByName(asking.select(key, "class", "label", F.lit(True).alias("ask")))
-    return both.groupBy("key", "class").agg(F.max("label").alias("label"), F.max("ask").alias("ask"))
+    columns = [key, "class", "label", "most"]
+    both = asked.select(*columns, F.lit(False).alias("ask")).unionByName(asking.select(*columns, F.lit(True).alias("ask")))
+    return both.groupBy("key", "class").agg(*(F.max(c).alias(c) for c in ("label", "ask", "most")))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
@@ -430,11 +432,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         edges = edges.unionByName(new)
         labels = stored(components(edges).withColumnRenamed("node", "class"), "labels")
-    # Few classes stay open, each in many buckets: buckets that share classes are put together, so that a set moves once.
     open_ = stored(narrowed(across(buckets, labels), points), "open")
-    groups = components(open_.select(F.col("class").alias("u"), F.col("key").alias("v"))).withColumnRenamed("root", "bucket")
-    regrouped = stored(open_.select("class").distinct().join(groups, F.col("class") == F.col("node")).select("bucket", "class"), "regrouped")
-    more = stored(compared(across(regrouped, labels), sets), "links")
+    more = stored(compared(across(open_, labels), sets), "links")
     roots = stored(components(edges.unionByName(more)).withColumnRenamed("node", "class"), "labels")
     rooted = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
