@@ -1,12 +1,14 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-``train_trie`` counts every string of order + 1 symbols of all training texts on the executors; shorter contexts are
-sums of longer ones. The trie gives a symbol its frequency in the longest known context, escapes to shorter ones
+``count_strings`` counts every string of order + 1 symbols of all training texts on the executors; shorter contexts are
+sums of longer ones. A trie gives a symbol its frequency in the longest known context, escapes to shorter ones
 with the share of distinct symbols (method C) and leaves out the symbols that longer contexts have already ruled out.
 A text is scored whole, with a closing symbol; before its first byte stand padding symbols.
 
-The trie that tasks get has a stated size: when the counted strings of an order are more than ``max_nodes``, the
-contexts with the smallest counts give way to their shorter ones, whose counts stay complete.
+All counted strings take part, however many they are. They are dealt out to shards by the last two symbols of their
+context, so every context of two symbols and more lies whole in one shard with its shorter ones; strings of one and two
+symbols, whose number the alphabet bounds, are in all shards. A block of documents sends each of its distinct strings
+once to the string's shard and gets its score (float32). A shard's askers are dealt to copies of it.
 
 ``adaptive`` scores a text by a trie that starts empty and learns as it reads.
 
@@ -31,9 +33,14 @@ from forecast_duel.llm.common import stored, text_chunks
 from forecast_duel.llm.words import SPACED, mixed, words
 
 ORDER = 5
-#: Bound of the trie that is sent to the tasks: strings of any one order.
+#: Strings of a shard on average; more strings make more shards. There are ``SHARDS`` at least.
 MAX_NODES = 1_000_000
+SHARDS = 64
+#: Blocks that ask one copy of a shard.
+ASKERS = 64
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose strings are made at once (each takes 8 bytes, several times), and strings a task holds uncombined.
+GRAM_BYTES, LOOSE = 1 << 18, 1_000_000
 BITS, END, PAD, SYMBOLS = 9, 256, 257, 257
 
 
@@ -55,6 +62,37 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     return key[own], offsets + np.arange(len(offsets))
 
 
+def distinct(key: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    key = np.sort(key)
+    return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each string: a number of the last two symbols of its context. ``SHARD_SQL`` is the same in SQL."""
+    pair = (key >> BITS) & ((1 << (2 * BITS)) - 1)
+    return ((pair * 2654435761 >> 12) & 0xFFFFF) % shards
+
+
+SHARD_SQL = f"CAST(shiftright((shiftright(gram, {BITS}) & {(1 << (2 * BITS)) - 1}L) * 2654435761L, 12) & {0xFFFFF}L AS LONG) % {{shards}}"
+
+
+def by_shard(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted strings by shard, then by number; where each shard begins (one entry more than shards)."""
+    shard = shard_of(key, shards)
+    place = np.argsort(shard, kind="stable")
+    return key[place], np.searchsorted(shard[place], np.arange(shards + 1))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers with all first bytes together, then all second ones: sorted numbers compress well so."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 @dataclass(frozen=True)
 class Trie:
     """By order: known strings with counts; known contexts with total, distinct symbols and what they exclude below."""
@@ -82,9 +120,6 @@ class Trie:
         for k in range(order + 1):
             place = np.argsort(filled[k][0])
             known, count = filled[k][0][place], filled[k][1][place].astype(np.float64)
-            if k > 1:  # a context whose own shorter one has given way goes with it
-                stay = np.isin((known >> BITS) & np.int64((1 << (BITS * (k - 1))) - 1), contexts[k - 1])
-                known, count = known[stay], count[stay]
             context, inside = np.unique(known >> BITS, return_inverse=True)
             keys.append(known)
             counts.append(count)
@@ -144,7 +179,28 @@ class Trie:
         return out
 
 
-def train_trie(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
+class Scores:
+    """The scores of the distinct strings of a block, found by hash and else by search."""
+
+    def __init__(self, key: np.ndarray, score: np.ndarray):
+        place = np.argsort(key)
+        self.key, self.score = key[place], score[place]
+        self.bits = max(10, int(np.ceil(np.log2(2 * len(key) + 1))))
+        self.slot_key, self.slot_score = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        slot = Trie.slot(self.key, self.bits)
+        self.slot_key[slot], self.slot_score[slot] = self.key, self.score
+        # Of the strings of a slot one is written; both arrays must hold the same one.
+        self.slot_score[slot] = self.score[np.searchsorted(self.key, self.slot_key[slot])]
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        slot = Trie.slot(key, self.bits)
+        out = self.slot_score[slot].astype(np.float64)
+        other = np.flatnonzero(self.slot_key[slot] != key)
+        out[other] = self.score[np.searchsorted(self.key, key[other])]
+        return out
+
+
+def count_strings(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Count the strings of all texts of ``docs``; every task sends each of its distinct strings once."""
     def count(batches):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -156,37 +212,16 @@ def train_trie(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_
             return known, n.astype(np.int64)
 
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch, text_col):
+            for _, _, data, offsets in text_chunks(batch, text_col, GRAM_BYTES):
                 parts.append(np.unique(grams(data, offsets, order)[0], return_counts=True))
-                if sum(len(k) for k, _ in parts) > 4_000_000:
+                if sum(len(k) for k, _ in parts[1:]) > LOOSE:
                     parts[:] = [together()]
         known, n = together()
         for i in range(0, len(known), 1 << 16):
             yield pa.RecordBatch.from_pydict({"gram": known[i : i + (1 << 16)], "n": n[i : i + (1 << 16)]})
 
     counted = docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    strings, levels = stored(counted, "grams"), {}
-    for k in range(order, -1, -1):
-        fits = strings.count() <= max_nodes
-        table = (strings if fits else heaviest(strings, max_nodes)).toArrow()
-        levels[k] = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        if fits:
-            break
-        strings = strings.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    return Trie.build(levels, order)
-
-
-def heaviest(strings: DataFrame, max_nodes: int) -> DataFrame:
-    """The strings of the contexts with the largest counts, ``max_nodes`` at most; a context stays whole or goes."""
-    context = F.shiftright("gram", BITS).alias("context")
-    weights = strings.groupBy(context).agg(F.sum("n").alias("weight"), F.count("*").alias("size"))
-    taken, least = 0, 0
-    for row in weights.groupBy("weight").agg(F.sum("size").alias("size")).orderBy(F.desc("weight")).toLocalIterator():
-        taken += row["size"]
-        if taken > max_nodes:
-            least = row["weight"]
-            break
-    return strings.withColumn("context", context).join(weights.where(F.col("weight") > least).select("context"), "context", "left_semi").select("gram", "n")
+    return stored(counted, "grams")
 
 
 def adaptive(text: bytes, order: int = ORDER) -> float:
@@ -226,48 +261,87 @@ def score_documents(docs: DataFrame, training: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     source = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.expr(training), F.lit(False)).alias("learn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    trie = train_trie(source.where("learn").select("text"), order=order, max_nodes=max_nodes) if mode == "pretrained" else None
     size = source.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learn").alias("learned")).first()
     blocks = max(1, -(-(size["bytes"] or 0) // block_bytes))
     blocked = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition("block")
 
-    def vocabulary(batches):
-        for batch in batches:
-            learn = batch.column("learn").to_numpy(zero_copy_only=False)
-            block = batch.column("block").to_numpy()
-            for b in np.unique(block):
-                part = batch.filter(pa.array(block == b))
-                taught = learn[block == b]
-                for i, j, data, offsets in text_chunks(part, "text", block_bytes):
-                    found = words(data, offsets, SPACED)
-                    weight = np.repeat(taught[i:j], np.diff(found.first)).astype(np.int64)
-                    known, at = np.unique(found.code.view(np.int64), return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({
-                        "word": known, "block": np.full(len(known), b, np.int32),
-                        "n": np.bincount(at, weight, len(known)).astype(np.int64)})
-
+    pretrained = mode == "pretrained"
+    strings = count_strings(source.where("learn").select("text"), order=order) if pretrained else None
+    shards = max(SHARDS, -(-strings.count() // max_nodes)) if pretrained else 1
+    copies = -(-blocks // ASKERS)
+
+    def ask(table: pa.Table) -> pa.Table:
+        """The distinct words of a block with their training counts, and its distinct strings by shard."""
+        code, weight, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in table.to_batches():
+            taught = batch.column("learn").to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in text_chunks(batch, "text", GRAM_BYTES):
+                found = words(data, offsets, SPACED)
+                code.append(found.code.view(np.int64))
+                weight.append(np.repeat(taught[i:j], np.diff(found.first)).astype(np.int64))
+                if pretrained:
+                    key.append(distinct(grams(data, offsets, order)[0]))
+        word, at = np.unique(np.concatenate(code), return_inverse=True)
+        n = np.bincount(at, np.concatenate(weight), len(word)).astype(np.int64)
+        key, first = by_shard(distinct(np.concatenate(key)), shards)
+        used = np.flatnonzero(np.diff(first))
+        return pa.Table.from_pydict({
+            "block": np.full(len(word) + len(used), table.column("block")[0].as_py(), np.int32),
+            "word": pa.concat_arrays([pa.array(word), pa.nulls(len(used), pa.int64())]),
+            "n": pa.concat_arrays([pa.array(n), pa.nulls(len(used), pa.int64())]),
+            "shard": pa.concat_arrays([pa.nulls(len(word), pa.int64()), pa.array(used)]),
+            "data": pa.concat_arrays([pa.nulls(len(word), pa.binary()), pa.array([planes(key[first[q] : first[q + 1]]) for q in used], pa.binary())])})
+
+    asked = stored(blocked.select("block", "learn", "text").groupBy("block").applyInArrow(
+        ask, "block int, word long, n long, shard long, data binary"), "asked")
     counts = stored(
-        blocked.select("block", "learn", "text").mapInArrow(vocabulary, "word long, block int, n long")
-        .groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "words")
+        asked.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     learned = int(size["learned"] or 0)
     n_all, n_distinct = int(sums["n"] or 0) + learned, int(sums["distinct"] or 0) + (learned > 0)
-    known_words = counts.where("n > 0").select(F.explode("blocks").alias("block"), "word", "n")
+    known = counts.where("n > 0").select(
+        F.explode("blocks").alias("block"), "word", "n", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("data"))
+
+    if pretrained:
+        # Strings of one and two symbols: their number is bounded by the alphabet.
+        short, lowest = min(order, 1), {}
+        shortest = strings.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (BITS * (short + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+        lowest[short] = shortest.column("gram").to_numpy(), shortest.column("n").to_numpy()
+        if short:
+            last, at = np.unique(lowest[1][0] & ((1 << BITS) - 1), return_inverse=True)
+            lowest[0] = last, np.bincount(at, lowest[1][1], len(last))
+        shared = spark.sparkContext.broadcast(lowest)
+
+        def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+            """The scores of all strings that blocks ask a shard for."""
+            trie = Trie.build({order: (left.column("gram").to_numpy(), left.column("n").to_numpy())} | shared.value, order)
+            scores = [planes(trie.score(from_planes(x.as_py(), np.int64)).astype(np.float32)) for x in right.column("data")]
+            return pa.Table.from_arrays([right.column("block"), right.column("shard"), pa.array(scores, pa.binary())], names=["block", "shard", "data"])
+
+        dealt = strings.select(F.expr(SHARD_SQL.format(shards=shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "gram", "n")
+        asks = asked.where("shard IS NOT NULL").select("shard", (F.col("block") % copies).alias("copy"), "block", "data")
+        answers = dealt.groupBy("shard", "copy").cogroup(asks.groupBy("shard", "copy")).applyInArrow(answer, "block int, shard long, data binary")
+        known = known.unionByName(answers, allowMissingColumns=True)
 
     out = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("learn", T.BooleanType()),
         *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    shared = spark.sparkContext.broadcast(vars(trie) if trie else None)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        word, n = right.column("word").to_numpy(), right.column("n").to_numpy()
+        told = right.filter(right.column("word").is_valid())
+        word, n = told.column("word").to_numpy(), told.column("n").to_numpy()
         order_ = np.argsort(word)
         word, n = word[order_], n[order_]
-        model_of = Trie(**shared.value) if shared.value else None
-        parts = []
-        for batch in left.combine_chunks().to_batches():
-            for i, j, data, offsets in text_chunks(batch, "text"):
+        batches, parts = left.combine_chunks().to_batches(), []
+        if pretrained:
+            # The strings are in the order in which they were asked for.
+            keys = [distinct(grams(data, offsets, order)[0]) for batch in batches for _, _, data, offsets in text_chunks(batch, "text", GRAM_BYTES)]
+            answered = right.filter(right.column("shard").is_valid()).sort_by("shard").column("data")
+            own = by_shard(distinct(np.concatenate([np.zeros(0, np.int64), *keys])), shards)[0]
+            model_of = Scores(own, np.concatenate([np.zeros(0, np.float32), *(from_planes(x.as_py(), np.float32) for x in answered)]))
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch, "text", GRAM_BYTES):
                 found = words(data, offsets, SPACED)
                 c = np.zeros(len(found.code))
                 if len(word):
@@ -281,7 +355,7 @@ def score_documents(docs: DataFrame, training: str, id_col: str = "doc_id", text
                     model = np.array([adaptive(data[a:b].tobytes(), order) for a, b in zip(offsets, offsets[1:])])
                 else:
                     key, first = grams(data, offsets, order)
-                    model = np.add.reduceat(model_of.score(key), first[:-1])
+                    model = np.add.reduceat(model_of.of(key), first[:-1])
                 part = batch.slice(i, j - i)
                 parts.append(pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("learn"), pa.array(np.diff(found.first) + 1),
@@ -291,4 +365,4 @@ def score_documents(docs: DataFrame, training: str, id_col: str = "doc_id", text
             (id_col, left.schema.field("id").type), ("learn", pa.bool_()), *((c, pa.int64()) for c in out.names[2:5]),
             *((c, pa.float64()) for c in out.names[5:])]))
 
-    return blocked.groupBy("block").cogroup(known_words.groupBy("block")).applyInArrow(score, out)
+    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, out)

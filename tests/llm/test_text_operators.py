@@ -231,6 +231,16 @@ def test_trie_equals_the_plain_model():
         assert trie.score(keys).sum() == pytest.approx(brute_ppm(train, text), abs=1e-5)
 
 
+@pytest.mark.parametrize("max_nodes", [10**6, 40])
+def test_scores_use_every_counted_string(docs_of, max_nodes):
+    train = [(2 * i, t) for i, t in enumerate(("abracadabra", "", "the cat sat on the mat", "abab", "é漢 the hat", "rare words once", "the cat sat"))]
+    asks = [(1, ""), (3, "the hat"), (5, "cadabra"), (7, "zebra the cat"), (9, "rare words once 漢"), (None, None)]
+    learned = [t.encode() for _, t in train]
+    scored = ppm.score_documents(docs_of(train + asks), "doc_id % 2 = 0", max_nodes=max_nodes, block_bytes=20).collect()
+    got = {r.doc_id: r.score for r in scored}
+    assert got == {i: pytest.approx(brute_ppm(learned, (t or "").encode()), abs=1e-5) for i, t in train + asks}
+
+
 def test_adaptive_scores_learn_while_reading(docs_of):
     scored = {r.doc_id: r.score for r in ppm.score_documents(docs_of([(1, "abcd" * 40), (2, ""), (3, None)]), "true", mode="adaptive").collect()}
     assert scored[2] == scored[3] == pytest.approx(-log10(257)) and scored[1] / 161 > -0.5
