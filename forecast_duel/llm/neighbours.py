@@ -9,6 +9,10 @@ than the k-th best would lie that far out only with a probability below ``miss``
 Candidates are dealt out to cells, the leaves of a kd-tree fitted on a bounded sample; all rows are indexed. A query
 reads its own cell first, then the cells that its stopping test still leaves open, so cells are searched apart.
 
+No group is unbounded: of equal vectors the k + 1 smallest ids are candidates, as no other can be among k best; a cell
+with more than ``cell_rows`` candidates is dealt to several parts, each of which all its queries read; a cell or part
+with more queries than that is copied for them. Partial lists are merged.
+
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; a
 shorter vector counts as filled up with zeros; of repeated ids the smallest vector stands; ties go to the smaller id.
 """
@@ -17,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecast_duel.llm.common import hash_share, stored
+from forecast_duel.llm.words import mixed
 
 DIMENSIONS = 8
 #: Probability of stopping before a given true neighbour is read.
@@ -111,6 +116,11 @@ class Cell:
         return ids, scores
 
 
+def dealt(ids: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """A number below ``among`` for each id."""
+    return (mixed(ids.astype(np.int64).view(np.uint64)) % among.astype(np.uint64)).astype(np.int64)
+
+
 def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
                dimensions: int = DIMENSIONS, miss: float = MISS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """query_id, rank from 1, id and score of each query's k nearest found; ``is_query`` is SQL over the columns of ``vectors``."""
@@ -123,7 +133,10 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
         .groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")))
     norm2 = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     clean = stored(clean.withColumn("norm2", norm2), "vectors")
-    size = clean.agg(F.count("*").alias("n"), F.max("norm2").alias("norm2"), F.max(F.size("vector")).alias("width")).first()
+    # The rank is cut at k + 1 before rows are dealt out by vector, so many copies of one are no large group.
+    copies = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
+    able = stored(clean.select("id", "vector", "norm2", F.row_number().over(copies).alias("copy")).where(F.col("copy") <= k + 1).drop("copy"), "candidates")
+    size = able.agg(F.count("*").alias("n"), F.max("norm2").alias("norm2"), F.max(F.size("vector")).alias("width")).first()
     n, width = size["n"], size["width"] or 1
     largest = float(np.sqrt(size["norm2"] or 1.0))
     directions = np.random.default_rng(7).standard_normal((width + 1, dimensions))
@@ -147,7 +160,7 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
 
     # The cells: splits of a sample of bounded size. Their boxes come from all rows.
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    sample = clean.where(hash_share("id") < share).orderBy(hash_share("id")).limit(SAMPLE_ROWS).select("vector").toArrow()
+    sample = able.where(hash_share("id") < share).orderBy(hash_share("id")).limit(SAMPLE_ROWS).select("vector").toArrow()
     nodes = splits(lifted(matrix(sample.column("vector"))), depth) if depth else np.zeros((0, 2))
 
     def to_cells(batches):
@@ -155,30 +168,34 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
             cell = leaf_of(lifted(matrix(batch.column("vector"))), nodes) if len(batch) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("id"), batch.column("vector")], names=["cell", "id", "vector"])
 
-    candidates = stored(clean.select("id", "vector").mapInArrow(to_cells, "cell long, id long, vector array<double>"), "cells")
+    candidates = stored(able.select("id", "vector").mapInArrow(to_cells, "cell long, id long, vector array<double>"), "cells")
 
     def boxes_of(batches):
         low: dict[int, np.ndarray] = {}
         high: dict[int, np.ndarray] = {}
+        rows: dict[int, int] = {}
         for batch in batches:
             cell, points = batch.column("cell").to_numpy(), lifted(matrix(batch.column("vector")))
             for c in np.unique(cell).tolist():
                 own = points[cell == c]
                 low[c] = np.minimum(low.get(c, np.inf), own.min(axis=0))
                 high[c] = np.maximum(high.get(c, -np.inf), own.max(axis=0))
+                rows[c] = rows.get(c, 0) + len(own)
         yield pa.RecordBatch.from_pydict({
-            "cell": pa.array(list(low), pa.int64()), "low": pa.array([x.tolist() for x in low.values()], pa.list_(pa.float64())),
+            "cell": pa.array(list(low), pa.int64()), "rows": pa.array(list(rows.values()), pa.int64()), "low": pa.array([x.tolist() for x in low.values()], pa.list_(pa.float64())),
             "high": pa.array([x.tolist() for x in high.values()], pa.list_(pa.float64()))})
 
-    parts = candidates.mapInArrow(boxes_of, "cell long, low array<double>, high array<double>")
+    parts = candidates.mapInArrow(boxes_of, "cell long, rows long, low array<double>, high array<double>")
     limits = parts.groupBy("cell").agg(
+        F.sum("rows").alias("rows"),
         F.array(*(F.min(F.col("low")[i]) for i in range(dimensions))).alias("low"),
         F.array(*(F.max(F.col("high")[i]) for i in range(dimensions))).alias("high"))
     # A box a cell: one row for ``cell_rows`` candidates.
-    boxes = limits.toArrow()
+    boxes = limits.toArrow().sort_by("cell")
     cells = boxes.column("cell").to_numpy()
     low = np.array(boxes.column("low").to_pylist()).reshape(-1, dimensions)
     high = np.array(boxes.column("high").to_pylist()).reshape(-1, dimensions)
+    parts_of = -(-boxes.column("rows").to_numpy() // cell_rows)
 
     def route(batches):
         """The nearest cell of each query."""
@@ -208,9 +225,27 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     asked = "cell long, id long, vector array<double>, bound double"
 
     def searched(queries: DataFrame) -> DataFrame:
-        """Each query's best k of its cell. A cell's candidates come before its queries, which stream."""
-        both = candidates.select("cell", "id", "vector", F.lit(None).cast("double").alias("bound"), F.lit(0).alias("kind")).unionByName(
-            queries.withColumn("kind", F.lit(1))).repartition("cell").sortWithinPartitions("cell", "kind")
+        """Each query's best k of its cell. A group's candidates come before its queries, which stream."""
+        asking = queries.groupBy("cell").count().toArrow()
+        copies_of = np.ones(len(cells), np.int64)
+        copies_of[np.searchsorted(cells, asking.column("cell").to_numpy())] = -(-asking.column("count").to_numpy() // cell_rows)
+        begin = np.r_[0, np.cumsum(parts_of * copies_of)]
+
+        def spread(batches, asks: bool):
+            """Candidates go to all copies of one part of their cell, queries to one copy of all parts; a group is a part's copy."""
+            for batch in batches:
+                at, ids = np.searchsorted(cells, batch.column("cell").to_numpy()), batch.column("id").to_numpy()
+                times = (parts_of if asks else copies_of)[at]
+                row = np.repeat(np.arange(len(at)), times)
+                turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                fixed = dealt(ids, (copies_of if asks else parts_of)[at])[row]
+                group = begin[at[row]] + (turn * copies_of[at[row]] + fixed if asks else fixed * copies_of[at[row]] + turn)
+                kept = batch.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), *kept.columns[1:]], names=batch.schema.names)
+
+        held = candidates.mapInArrow(lambda batches: spread(batches, False), "cell long, id long, vector array<double>")
+        both = held.select("cell", "id", "vector", F.lit(None).cast("double").alias("bound"), F.lit(0).alias("kind")).unionByName(
+            queries.mapInArrow(lambda batches: spread(batches, True), asked).withColumn("kind", F.lit(1))).repartition("cell").sortWithinPartitions("cell", "kind")
 
         def search(batches):
             waiting, tree, of = [], None, None
@@ -252,6 +287,6 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     at_home = best(first).select(F.col("query_id").alias("id"), F.when(F.size("found") == k, -F.element_at("found", -1)["minus"]).alias("bound"))
     onward = homes.drop("bound").withColumnRenamed("cell", "home").join(at_home, "id", "left").withColumn(
         "bound", F.coalesce("bound", F.lit(float("-inf"))))
-    second = searched(onward.mapInArrow(route_on, asked))
+    second = searched(stored(onward.mapInArrow(route_on, asked), "onward"))
     ranked = best(first.unionByName(second)).select("query_id", F.posexplode("found").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.minus")).alias("score"))

@@ -10,6 +10,7 @@ from oracle_check import differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from forecast_duel.llm import neighbours as nearest
 from forecast_duel.llm.components import components
 from forecast_duel.llm.neighbours import chi_square_below, neighbours, stop_ratio
 from forecast_duel.llm.queries import llm_oracle_sql, llm_queries
@@ -76,6 +77,29 @@ def test_recall_over_many_cells(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
+def test_no_group_of_a_search_is_large(spark, monkeypatch):
+    class Bounded(nearest.Cell):
+        def __init__(self, ids, vectors, projected):
+            assert len(ids) <= 200, f"a cell of {len(ids)} rows"
+            super().__init__(ids, vectors, projected)
+
+    monkeypatch.setattr(nearest, "Cell", Bounded)
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", 16)  # cells of very different sizes
+    rng = np.random.default_rng(5)
+    same = rng.normal(size=16).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.normal(size=16).tolist()) for i in range(1800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours(df, "vec_id % 20 = 0 OR vec_id % 3 = 0", k=10, cell_rows=200).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found.keys() == {i for i in range(1800) if i % 20 == 0 or i % 3 == 0}
+    for q in range(0, 1800, 3):
+        assert found[q] == [i for i in range(0, 36, 3) if i != q][:10]
+    want = brute_nearest(rows, 10)
+    odd = [q for q in want if q % 3]
+    assert sum(len(set(found[q]) & {i for _, i in want[q]}) for q in odd) / (10 * len(odd)) >= 0.9
+
+
 def test_chi_square():
     assert float(chi_square_below(np.array(15.50731), 8)) == pytest.approx(0.95, abs=1e-6)
     assert stop_ratio(0.05, 8) == pytest.approx(15.50731, abs=1e-4)
