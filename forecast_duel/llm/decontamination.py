@@ -8,20 +8,23 @@ term and intersects it with the other lists, each shifted by its offset, until n
 
 Words are compared by 64-bit codes. Defined results: a null text has no words; an item without words or with a null
 id takes no part; items of the same id are one item with several texts; repeated documents are judged each.
-Test items are handed to the tasks in blocks of ``BLOCK_WORDS`` words at most, one search a block, so a
-benchmark of any size is searched whole.
+Test items are tokenised into a stored table of blocks of about ``BLOCK_WORDS`` words. The driver holds one block at a
+time: it hands it to the tasks, which make the windows, and has the found matches stored before it takes the next.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecast_duel.llm.common import row_ranges, stored, text_chunks
+from forecast_duel.llm.common import row_ranges, shared_folder, stored, text_chunks
 from forecast_duel.llm.words import ALPHANUMERIC, words
 
 WINDOW = 13
@@ -58,11 +61,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stored(source.mapInArrow(run, schema), "postings", {"parquet.block.size": 16 << 20})
 
 
-def item_windows(item_words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Word codes of each window; an item with fewer words is one shorter window."""
-    if len(item_words) <= window:
-        return item_words[None, :]
-    return np.lib.stride_tricks.sliding_window_view(item_words, window)
+def item_windows(first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first word and size of each window of items that begin at ``first``; one with fewer words is one shorter window."""
+    length = np.diff(first)
+    n = np.maximum(length - window, 0) + 1
+    of = np.repeat(np.arange(len(length)), n)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), np.minimum(length, window)[of]
 
 
 class Shard:
@@ -125,7 +129,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def search_block(index: DataFrame, items: list[tuple], id_col: str, item_type: T.DataType, window: int, within: int | None) -> DataFrame:
+def search_block(index: DataFrame, items: pa.Table, id_col: str, item_type: T.DataType, window: int, within: int | None) -> DataFrame:
     """Matches of one bounded block of (item id, word codes) in every shard, one row a document."""
     schema = T.StructType([
         T.StructField("shard", T.StringType()), T.StructField("ordinal", T.IntegerType()),
@@ -133,27 +137,25 @@ def search_block(index: DataFrame, items: list[tuple], id_col: str, item_type: T
         T.StructField("matches", T.ArrayType(T.StructType([
             T.StructField("item_id", item_type), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     ])
-    by_size: dict[int, tuple[list, list]] = {}
-    for item, codes in items:
-        for codes_of_window in item_windows(codes, window):
-            of, rows = by_size.setdefault(len(codes_of_window), ([], []))
-            of.append(item)
-            rows.append(codes_of_window)
-    blocks = [(of, np.stack(rows)) for of, rows in by_size.values()]
-
-    def matches_of(shard: Shard) -> dict[int, list[tuple]]:
+    names = items.column("item").to_pylist()
+    lists = items.column("codes").combine_chunks()
+    flat, sizes_of = lists.flatten().to_numpy().view(np.uint64), pc.list_value_length(lists).to_numpy()
+    first = np.r_[0, np.cumsum(sizes_of, dtype=np.int64)]
+
+    def matches_of(shard: Shard, of: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> dict[int, list[tuple]]:
         spans: dict[tuple, list[tuple[int, int]]] = {}
-        for of, codes in blocks:
-            terms, sizes = shard.lookup(codes)
-            for row in np.flatnonzero((sizes > 0).all(axis=1)):
-                if within is None:
-                    at = shard.phrase(terms[row], sizes[row])
-                    ends = at + codes.shape[1]
-                else:
-                    at = shard.proximity(terms[row], sizes[row], within)
-                    ends = at + 1
-                for doc, s, e in zip(shard.document(at).tolist(), at.tolist(), ends.tolist()):
-                    spans.setdefault((doc, of[row]), []).append((s - int(shard.first[doc]), e - int(shard.first[doc])))
+        terms, sizes = shard.lookup(flat)
+        there = np.r_[0, np.cumsum(sizes > 0)]
+        for row in np.flatnonzero(there[starts + lengths] - there[starts] == lengths):
+            own = slice(starts[row], starts[row] + lengths[row])
+            if within is None:
+                at = shard.phrase(terms[own], sizes[own])
+                ends = at + lengths[row]
+            else:
+                at = shard.proximity(terms[own], sizes[own], within)
+                ends = at + 1
+            for doc, s, e in zip(shard.document(at).tolist(), at.tolist(), ends.tolist()):
+                spans.setdefault((doc, names[of[row]]), []).append((s - int(shard.first[doc]), e - int(shard.first[doc])))
         out: dict[int, list[tuple]] = {}
         for (doc, item), found in spans.items():
             found.sort()
@@ -161,11 +163,12 @@ def search_block(index: DataFrame, items: list[tuple], id_col: str, item_type: T
         return out
 
     def run(batches):
+        windows = item_windows(first, window)
         for batch in batches:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 shard = Shard(*(row[c].as_py() for c in ("first", "terms", "begins", "postings")))
-                found, n = matches_of(shard), len(row["ids"])
+                found, n = matches_of(shard, *windows), len(row["ids"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["shard"].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), row["ids"].values,
                     pa.array(np.diff(shard.first)),
@@ -182,7 +185,7 @@ def search_block(index: DataFrame, items: list[tuple], id_col: str, item_type: T
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
            window: int = WINDOW, within: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a document of the index: id, n_words and matches (item_id, start and end word), spans of an item united.
+    """One row a document of the index: id, n_words and matches (item_id, start and end word), spans of an item united within a block.
 
     ``within`` asks for proximity instead of exact phrases.
     """
@@ -195,25 +198,20 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
 
     item_type = items.schema[item_col].dataType
     named = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    tokens = named.mapInArrow(codes, T.StructType([
-        T.StructField("item", item_type), T.StructField("codes", T.ArrayType(T.LongType()))])).where("size(codes) > 0")
-    parts, block, size = [], [], 0
-
-    def flush():
-        parts.append(search_block(index, list(block), id_col, item_type, window, within))
-
-    for row in tokens.toLocalIterator():
-        if block and size + len(row["codes"]) > block_words:
-            flush()
-            block, size = [], 0
-        block.append((row["item"], np.array(row["codes"], np.int64).view(np.uint64)))
-        size += len(row["codes"])
-    flush()
-    if len(parts) == 1:
-        return parts[0].drop("shard", "ordinal")
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
+    tokens = stored(named.mapInArrow(codes, T.StructType([
+        T.StructField("item", item_type), T.StructField("codes", T.ArrayType(T.LongType()))])).where("size(codes) > 0"), "items")
+    blocks = -(-(tokens.agg(F.sum(F.size("codes"))).first()[0] or 0) // block_words)
+    if blocks <= 1:
+        return search_block(index, tokens.toArrow(), id_col, item_type, window, within).drop("shard", "ordinal")
+    # Rows of a block lie together, so each block is read with few others.
+    number = F.pmod(F.xxhash64("item", "codes"), F.lit(blocks))
+    numbered = stored(tokens.withColumn("block", number).repartition("block").sortWithinPartitions("block"), "blocks")
+    path = f"{shared_folder(index.sparkSession)}/matches-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        found = search_block(index, numbered.where(F.col("block") == b).select("item", "codes").toArrow(), id_col, item_type, window, within)
+        # The first block names all documents, the others those they match.
+        (found.where("size(matches) > 0") if b else found).write.mode("append").parquet(path)
+    together = index.sparkSession.read.schema(found.schema).parquet(path)
     return (
         together.groupBy("shard", "ordinal")
         .agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"),

@@ -333,6 +333,25 @@ def test_contamination_equals_brute_force(spark, edges, empty, block_words):
     assert {r.n_hit for r in decontamination.contamination(decontamination.search(decontamination.build_index(edges), bench.limit(0))).collect()} == {0}
 
 
+def test_blocks_of_items_are_searched_one_after_another(spark, docs_of, monkeypatch):
+    text = [f"w{i}" for i in range(400)]
+    index = decontamination.build_index(docs_of([(1, " ".join(text)), (2, "other words"), (3, " ".join(text[200:260]))]))
+    items = spark.createDataFrame([(i, " ".join(text[4 * i : 4 * i + 20])) for i in range(90)] + [(200, "other")], "item_id long, text string")
+    whole = {r.doc_id: sorted(map(tuple, r.matches)) for r in decontamination.search(index, items).collect()}
+    held, search_block = [], decontamination.search_block
+
+    def one(index, block, *rest):
+        held.append(len(block))
+        return search_block(index, block, *rest)
+
+    monkeypatch.setattr(decontamination, "search_block", one)
+    found = decontamination.search(index, items, block_words=300)
+    assert {r.doc_id: sorted(map(tuple, r.matches)) for r in found.collect()} == whole and len(whole[1]) == 90 and len(whole[2]) == 1
+    assert len(held) > 3 and sum(held) == 91 and max(held) < 60
+    # No search and no block of items is left in the plan of the result.
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
 def test_proximity_wants_all_terms_nearby(spark, docs_of):
     index = decontamination.build_index(docs_of([(1, "red x x green x blue"), (2, "red x x x x x x x green blue"), (3, "red green")]))
     item = spark.createDataFrame([(7, "blue green red")], "item_id long, text string")
