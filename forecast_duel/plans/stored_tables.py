@@ -7,20 +7,11 @@ the lineage.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from forecast_duel.settings import Settings
 from forecast_duel.sources.parquet_table import read_parquet, write_parquet
-
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: below spark.checkpoint.dir, else below the warehouse."""
-    root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/forecast-duel/{name}-{uuid.uuid4().hex}"
+from forecast_duel.sources.scratch import scratch_path
 
 
 class StoredTables:
