@@ -12,6 +12,7 @@ from forecast_duel.llm import secrets
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.language import fit_language, identify
+from forecast_duel.llm.mixing import mix
 from forecast_duel.llm.neighbours import neighbours
 from forecast_duel.llm.ngram_join import near_duplicates
 from forecast_duel.llm.packing import pack
@@ -225,6 +226,41 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT doc_id AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
+s AS (
+    SELECT *, [3, 1, 2][(place - 1) % 3 + 1] AS weight, 2 * source_size AS cap, 2 * source_size * 6 // [3, 1, 2][(place - 1) % 3 + 1] AS ratio
+    FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source)),
+level AS (
+    SELECT *, CAST(sum(cap) OVER (ORDER BY ratio, place) AS BIGINT) AS cap_so_far, CAST(sum(weight) OVER (ORDER BY ratio, place) AS BIGINT) AS weight_so_far,
+        CAST(sum(source_size) OVER () AS BIGINT) AS whole, CAST(sum(weight) OVER () AS BIGINT) AS weights FROM s),
+filled AS (SELECT *, (cap_so_far * 6 + ratio * (weights - weight_so_far)) * 2 <= whole * 18 AS is_full FROM level),
+rest AS (
+    SELECT *, CAST(coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0) AS BIGINT) AS full_cap,
+        CAST(coalesce(sum(weight) FILTER (WHERE is_full) OVER (), 0) AS BIGINT) AS full_weight FROM filled),
+targets AS (
+    SELECT source, source_size, place, weight, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+        ELSE CAST(whole * 3 - full_cap * 2 AS DOUBLE) * weight / CAST((weights - full_weight) * 2 AS DOUBLE) END AS target FROM rest),
+queue AS (
+    SELECT id, size, source_size, target, place, weight, row_number() OVER () AS n,
+        CAST(sum(size) OVER (PARTITION BY place ORDER BY shuffle, id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS served
+    FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source),
+items AS (
+    SELECT n, size, place, (served + r * source_size) * 6 // weight AS finish FROM queue, (SELECT unnest([0, 1]) AS r) WHERE size > 0),
+taken AS (
+    SELECT n, sum(size) AS words
+    FROM (SELECT *, sum(size) OVER (ORDER BY finish, place ROWS UNBOUNDED PRECEDING) AS total FROM items)
+    WHERE total * 2 <= (SELECT sum(size) FROM d) * 3 GROUP BY n)
+SELECT id AS doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken FROM queue LEFT JOIN taken USING (n)
+"""
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -237,6 +273,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -246,4 +283,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_warc_revisits": OP6_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_secret_scan": op8_sql(),
+        "op13_mixing": OP13_SQL,
     }
