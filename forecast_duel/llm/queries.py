@@ -16,6 +16,7 @@ from forecast_duel.llm.mixing import mix
 from forecast_duel.llm.neighbours import neighbours
 from forecast_duel.llm.ngram_join import near_duplicates
 from forecast_duel.llm.packing import pack
+from forecast_duel.llm.phrases import collocations
 from forecast_duel.llm.ppm import score_documents
 from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 from forecast_duel.llm.repeats import removed
@@ -226,6 +227,40 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+counts AS (
+    SELECT lang, size, phrase, count(*) AS a
+    FROM (SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+          FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+                FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(words) >= size))
+    GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+    SELECT c.lang, c.size, c.phrase, c.a, k, f.a AS l, s.a AS r, n,
+        CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(f.a AS HUGEINT) * s.a) AS BIGINT) AS score
+    FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+    JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(words[1:k], ' ')
+    JOIN counts s ON s.lang = c.lang AND s.phrase = array_to_string(words[k + 1:], ' ')
+    JOIN totals ON totals.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM counts c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 100 * b.a
+        AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT * FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept)
+WHERE rank <= 2000
+"""
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -273,6 +308,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_phrase_collocations": op12_phrase_collocations,
         "op13_mixing": op13_mixing,
     }
 
@@ -283,5 +319,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_warc_revisits": OP6_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_secret_scan": op8_sql(),
+        "op12_phrase_collocations": OP12_SQL,
         "op13_mixing": OP13_SQL,
     }
