@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from forecast_duel.llm import secrets
 from forecast_duel.llm.common import fold
 from forecast_duel.llm.decontamination import build_index, contamination, search
+from forecast_duel.llm.divergence import audit
 from forecast_duel.llm.language import fit_language, identify
 from forecast_duel.llm.mixing import mix
 from forecast_duel.llm.neighbours import neighbours
@@ -227,6 +228,40 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occurrences AS (
+    SELECT id, lang, source, term, count(*) AS n
+    FROM (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS whole FROM occurrences GROUP BY lang, term HAVING count(*) >= 10),
+langs AS (SELECT d.lang, count(DISTINCT term) AS v FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN kept USING (lang) GROUP BY d.lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM occurrences GROUP BY ALL),
+cells AS (SELECT grp.lang, grp.source, term, coalesce(n, 0) AS n, whole FROM grp JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+priced AS (
+    SELECT lang, source, term, n, 1 + CAST(CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p,
+        1 + CAST(CAST(1000000000 AS HUGEINT) * (whole + 2) // (sum(whole) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS q
+    FROM cells JOIN langs USING (lang)),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+    FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+    FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM priced WHERE n > 0 AND p > q)
+SELECT * FROM (
+    SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -308,6 +343,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_source_divergence": op11_source_divergence,
         "op12_phrase_collocations": op12_phrase_collocations,
         "op13_mixing": op13_mixing,
     }
@@ -319,6 +355,7 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_warc_revisits": OP6_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_secret_scan": op8_sql(),
+        "op11_source_divergence": OP11_SQL,
         "op12_phrase_collocations": OP12_SQL,
         "op13_mixing": OP13_SQL,
     }
