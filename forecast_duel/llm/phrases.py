@@ -31,7 +31,9 @@ _SPLIT[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _INSIDE = ~_SPLIT
 _INSIDE[[9, 32]] = False
 #: Occurrences that a task sums up at once, rows of its exact counts, and occurrences for each hash partition.
-FLUSH, TALLIED, PARTITION_MASS = 1 << 22, 1 << 19, 1 << 27
+FLUSH, TALLIED, PARTITION_MASS = 1 << 21, 1 << 18, 1 << 25
+#: Capacity of a summary as a multiple of mass / ``least``: counts are then lowered by at most an eighth of ``least``.
+ROOM = 8
 SUMMARY = "partition int, mass long, codes binary, counts binary"
 
 
@@ -102,13 +104,13 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def cut(codes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A Misra-Gries summary of at most ``capacity`` codes: all counts are lowered by the largest one that must go."""
+def cut(codes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A Misra-Gries summary of at most ``capacity`` codes: all counts are lowered by the largest one that must go, which is returned."""
     if len(codes) <= capacity:
-        return codes, counts
-    lower = np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+        return codes, counts, 0
+    lower = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
     keep = counts > lower
-    return codes[keep], counts[keep] - lower
+    return codes[keep], counts[keep] - lower, lower
 
 
 def summaries(docs: DataFrame, found: Callable[[Sequences], Iterator], n_partitions: int) -> DataFrame:
@@ -143,12 +145,13 @@ def summaries(docs: DataFrame, found: Callable[[Sequences], Iterator], n_partiti
 
 
 def survivors(parts: DataFrame, least: int) -> DataFrame:
-    """(code) of every occurrence count that may reach ``least``, from the merged summary of each hash partition."""
+    """(code) of every sequence that may occur ``least`` times: its count in the merged summary of its hash partition and all that
+    this summary was lowered by reach that far."""
     masses = {r["partition"]: r["mass"] for r in parts.groupBy("partition").agg(F.sum("mass").alias("mass")).collect()}
 
     def run(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Parts are taken up together until they hold as many codes as the summary, and then cut.
-        codes, counts, number, size, capacity = [], [], None, 0, 0
+        codes, counts, number, size, capacity, lowered = [], [], None, 0, 0, 0
 
         def merged():
             return cut(*summed(np.concatenate(codes), np.concatenate(counts)), capacity)
@@ -156,15 +159,16 @@ def survivors(parts: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for partition, c, n in zip(batch.column("partition").to_pylist(), batch.column("codes"), batch.column("counts")):
                 if number is None:
-                    number, capacity = partition, masses[partition] // least + 1
+                    number, capacity = partition, ROOM * masses[partition] // least + 1
                 codes.append(np.frombuffer(c.as_py(), np.uint64))
                 counts.append(np.frombuffer(n.as_py(), np.uint32).astype(np.int64))
                 size += len(codes[-1])
                 if size > 2 * capacity + FLUSH // 4:
-                    a, b = merged()
-                    codes, counts, size = [a], [b], len(a)
+                    a, b, lower = merged()
+                    codes, counts, size, lowered = [a], [b], len(a), lowered + lower
         if codes:
-            yield pa.RecordBatch.from_pydict({"code": pa.array(merged()[0].view(np.int64))})
+            a, b, lower = merged()
+            yield pa.RecordBatch.from_pydict({"code": pa.array(a[b + lowered + lower >= least].view(np.int64))})
 
     return parts.groupBy("partition").applyInArrow(run, "code long")
 
