@@ -31,7 +31,7 @@ _SPLIT[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _INSIDE = ~_SPLIT
 _INSIDE[[9, 32]] = False
 #: Occurrences that a task sums up at once, rows of its exact counts, and occurrences for each hash partition.
-FLUSH, TALLIED, PARTITION_MASS = 1 << 21, 1 << 18, 1 << 25
+FLUSH, TALLIED, PARTITION_MASS, CHUNK_BYTES = 1 << 20, 1 << 17, 1 << 25, 1 << 18
 #: Capacity of a summary as a multiple of mass / ``least``: counts are then lowered by at most an eighth of ``least``.
 ROOM = 8
 SUMMARY = "partition int, mass long, codes binary, counts binary"
@@ -93,7 +93,7 @@ def chunks(batch: pa.RecordBatch, salts: dict) -> Iterator[tuple[Sequences, np.n
     index, names = name_codes(batch.column("lang"))
     names = [NO_LANGUAGE if n is None else n for n in names]
     salt = np.array([salts.setdefault(n, salt_of(n)) for n in names], np.uint64)
-    for i, j, data, offsets in text_chunks(batch, "text"):
+    for i, j, data, offsets in text_chunks(batch, "text", CHUNK_BYTES):
         yield Sequences(data, offsets, salt[index[i:j]]), index[i:j], names
 
 
