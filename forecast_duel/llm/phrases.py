@@ -30,8 +30,8 @@ _SPLIT = np.zeros(256, bool)
 _SPLIT[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _INSIDE = ~_SPLIT
 _INSIDE[[9, 32]] = False
-#: Occurrences that a task sums up at once, rows of its exact counts, and occurrences for each hash partition.
-FLUSH, TALLIED, PARTITION_MASS, CHUNK_BYTES = 1 << 20, 1 << 17, 1 << 25, 1 << 18
+#: Occurrences that a task sums up at once, rows of its exact counts, bytes of text for each hash partition, bytes of text at once.
+FLUSH, TALLIED, PARTITION_MASS, CHUNK_BYTES = 1 << 20, 1 << 17, 1 << 23, 1 << 18
 #: Capacity of a summary as a multiple of mass / ``least``: counts are then lowered by at most an eighth of ``least``.
 ROOM = 8
 SUMMARY = "partition int, mass long, codes binary, counts binary"
@@ -147,28 +147,23 @@ def summaries(docs: DataFrame, found: Callable[[Sequences], Iterator], n_partiti
 def survivors(parts: DataFrame, least: int) -> DataFrame:
     """(code) of every sequence that may occur ``least`` times: its count in the merged summary of its hash partition and all that
     this summary was lowered by reach that far."""
-    masses = {r["partition"]: r["mass"] for r in parts.groupBy("partition").agg(F.sum("mass").alias("mass")).collect()}
-
-    def run(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Parts are taken up together until they hold as many codes as the summary, and then cut.
-        codes, counts, number, size, capacity, lowered = [], [], None, 0, 0, 0
+    def run(table: pa.Table) -> pa.Table:
+        capacity = ROOM * sum(table.column("mass").to_pylist()) // least + 1
+        # Parts are taken up together until they hold twice as many codes as the summary may, and then cut.
+        codes, counts, size, lowered = [], [], 0, 0
 
         def merged():
             return cut(*summed(np.concatenate(codes), np.concatenate(counts)), capacity)
 
-        for batch in batches:
-            for partition, c, n in zip(batch.column("partition").to_pylist(), batch.column("codes"), batch.column("counts")):
-                if number is None:
-                    number, capacity = partition, ROOM * masses[partition] // least + 1
-                codes.append(np.frombuffer(c.as_py(), np.uint64))
-                counts.append(np.frombuffer(n.as_py(), np.uint32).astype(np.int64))
-                size += len(codes[-1])
-                if size > 2 * capacity + FLUSH // 4:
-                    a, b, lower = merged()
-                    codes, counts, size, lowered = [a], [b], len(a), lowered + lower
-        if codes:
-            a, b, lower = merged()
-            yield pa.RecordBatch.from_pydict({"code": pa.array(a[b + lowered + lower >= least].view(np.int64))})
+        for c, n in zip(table.column("codes"), table.column("counts")):
+            codes.append(np.frombuffer(c.as_py(), np.uint64))
+            counts.append(np.frombuffer(n.as_py(), np.uint32).astype(np.int64))
+            size += len(codes[-1])
+            if size > 2 * capacity + FLUSH // 4:
+                a, b, lower = merged()
+                codes, counts, size, lowered = [a], [b], len(a), lowered + lower
+        a, b, lower = merged()
+        return pa.Table.from_pydict({"code": pa.array(a[b + lowered + lower >= least].view(np.int64))})
 
     return parts.groupBy("partition").applyInArrow(run, "code long")
 
@@ -226,14 +221,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     docs = docs.select("lang", "text")
     few = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     if n_partitions is None:
-        # At most every other byte begins a word.
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         n_partitions = max(int(few), size // PARTITION_MASS + 1)
-    short = stored(summaries(docs, lambda s: s.of_length(2), n_partitions), "summaries")
-    short = stored(survivors(short, least), "survivors")
+    short = stored(survivors(summaries(docs, lambda s: s.of_length(2), n_partitions), least), "survivors")
     pairs = members(short, "code")
-    long = stored(summaries(docs, lambda s: s.longer(longest, pairs), n_partitions), "summaries")
-    bits = pairs | members(stored(survivors(long, least), "survivors"), "code")
+    long = stored(survivors(summaries(docs, lambda s: s.longer(longest, pairs), n_partitions), least), "survivors")
+    bits = pairs | members(long, "code")
     return exact_counts(docs, bits, longest).where(F.col("phrase").isNull() | (F.col("n") >= least))
 
 
