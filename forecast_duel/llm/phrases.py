@@ -31,7 +31,7 @@ _SPLIT[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _INSIDE = ~_SPLIT
 _INSIDE[[9, 32]] = False
 #: Occurrences that a task sums up at once, rows of its exact counts, bytes of text for each hash partition, bytes of text at once.
-FLUSH, TALLIED, PARTITION_MASS, CHUNK_BYTES = 1 << 20, 1 << 17, 1 << 23, 1 << 18
+FLUSH, TALLIED, PARTITION_MASS, CHUNK_BYTES = 1 << 20, 1 << 19, 1 << 23, 1 << 18
 #: Capacity of a summary as a multiple of mass / ``least``: counts are then lowered by at most an eighth of ``least``.
 ROOM = 8
 SUMMARY = "partition int, mass long, codes binary, counts binary"
