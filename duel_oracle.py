@@ -10,10 +10,13 @@ def each(template: str, separator: str, values=MONTHS) -> str:
     return separator.join(template.format(i=i, j=i + 12) for i in values)
 
 
-SERIES = f"""
+def series(back: int = 0) -> str:
+    """The derived table as of some months ago."""
+    shift = f"CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE {back} END"
+    return f"""
 newest AS (SELECT max(year(l_shipdate) * 12 + month(l_shipdate)) AS m FROM lineitem),
 lines AS (
-  SELECT o_custkey AS k, (SELECT m FROM newest) - (year(l_shipdate) * 12 + month(l_shipdate)) AS m,
+  SELECT o_custkey AS k, (SELECT m FROM newest) - (year(l_shipdate) * 12 + month(l_shipdate)) - {shift} AS m,
          CAST(l_quantity AS BIGINT) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ),
@@ -98,7 +101,11 @@ series AS (
   SELECT * REPLACE ("ID" + 1000000000 AS "ID") FROM once WHERE "ID_CONFIGURATION" % 97 = 0
 )"""
 
-def universes(clients: tuple[int, ...] | None) -> str:
+
+SERIES = series()
+
+
+def universes(clients: tuple[int, ...] | None, source: str = SERIES) -> str:
     """Candidates and comparables of the listed clients, or of all."""
     if clients is None:
         chosen = "true"
@@ -108,7 +115,7 @@ def universes(clients: tuple[int, ...] | None) -> str:
         chosen = f'"ID_CLIENT" IN {clients}'
         labels = "SELECT * FROM (VALUES ('TOTAL'), " + ", ".join(f"('{c}')" for c in clients) + ") AS t(label)"
         present = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({c} AS BIGINT))" for c in clients) + ") AS t(client)"
-    return f"""{SERIES},
+    return f"""{source},
 sub AS (
   SELECT *, ("SCP_WAPE_6M" - "ML_WAPE_6M") / nullif("SCP_WAPE_6M", 0) * 100 AS "ML_IMPROVEMENT_VS_SCP_6M"
   FROM series WHERE {chosen} AND "HAS_BASE_CANDIDATE" = 1

@@ -23,10 +23,29 @@ OLDER = 19  # every month before YEAR
 DUPLICATE_OFFSET = 1_000_000_000
 
 
-def series_from_retail(spark: SparkSession, folder: str) -> DataFrame:
-    """Build the table from ``lineitem``, ``orders``, ``customer``, ``nation``, ``region``."""
+TABLES = ("lineitem", "orders", "customer", "nation", "region")
+RUNS = 3
+
+
+def runs_from_retail(spark: SparkSession, folder: str) -> DataFrame:
+    """The same series evaluated in three batches: 3 is the newest, each earlier one lies a month further back.
+
+    A quarter of the configurations was not computed again, so their values stay; each batch lacks some configurations.
+    """
+    def run(back: int) -> DataFrame:
+        there = F.col("ID_CONFIGURATION") % 7 != back
+        return series_from_retail(spark, folder, back).where(there).withColumn("ID_BATCH", F.lit(RUNS - back).cast("long"))
+
+    first, *others = (run(back) for back in range(RUNS))
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
+def series_from_retail(spark: SparkSession, folder: str, back: int = 0) -> DataFrame:
+    """Build the table from ``lineitem``, ``orders``, ``customer``, ``nation``, ``region``, as of ``back`` months ago."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    months = monthly_quantities(read("lineitem"), read("orders"))
+    months = monthly_quantities(read("lineitem"), read("orders"), back)
     places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customers = read("customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     series = customers.join(months, F.col("c_custkey") == F.col("o_custkey")).join(
@@ -35,8 +54,8 @@ def series_from_retail(spark: SparkSession, folder: str) -> DataFrame:
     return with_duplicates(label(compare(forecast(series))))
 
 
-def monthly_quantities(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per customer: quantity of each of the 18 months before the open one.
+def monthly_quantities(lineitem: DataFrame, orders: DataFrame, back: int = 0) -> DataFrame:
+    """Per customer: quantity of each of the 18 months before the open one; ``back`` months ago for three customers of four.
 
     Only the key, the month and the quantity of a line cross the join's shuffle. Lines
     of one very large order are split by the adaptive skew join (the order side is unique
@@ -48,13 +67,15 @@ def monthly_quantities(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     age = newest - month_number("l_shipdate")
     lines = lineitem.select(
         "l_orderkey",
-        F.when(age > OLDER, OLDER).otherwise(age).alias("m"),
+        F.when(age > OLDER + back, OLDER + back).otherwise(age).alias("m"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
     owners = orders.select("o_orderkey", "o_custkey")
+    owned = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    if back:
+        owned = owned.withColumn("m", F.least(F.col("m") - F.when(F.col("o_custkey") % 4 == 0, 0).otherwise(back), F.lit(OLDER)))
     return (
-        lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey")
+        owned.groupBy("o_custkey")
         .agg(
             *(F.expr(f"sum(CASE WHEN m = {i} THEN quantity END) AS q{i}") for i in range(1, OLDER)),
             F.expr(f"coalesce(any(m = {OLDER}), false) AS has_older"),
