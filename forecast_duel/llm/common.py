@@ -78,6 +78,13 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         yield i, j, data[places[i] : places[j]], places[i : j + 1] - places[i]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that is no column yet."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: object) -> pa.RecordBatch:
     """The ``keep`` columns of a batch and new ones."""
     arrays = {name: batch.column(name) for name in keep}

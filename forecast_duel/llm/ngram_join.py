@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecast_duel.llm import sketch
-from forecast_duel.llm.common import stored, text_chunks
+from forecast_duel.llm.common import stored, text_chunks, unused
 from forecast_duel.llm.components import components
 from forecast_duel.llm.words import SPACED, mixed, words
 
@@ -39,6 +39,8 @@ GROUPS = 64
 LEAF = 16
 #: Sets of a bucket that a task compares at once.
 BLOCK = 256
+#: Codes that a task holds before it counts them.
+CODES = 1 << 18
 
 
 def shingles(code: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -286,13 +288,17 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
         often, known, last = sketch.empty(), set(), None
         for batch in batches:
             last, n, name = batch, np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            new, point = [], [None] * len(batch)
+            new, held, point = [], 0, [None] * len(batch)
             for row, own in sets_of(batch):
                 n[row], name[row] = len(own), class_of(own)
                 if len(own) and int(name[row]) not in known:  # equal sets of a task count once
                     known.add(int(name[row]))
                     new.append(own)
+                    held += len(own)
                     point[row] = point_of(own).astype(np.uint16).tobytes()
+                    if held > CODES:
+                        sketch.add(often, np.concatenate(new))
+                        new, held = [], 0
             if new:
                 sketch.add(often, np.concatenate(new))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(name), pa.array(point, pa.binary()), pa.nulls(len(batch), pa.int32()),
@@ -449,6 +455,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
     firsts = found.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("row")).select("row.id", "row.text_hash")
     stay = firsts.unionByName(found.where("root IS NULL").select("id", "text_hash").distinct())
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay["id"]) & (hashed["_hash"] == stay["text_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    name = unused("_hash", docs.columns)
+    hashed = docs.withColumn(name, F.xxhash64(text_col))
+    kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay["id"]) & (hashed[name] == stay["text_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)

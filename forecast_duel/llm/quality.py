@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecast_duel.llm.common import fold, hash_share
+from forecast_duel.llm.common import fold, hash_share, text_chunks
 
 #: Most labelled rows that a classifier is fitted on.
 SAMPLE_ROWS = 20_000
@@ -174,9 +174,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def measure(batches):
         for batch in batches:
-            x = statistics_of(batch.column("text"))
-            values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").cast(pa.string()), "y": batch.column("y"), "x": values})
+            for i, j, _, _ in text_chunks(batch, "text"):
+                part = batch.slice(i, j - i)
+                x = statistics_of(part.column("text"))
+                values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_pydict({"id": part.column("id").cast(pa.string()), "y": part.column("y"), "x": values})
 
     rows = sample.mapInArrow(measure, "id string, y int, x array<double>").toArrow().to_pydict()
     order = np.lexsort((np.array(rows["y"], np.int64), np.array(rows["id"], object).astype(str))) if rows["y"] else []
@@ -190,8 +192,11 @@ def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text", score_c
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
+        # A piece at a time, so that a task holds no more than about a megabyte of texts as Python objects and as output.
         for batch in batches:
-            score = trees.score(statistics_of(batch.column(text_col))) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, score_col])
+            for i, j, _, _ in text_chunks(batch, text_col):
+                part = batch.slice(i, j - i)
+                score = trees.score(statistics_of(part.column(text_col)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score)], names=[*names, score_col])
 
     return docs.select(*names).mapInArrow(run, schema)

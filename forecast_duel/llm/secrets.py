@@ -16,6 +16,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecast_duel.llm.common import unused
+
 # The patterns of known kinds, in the order of their listing, and the least length of what they find.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_LEAST = 12
@@ -122,8 +124,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def without_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark; a null text stays null."""
     spans = F.array_sort(F.concat(*spans_by_kind(F.col(text_col)).values())).cast(SPAN)
-    marked = docs.withColumn("_spans", F.when(F.col(text_col).isNotNull(), spans))
-    return marked.withColumn(text_col, F.when(F.col("_spans").isNotNull(), redacted(F.col(text_col), F.col("_spans"), mark))).drop("_spans")
+    name = unused("_spans", docs.columns)
+    marked = docs.withColumn(name, F.when(F.col(text_col).isNotNull(), spans))
+    return marked.withColumn(text_col, F.when(F.col(name).isNotNull(), redacted(F.col(text_col), F.col(name), mark))).drop(name)
 
 
 def spans_text(spans: Column) -> Column:
