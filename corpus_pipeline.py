@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecast_duel.llm.common import stored
+from forecast_duel.llm.common import stored, unused
 from forecast_duel.llm.decontamination import build_index, contamination, search
 from forecast_duel.llm.ngram_join import one_of_each
 from forecast_duel.llm.packing import pack
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     trees = fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, trees, score_col="_score").where(f"_score >= {THRESHOLD}").drop("_score")
+    name = unused("_score", docs.columns)
+    return score_quality(docs, trees, score_col=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
