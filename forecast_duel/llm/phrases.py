@@ -168,22 +168,30 @@ def survivors(parts: DataFrame, least: int) -> DataFrame:
     return parts.groupBy("partition").applyInArrow(run, "code long")
 
 
-def exact_counts(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """(lang, phrase, n): exact counts of all sequences the bitmap lets through; a null phrase counts all words."""
+def packed(part: tuple, names: list[str], n_partitions: int) -> pa.RecordBatch:
+    """A task's counts as one row for each hash partition and language."""
+    group, code, (n,), data, offsets = part
+    to = (code % np.uint64(n_partitions)).astype(np.int64)
+    order = np.lexsort((group, to))
+    group, code, n, to = group[order], code[order], n[order], to[order]
+    data, offsets = gather(data, offsets[order], np.diff(offsets)[order])
+    first = run_starts(to, group)
+    ends = np.r_[first[1:], len(order)]
+    return pa.RecordBatch.from_pydict({
+        "partition": pa.array(to[first], pa.int32()), "lang": pa.array([names[g] for g in group[first]], pa.string()),
+        "codes": pa.array([code[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()),
+        "counts": pa.array([n[i:j].astype(np.int64).tobytes() for i, j in zip(first, ends)], pa.binary()),
+        "sizes": pa.array([np.diff(offsets[i : j + 1]).astype(np.int32).tobytes() for i, j in zip(first, ends)], pa.binary()),
+        "phrases": pa.array([data[offsets[i] : offsets[j]].tobytes() for i, j in zip(first, ends)], pa.binary())})
+
+
+def exact_counts(docs: DataFrame, bits: np.ndarray, longest: int, least: int, n_partitions: int) -> DataFrame:
+    """(lang, phrase, n): exact counts, from ``least`` on, of the sequences the bitmap lets through; a null phrase counts all words.
+
+    A task sends its counts packed by hash partition, as the summaries are; words of a language are a row of partition -1.
+    """
     def run(batches):
         salts, names, tally, total = {}, {}, Tally(1), {}
-
-        def rows(last):
-            taken = tally.take()
-            listed = list(names)
-            if taken is not None:
-                group, (n,), texts = taken
-                lang = pa.DictionaryArray.from_arrays(pa.array(group, pa.int32()), pa.array(listed, pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_pydict({"lang": lang, "phrase": texts, "n": pa.array(n, pa.int64())})
-            if last:
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array(list(total), pa.string()), "phrase": pa.nulls(len(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
-
         for batch in batches:
             for sequences, lang, languages in chunks(batch, salts):
                 number = np.array([names.setdefault(x, len(names)) for x in languages], np.int64)[lang]
@@ -207,10 +215,39 @@ def exact_counts(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
                 if tally.rows > TALLIED:
                     tally.merge()
                     if tally.rows > TALLIED // 2:
-                        yield from rows(False)
-        yield from rows(True)
+                        yield packed(tally.take_part(), list(names), n_partitions)
+        part = tally.take_part()
+        if part is not None:
+            yield packed(part, list(names), n_partitions)
+        if total:
+            none = pa.array([b""] * len(total), pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "partition": pa.array([-1] * len(total), pa.int32()), "lang": pa.array(list(total), pa.string()), "codes": none,
+                "counts": pa.array([np.int64(n).tobytes() for n in total.values()], pa.binary()), "sizes": none, "phrases": none})
+
+    def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, words_seen = Tally(1), 0
+        for batch in batches:
+            for codes, counts, sizes, phrases in zip(*(batch.column(c) for c in ("codes", "counts", "sizes", "phrases"))):
+                code, n = np.frombuffer(codes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+                if key[0].as_py() < 0:
+                    words_seen += int(n.sum())
+                    continue
+                size = np.frombuffer(sizes.as_py(), np.int32).astype(np.int64)
+                tally.add(np.zeros(len(code), np.int64), code, [n], np.frombuffer(phrases.as_py(), np.uint8), np.r_[0, np.cumsum(size)])
+                if tally.rows > TALLIED:
+                    tally.merge()
+        taken = tally.take()
+        if taken is None:
+            texts, n = pa.nulls(1, pa.string()), np.array([words_seen], np.int64)
+        else:
+            _, (n,), texts = taken
+            keep = n >= least
+            texts, n = texts.filter(pa.array(keep)), n[keep]
+        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(key[1], len(n)), "phrase": texts, "n": pa.array(n, pa.int64())})
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = docs.mapInArrow(run, "partition int, lang string, codes binary, counts binary, sizes binary, phrases binary")
+    return parts.groupBy("partition", "lang").applyInArrow(add_up, "lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, n_partitions: int | None = None) -> DataFrame:
@@ -227,7 +264,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     pairs = members(short, "code")
     long = stored(survivors(summaries(docs, lambda s: s.longer(longest, pairs), n_partitions), least), "survivors")
     bits = pairs | members(long, "code")
-    return exact_counts(docs, bits, longest).where(F.col("phrase").isNull() | (F.col("n") >= least))
+    return exact_counts(docs, bits, longest, least, n_partitions)
 
 
 def whole(c: str | Column, digits: int) -> Column:

@@ -70,13 +70,19 @@ class Tally:
         self.parts = [(group[chosen], code[chosen], counters, data, offsets)]
         self.rows = len(chosen)
 
+    def take_part(self) -> tuple | None:
+        """(group, code, counters, bytes, offsets) of all that was added; the tally is empty afterwards."""
+        self.merge()
+        part = self.parts[0] if self.parts else None
+        self.parts, self.rows = [], 0
+        return part
+
     def take(self) -> tuple[np.ndarray, list[np.ndarray], pa.Array] | None:
         """(group, counters, texts) of all that was added, once for each (group, code); the tally is empty afterwards."""
-        self.merge()
-        if not self.parts:
+        part = self.take_part()
+        if part is None:
             return None
-        group, _, counters, data, offsets = self.parts[0]
-        self.parts, self.rows = [], 0
+        group, _, counters, data, offsets = part
         texts = pa.LargeStringArray.from_buffers(len(group), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
         return group, counters, texts.cast(pa.string())
 
