@@ -13,12 +13,22 @@ from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 from forecast_duel.llm.secrets import without_secrets
 
 
+#: Rows of an Arrow batch while the stages run. Texts are long: a batch of the default 10,000 rows takes tens of megabytes, several times over.
+ARROW_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Set the session up for tables of texts; the setting stays, as a stage's plan is run after its function has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
+    prepared(spark)
     trees = fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     name = unused("_score", docs.columns)
     return score_quality(docs, trees, score_col=name).where(F.col(name) >= THRESHOLD).drop(name)
@@ -26,11 +36,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest id."""
+    prepared(spark)
     return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that share a twentieth of their words or more with the benchmark's windows."""
+    prepared(spark)
     key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
     index = build_index(docs.select(key.alias("key"), "text"), id_col="key")
     found = contamination(search(index, table(spark, sf_dir, "benchmark"), id_col="key"))
@@ -46,6 +58,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences: one row a piece with its place."""
+    prepared(spark)
     return pack(docs)
 
 
