@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_there_is_a_query_for_every_operator():
-    assert {name.split("_")[0] for name in llm_queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in llm_queries()} == {f"op{n}" for n in range(1, 14)}
 
 
 def brute_nearest(rows, k):
