@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from duel_oracle import CLIENTS, KEY_ORDER, UNIVERSES, series, universes
+from math import exp
+
+from duel_oracle import CLIENTS, KEY, KEY_ORDER, UNIVERSES, series, universes
 
 RUNS = 3
 
@@ -100,7 +102,65 @@ def difference() -> str:
 CHANGES = ", ".join(
     f"""count(*) FILTER (WHERE "CAMBIO" = '{k}') AS "N_{k}" """ for k in ("ENTRA", "SALE", "IGUAL", "CAMBIA_ESTADO", "CAMBIAN_VALORES"))
 
+BAND_SUMS = """SELECT "BANDA", "DESDE", "HASTA", count(*) AS n, count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'ML') AS ml,
+    count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'SCP') AS scp, count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'TIE') AS tie,
+    coalesce(sum("TOTAL_HISTORY_6M"), 0) AS history, coalesce(sum("SCP_TOTAL_ABS_ERROR_6M"), 0) AS base, coalesce(sum("ML_TOTAL_ABS_ERROR_6M"), 0) AS challenger
+    FROM comp LEFT JOIN (VALUES ('A: menos de 1', CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE)), ('B: 1-49', 1, 50), ('C: 50-99', 50, 100), ('D: 100-199', 100, 200),
+        ('E: desde 200', 200, NULL)) AS b("BANDA", "DESDE", "HASTA")
+    ON "TOTAL_HISTORY_6M" >= coalesce("DESDE", '-inf'::DOUBLE) AND ("HASTA" IS NULL OR "TOTAL_HISTORY_6M" < "HASTA") GROUP BY "BANDA", "DESDE", "HASTA" """
+
+BANDS = f"""SELECT "BANDA", "DESDE", "HASTA", n AS "N_SERIES", ml AS "N_GANA_ML", scp AS "N_GANA_SCP", tie AS "N_TIE", {ratio("ml", "n")} * 100 AS "PCT_GANA_ML",
+    {ratio("base", "history")} AS "SCP_WAPE", {ratio("challenger", "history")} AS "ML_WAPE",
+    ({ratio("base", "history")} - {ratio("challenger", "history")}) / nullif({ratio("base", "history")}, 0) * 100 AS "ML_IMPROVEMENT_VS_SCP_PCT" FROM ({BAND_SUMS})"""
+
+
+def monthly() -> str:
+    parts = []
+    for m in ("SCP", "ML"):
+        errors = [f'"{m}_FORECAST_M{i}" - coalesce("HISTORY_M{i}", 0)' for i in range(1, 7)]
+        total = " + ".join(f"coalesce({e}, 0)" for e in errors)
+        again = " + ".join(f"coalesce(abs({e}), 0)" for e in errors)
+        any_forecast = "coalesce(" + ", ".join(f'"{m}_FORECAST_M{i}"' for i in range(1, 7)) + ")"
+        history = "CASE WHEN coalesce(" + ", ".join(f'"HISTORY_M{i}"' for i in range(1, 7)) + ") IS NOT NULL THEN " + " + ".join(f'coalesce("HISTORY_M{i}", 0)' for i in range(1, 7)) + " END"
+        largest = "greatest(" + ", ".join(f"abs({e})" for e in errors) + ")"
+        worst = "CASE " + " ".join(f"WHEN abs({e}) = {largest} THEN {i}" for i, e in enumerate(errors, 1)) + " END"
+        off = f'({again}) - "{m}_TOTAL_ABS_ERROR_6M"'
+        parts.append(f"""CASE WHEN {any_forecast} IS NOT NULL THEN {ratio(f"({total})", f"({history})")} END AS "{m}_SESGO", {worst} AS "{m}_PEOR_MES",
+            CASE WHEN {any_forecast} IS NOT NULL THEN {again} END AS "{m}_ERROR_RECALCULADO", CASE WHEN {any_forecast} IS NOT NULL THEN {off} END AS "{m}_DIFERENCIA",
+            CASE WHEN {any_forecast} IS NULL OR ({off}) IS NULL THEN 'SIN_DATOS' WHEN abs({off}) > 1e-6 THEN 'REVISAR' ELSE 'OK' END AS "{m}_ESTADO" """)
+    return f"""SELECT "ID", "ID_CLIENT", "ID_CONFIGURATION", {", ".join(parts)} FROM comp"""
+
+
+RECONCILED = ", ".join(f"""count(*) FILTER (WHERE "{m}_ESTADO" = '{k}') AS "{m}_{k}" """ for m in ("SCP", "ML") for k in ("OK", "REVISAR", "SIN_DATOS"))
+
+
+def interval() -> str:
+    share, limits, term = 0.0, [], exp(-1)
+    for k in range(8):
+        share += term
+        term /= k + 1
+        limits.append(round(share * 65536))
+    weight = " + ".join(f"CAST(draw >= {x} AS INTEGER)" for x in limits)
+    name = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in (*KEY.split(", "), '"ID"'))
+    return f"""
+    SELECT label AS "ID_CLIENT", max(value) FILTER (WHERE r < 0) AS "MEJORA_PCT", vs[place] AS "INFERIOR_PCT", vs[len(vs) + 1 - place] AS "SUPERIOR_PCT",
+        CAST(len(vs) AS INTEGER) AS "N_REPLICAS", CASE WHEN vs[place] > 0 THEN 'IMPROVES' WHEN vs[len(vs) + 1 - place] <= 0 THEN 'NOT_IMPROVED' ELSE 'INCONCLUSIVE' END AS "VEREDICTO"
+    FROM (SELECT *, list_sort(list(value) FILTER (WHERE r >= 0 AND value IS NOT NULL) OVER (PARTITION BY label)) AS vs, CAST(ceil(len(vs) / 40) AS INTEGER) AS place
+        FROM (SELECT label, r, (CAST(sum(base * w) AS DOUBLE) - CAST(sum(challenger * w) AS DOUBLE)) / nullif(CAST(sum(base * w) AS DOUBLE), 0) * 100 AS value
+            FROM (SELECT unnest(['TOTAL', CAST("ID_CLIENT" AS VARCHAR)]) AS label, r, base, challenger, CASE WHEN r < 0 THEN 1 ELSE {weight} END AS w
+                FROM (SELECT "ID_CLIENT", r, base, challenger, CAST('0x' || substr(md5(name || '#' || CAST(r // 8 AS VARCHAR)), 4 * (r % 8) + 1, 4) AS INTEGER) AS draw
+                    FROM (SELECT "ID_CLIENT", {name} AS name, CAST(coalesce("SCP_TOTAL_ABS_ERROR_6M", 0) AS DECIMAL(28,6)) AS base,
+                        CAST(coalesce("ML_TOTAL_ABS_ERROR_6M", 0) AS DECIMAL(28,6)) AS challenger, unnest(range(-1, 200)) AS r FROM comp)))
+            GROUP BY label, r))
+    GROUP BY label, vs, place"""
+
+
 ANALYSIS_SQL = {
+    "wins_by_volume_band": f"WITH {UNIVERSES} {BANDS}",
+    "monthly_accuracy": f"WITH {UNIVERSES} {monthly()}",
+    "error_reconciliation": f"""WITH {UNIVERSES} SELECT label AS "ID_CLIENT", {RECONCILED}
+        FROM (SELECT *, unnest(['TOTAL', CAST("ID_CLIENT" AS VARCHAR)]) AS label FROM ({monthly()})) GROUP BY label""",
+    "improvement_interval": f"WITH {UNIVERSES} {interval()}",
     "value_hierarchy": f"WITH {UNIVERSES} {VALUE_HIERARCHY}",
     "error_concentration": f"WITH {UNIVERSES} {CONCENTRATION}",
     "concentration_by_client": f"""WITH {UNIVERSES} {held("'TOTAL'", "m")} UNION ALL {held('CAST("ID_CLIENT" AS VARCHAR)', 'm, "ID_CLIENT"')}""",

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from forecast_duel.operators import concentration, difference, hierarchy, runs
+from forecast_duel.operators import bands, bootstrap, concentration, difference, hierarchy, months, runs
 from forecast_duel.plans.comparison import Comparison
 
 # Analyses of one evaluation.
@@ -17,6 +17,10 @@ ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
     "value_hierarchy": lambda c: hierarchy.value_hierarchy(c.candidates, c.settings),
     "error_concentration": lambda c: concentration.error_concentration(c.comparables, c.settings),
     "concentration_by_client": lambda c: concentration.concentration_by_client(c.comparables, c.settings),
+    "wins_by_volume_band": lambda c: bands.wins_by_volume_band(c.comparables, c.settings),
+    "monthly_accuracy": lambda c: months.monthly_accuracy(c.comparables, c.settings),
+    "error_reconciliation": lambda c: months.error_reconciliation(c.comparables, c.settings),
+    "improvement_interval": lambda c: bootstrap.improvement_interval(c.comparables, c.settings),
 }
 
 # Analyses of a table with several batches.
