@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from forecast_duel.llm import divergence, phrases
 from forecast_duel.llm.divergence import audit, groups_of, joint_tables, kept_terms, term_counts
 from forecast_duel.llm.mixing import mix
+from forecast_duel.llm.ngram_join import one_of_each
 from forecast_duel.llm.phrases import collocations, cut, summed
 from forecast_duel.llm.queries import OP11_SQL, OP12_SQL, OP13_SQL
+from forecast_duel.llm.secrets import without_secrets
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +125,11 @@ def test_empty_tables(empty, docs_of):  # noqa: F811
     nothing = docs_of([(1, None), (2, ""), (None, " \t")])
     assert audit(nothing).count() == collocations(nothing).count() == 0
     assert [(r.size, r.source_size, r.target, r.taken) for r in mix(nothing).collect()] == [(0, 0, 0.0, 0)] * 3
+
+
+def test_input_columns_of_working_names_stay(docs_of):  # noqa: F811
+    docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "token = abcdefghijkl12345 x")])
+    docs = docs.withColumns({n: F.col("doc_id") * 10 for n in ("_hash", "_spans", "_score")})
+    assert {(r.doc_id, r._hash) for r in one_of_each(docs).collect()} == {(1, 10), (3, 30)}
+    assert {(r.doc_id, r._spans) for r in without_secrets(docs).collect()} == {(1, 10), (2, 20), (3, 30)}
+    assert "[secret]" in without_secrets(docs).where("doc_id = 3").first().text
