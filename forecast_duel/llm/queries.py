@@ -102,7 +102,8 @@ records AS (
     UNION ALL SELECT page_id * 8 + 4, url, page_id * 10 - 3, 304, '"' || digest || '"', NULL, 'text/html', '4', NULL
         FROM base WHERE page_id % 5 = 0),
 parts AS (
-    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)),
+            '^(http://.*):80$|^(https://.*):443$', '\1\2'), '^[a-z]+://(www\.)?', '') AS host,
         regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
         list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
             lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS kept
@@ -185,7 +186,8 @@ def op8_sql() -> str:
     assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", letters)
     value = assign.replace("'", "''")
     allowed = "|".join(f"(?:{p})" for p in secrets.ALLOWED)
-    most = {k: int((log2(secrets.WINDOW) - v) * secrets.WINDOW * 1e6) for k, v in secrets.BOUNDS.items()}
+    most = [(pattern, int((log2(secrets.WINDOW) - bits) * secrets.WINDOW * 1e6)) for _, pattern, bits in secrets.CLASSES]
+    of_class = " ".join(f"WHEN regexp_matches(hit, '{pattern}') THEN {n}" for pattern, n in most[:-1])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 assign AS (SELECT doc_id, 0 AS kind, start, start + length(hit) AS stop FROM ({_located(assign)})
@@ -193,9 +195,11 @@ assign AS (SELECT doc_id, 0 AS kind, start, start + length(hit) AS stop FROM ({_
 access AS (SELECT doc_id, 1 AS kind, start, start + length(hit) AS stop FROM ({_located(secrets.ACCESS)})),
 hex AS (SELECT doc_id, 2 AS kind, start, start + length(hit) AS stop FROM ({_located(secrets.HEX)})),
 candidate AS (
-    SELECT *, CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN {most["hex"]} ELSE {most["mixed"]} END AS most
+    SELECT *, CASE {of_class} ELSE {most[-1][1]} END AS most
     FROM ({_located(secrets.CANDIDATE)})
-    WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{allowed}')),
+    WHERE (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '{secrets.BORDER}')
+        OR regexp_matches(hit, '^[A-Za-z]+$') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '{secrets.UNLIKE_WORDS}'))
+        AND NOT regexp_matches(hit, '{allowed}')),
 letter AS (
     SELECT doc_id, start, most, w, hit[w + k] AS c
     FROM (SELECT *, unnest(range(0, {secrets.WINDOW})) AS k

@@ -22,22 +22,38 @@ from pyspark.sql.window import Window
 # Parameters that do not change a page, and headers that describe a payload and stay with it.
 DROPPED_PARAMETERS = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)="
 PAYLOAD_HEADERS = ("content-length", "content-type", "content-encoding", "content-range", "transfer-encoding")
+#: Headers of one connection; those that a Connection header lists are dropped with them.
+HOP_BY_HOP = (
+    "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 SLICES = 64
 
 
 def canonical_url(url: Column) -> Column:
-    """Host without case, ``www.`` and default ports; path without a closing slash; sorted parameters; no fragment."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1)), r":(80|443)$", ""), r"^www\.", "")
+    """Host without case, ``www.`` and its scheme's default port; path without a closing slash; sorted parameters; no fragment."""
+    host = F.lower(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1))
+    host = F.regexp_replace(F.regexp_replace(host, r"^(http://.*):80$|^(https://.*):443$", "$1$2"), r"^[a-z]+://(www\.)?", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), r"/+$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(DROPPED_PARAMETERS)))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def end_to_end(headers: Column) -> Column:
+    """Headers with lower-case names and without those of one connection. Of names that differ in case alone the last stays."""
+    entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))),
+                          lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    listed = F.flatten(F.transform(F.filter(entries, lambda e: (e["key"] == "connection") & e["value"].isNotNull()),
+                                   lambda e: F.split(F.lower(F.regexp_replace(e["value"], r"\s", "")), ",")))
+    names = F.transform(entries, lambda e: e["key"])
+    kept = F.filter(entries, lambda e, i: ~e["key"].isin(*HOP_BY_HOP) & ~F.array_contains(listed, e["key"])
+                    & ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    return F.map_from_entries(kept)
+
+
 def merged_headers(response: Column, revisit: Column) -> Column:
-    """Headers of the response, replaced and joined by those of the revisit that a 304 may change; names are lower-case."""
-    new = F.map_filter(F.coalesce(revisit, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*PAYLOAD_HEADERS))
-    old = F.map_filter(F.coalesce(response, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(new, k))
+    """Headers of the response, replaced and joined by those of the revisit that a 304 may change; names become lower-case."""
+    new = F.map_filter(end_to_end(revisit), lambda k, v: ~k.isin(*PAYLOAD_HEADERS))
+    old = F.map_filter(end_to_end(response), lambda k, v: ~F.map_contains_key(new, k))
     return F.map_concat(old, new)
 
 

@@ -3,7 +3,8 @@
 Three kinds are found by pattern (``assign``, ``access``, ``hex``). The fourth, ``entropy``, slides a window over each
 candidate string, keeps the counts of its characters by adding one and taking one away, and marks the stretch from
 the first to the last window whose Shannon entropy reaches the bound of the candidate's character class. Entropies
-are summed as whole numbers of millionths, so they do not depend on the order of steps. An allow-list drops candidates.
+are summed as whole numbers of millionths, so they do not depend on the order of steps. Candidates that read like words and
+numbers, and those of an allow-list, are dropped.
 
 Spans count code points, the end is exclusive. Defined results: a null text is empty and has no spans; repeated rows are
 scanned each; a string that is both a pattern's and of high entropy has a span of each kind.
@@ -28,10 +29,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Least entropy in bits of a window by the class of the candidate; digits alone are no secret.
-BOUNDS = {"hex": 3.0, "mixed": 3.9}
-#: Candidates that match are never marked: paths and repeated or counted-up fillers.
-ALLOWED = (r"^/?([a-z]+[/_-])+[a-z]+$", r"(?i)(example|sample|dummy|placeholder|xxxx)", r"(?i)0123456789|abcdefghij")
+#: Classes of candidates, the first that matches counts, and the least entropy in bits of a window. At least 95 % of random
+#: windows of 20 characters of a class reach its bound.
+CLASSES = (
+    ("hex", r"^[0-9a-fA-F]+$", 3.0), ("lower", r"^[0-9a-z]+$", 3.5), ("upper", r"^[0-9A-Z]+$", 3.45),
+    ("letters", r"^[A-Za-z]+$", 3.65), ("mixed", r"", 3.75))
+#: A candidate with a digit must hold one of these borders: words and numbers joined by signs have none.
+BORDER = r"[a-z][A-Z0-9]|[0-9][A-Za-z]|[A-Z][0-9]|[A-Z][A-Z][a-z]"
+#: A candidate of letters alone must hold small letters and this: names in camel case do not.
+UNLIKE_WORDS = r"[A-Z][A-Z]"
+#: Candidates that match are never marked: repeated or counted-up fillers.
+ALLOWED = (r"(?i)(example|sample|dummy|placeholder|xxxx)", r"(?i)0123456789|abcdefghij")
 
 #: c * log2(c) in millionths for a character that a window holds c times.
 TERMS = [0] + [round(c * log2(c) * 1e6) for c in range(1, WINDOW + 1)]
@@ -95,12 +103,25 @@ def sliding(hit: Column, least: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, step, lambda a: F.when(a["first"].isNotNull(), F.struct(a["first"].alias("first"), a["last"].alias("last"))))
 
 
+def likely(hit: Column) -> Column:
+    """Whether a candidate is scored at all."""
+    digits = hit.rlike("[0-9]") & hit.rlike(BORDER)
+    letters = hit.rlike("^[A-Za-z]+$") & hit.rlike("[a-z]") & hit.rlike(UNLIKE_WORDS)
+    return (digits | letters) & ~hit.rlike("|".join(f"(?:{p})" for p in ALLOWED))
+
+
+def least_entropy(hit: Column) -> Column:
+    bound = F.when(hit.rlike(CLASSES[0][1]), CLASSES[0][2])
+    for _, pattern, bits in CLASSES[1:-1]:
+        bound = bound.when(hit.rlike(pattern), bits)
+    return bound.otherwise(CLASSES[-1][2])
+
+
 def entropy_spans(text: Column) -> Column:
-    candidates = F.filter(located(text, CANDIDATE), lambda m: (
-        m["hit"].rlike("[0-9]") & m["hit"].rlike("[A-Za-z]") & ~m["hit"].rlike("|".join(f"(?:{p})" for p in ALLOWED))))
+    candidates = F.filter(located(text, CANDIDATE), lambda m: likely(m["hit"]))
     marked = F.transform(candidates, lambda m: F.struct(
         m["start"].alias("start"),
-        sliding(m["hit"], F.when(m["hit"].rlike("^[0-9a-fA-F]+$"), BOUNDS["hex"]).otherwise(BOUNDS["mixed"])).alias("at")))
+        sliding(m["hit"], least_entropy(m["hit"])).alias("at")))
     return F.transform(F.filter(marked, lambda m: m["at"].isNotNull()), lambda m: F.struct(
         (m["start"] + m["at"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["at"]["last"]).alias("end")))
 

@@ -152,6 +152,16 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert found[7].headers == {} and found[4].payload is None
 
 
+def test_header_names_are_folded_and_those_of_a_connection_dropped(spark):
+    found = revisit(
+        spark,
+        {"record_id": 1, "headers": {"Content-Length": "10", "ETag": "a", "X-Trace": "1", "Keep-Alive": "5"}},
+        {"record_id": 2, "status": 304, "headers": {"content-LENGTH": "0", "Connection": "close, X-Hop", "X-Hop": "1", "etag": "b", "ETAG": "c"}},
+        {"record_id": 3, "url": "http://a.org:443/x", "status": 304})
+    assert found[2].headers == {"content-length": "10", "etag": "c", "x-trace": "1"}
+    assert found[3].outcome == "no_response"  # 443 is no default of http
+
+
 def test_revisits_of_one_hot_page(spark):
     rows = spark.range(4000).select(
         F.col("id").alias("record_id"), F.lit("http://hot.org/").alias("url"), (F.col("id") % 1000).alias("ts"),
