@@ -13,13 +13,16 @@ from forecast_duel.llm.quality import THRESHOLD, fit_quality, score_quality
 from forecast_duel.llm.secrets import without_secrets
 
 
-#: Rows of an Arrow batch while the stages run. Texts are long: a batch of the default 10,000 rows takes tens of megabytes, several times over.
+#: Rows and bytes of an Arrow batch while the stages run, whichever is reached first. Texts are long: a batch of the default 10,000 rows
+#: takes tens of megabytes, several times over, and a thousand long texts do as well.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def prepared(spark: SparkSession) -> None:
     """Set the session up for tables of texts; the setting stays, as a stage's plan is run after its function has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
