@@ -29,7 +29,7 @@ from forecast_duel.llm.words import PARTED, SPACED, words
 CAPACITY = 2048
 #: Nodes of the search tree that a packing may visit; the best plan found so far stands at the end.
 NODE_LIMIT = 30_000
-#: Words whose ids a Python worker remembers before it starts anew.
+#: Words whose ids a task remembers before it starts anew.
 REMEMBERED_WORDS = 1_000_000
 
 Pattern = tuple[int, tuple[int, ...]]  # copies, lengths
@@ -125,6 +125,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches):
         encoder = kept(f"encoder {path}", lambda: Encoder(path))
+        encoder.forget()  # words are remembered within a task: a worker that waits for other work holds none
         shard, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch, "text"):
@@ -143,6 +144,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([shard] * len(rows), pa.int32()),
                     pa.array(rank, pa.int64()), *([pa.array(part, pa.binary())] if with_ids else []),
                 ], names=schema.names)
+        encoder.forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
