@@ -11,6 +11,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from forecast_duel import Comparison, Settings, write_blocks
+from forecast_duel.plans import StoredTables
 from forecast_duel.sources import read_csv, read_parquet
 
 
@@ -22,8 +23,11 @@ def main(arguments: list[str]) -> int:
     try:
         settings = Settings(clients=tuple(map(int, clients)) or None)
         spark = SparkSession.builder.appName("forecast comparison").getOrCreate()
-        read = read_csv if source.rstrip("/").endswith(".csv") else read_parquet
-        write_blocks(Comparison(read(spark, source, settings), settings), target).show(100, truncate=False)
+        if source.rstrip("/").endswith(".csv"):  # parsed once; the blocks read the Parquet copy
+            series = StoredTables.write(read_csv(spark, source, settings), settings)
+        else:
+            series = read_parquet(spark, source, settings)
+        write_blocks(Comparison(series, settings), target).show(100, truncate=False)
     except Exception as error:  # noqa: BLE001
         print(f"ERROR: {error}", file=sys.stderr)
         return 1

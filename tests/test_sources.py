@@ -170,3 +170,14 @@ def test_the_job_writes_the_document_or_fails(spark, tmp_path):
     assert main([path, str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "index")).count() > 20
     assert main([path, str(tmp_path / "none"), "999"]) == 1 and main([str(tmp_path / "missing.csv"), "x"]) == 1
+
+
+def test_the_job_parses_csv_once(spark, tmp_path, monkeypatch):
+    import run_comparison
+
+    seen = []
+    monkeypatch.setattr(run_comparison, "write_blocks", lambda comparison, target: seen.append(comparison.series) or comparison.series)
+    path = write_csv(tmp_path / "in.csv", [{}, {"ID_CLIENT": "2"}])
+    assert run_comparison.main([path, str(tmp_path / "out")]) == 0
+    (series,) = seen
+    assert series.count() == 2 and all(f.endswith(".parquet") for f in series.inputFiles())
