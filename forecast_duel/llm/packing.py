@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,8 @@ from forecast_duel.llm.common import kept, stored, text_chunks
 from forecast_duel.llm.words import PARTED, SPACED, words
 
 CAPACITY = 2048
-#: Nodes of the search tree that a packing may visit; the best plan found so far stands at the end.
-NODE_LIMIT = 30_000
+#: Sizes and fillings that the search for a packing may look at; the best plan found so far stands at the end.
+WORK_LIMIT = 3_000_000
 #: Words whose ids a task remembers before it starts anew.
 REMEMBERED_WORDS = 1_000_000
 
@@ -199,106 +199,184 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(space: int, sizes: np.ndarray, counts: np.ndarray, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a space next to a bin's largest piece, least waste first, ``width`` at most.
+def reachable(sizes: list[int], counts: list[int], capacity: int) -> list[int]:
+    """For each i the sums, up to ``capacity``, that pieces of the first i sizes can make, as bits of a number."""
+    everything, sums, found = (1 << (capacity + 1)) - 1, 1, [1]
+    for size, count in zip(sizes, counts):
+        many, step = min(count, capacity // size), 1
+        while many:
+            step = min(step, many)
+            sums |= (sums << (step * size)) & everything
+            many, step = many - step, 2 * step
+        found.append(sums)
+    return found
+
+
+def spread(sums: int, by: int) -> int:
+    """Every sum and the ``by`` numbers above it."""
+    width = 0
+    while width < by:
+        step = min(width + 1, by - width)
+        sums |= sums << step
+        width += step
+    return sums
+
+
+Filling = tuple[tuple[int, int], ...]  # index of a size, pieces of it
 
-    A filling is dominated if another one holds a piece at least as large for each of its pieces. One piece that
-    fills the space exactly dominates all others. ``sizes`` is ascending; pieces come as indexes into it.
-    """
-    there = np.flatnonzero((counts > 0) & (sizes <= space))
-    if not len(there):
-        return [()]
-    largest = int(there[-1])
-    if sizes[largest] == space:
-        return [(largest,)]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    # For each larger piece the best partner: the largest piece that still fits beside it.
-    own = sizes[there]
-    rest = space - own
-    partner = np.searchsorted(own, np.minimum(rest, own), side="right") - 1
-    alone = (partner == np.arange(len(there))) & (counts[there] < 2)
-    partner = np.where(alone, partner - 1, partner)
-    ok = partner >= 0
-    if ok.any():
-        a, b = np.arange(len(there))[ok], partner[ok]
-        reach = np.maximum.accumulate(b[::-1])[::-1]
-        keep = np.r_[b[:-1] > reach[1:], True]  # a smaller first piece needs a larger partner
-        a, b = a[keep], b[keep]
-        total = own[a] + own[b]
-        for k in np.argsort(-total, kind="stable")[:width]:
-            pair, left = (int(there[a[k]]), int(there[b[k]])), space - int(total[k])
-            # Space that is left beside a pair takes more pieces, the largest that fit.
-            while left >= own[0]:
-                for i in there[: np.searchsorted(own, left, side="right")][::-1]:
-                    if counts[i] > pair.count(int(i)):
-                        pair, left = (*pair, int(i)), left - int(sizes[i])
-                        break
-                else:
-                    break
-            found.append((left, pair))
-    if not found or sizes[largest] > max(sum(int(sizes[i]) for i in p) for _, p in found) or largest not in [p[0] for _, p in found]:
-        found.append((space - int(sizes[largest]), (largest,)))
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    return [p for _, p in found[:width]]
 
+class Completion:
+    """Bin completion on a histogram of lengths.
 
-def completed(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT, width: int = 4) -> list[Pattern]:
-    """Bin completion on a histogram: a plan with as few bins as the search finds.
+    A node takes the largest piece that is left and completes its bin by an undominated filling: no piece that is left
+    could join it, or stand for smaller ones in it. Fillings have any number of pieces, each multiset comes once, least waste first,
+    and are made when they are asked for. A filling is used for as many bins as the pieces allow, or for a half, a quarter and so on
+    down to one. A branch ends when its waste exceeds what any better plan may waste.
 
-    A node takes the largest piece that is left and completes its bin by one of the undominated fillings, for
-    as many bins as the pieces allow. A branch ends when its waste exceeds what any better plan may waste.
-    Best-fit decreasing is the first incumbent; a plan that meets the lower bound ends the search.
+    Branches are taken in the order of limited discrepancy: first the plan of all first choices, then plans that leave
+    them in one place, and so on, so that early choices are revised as well. ``work`` counts the sizes and fillings looked at.
     """
-    sizes = np.array(sorted(counts), np.int64)
-    start = np.array([counts[int(s)] for s in sizes], np.int64)
-    if not len(sizes):
-        return []
-    best = best_fit(counts, capacity)
-    n_best = sum(copies for copies, _ in best)
-    bound = lower_bound(sizes, start, capacity)
-    total = int((sizes * start).sum())
-    left, path, bins, waste, nodes = start.copy(), [], 0, 0, 0
-    stack: list[Iterator] = []
-
-    def branches() -> Iterator:
-        there = np.flatnonzero(left > 0)
-        top = int(there[-1])
-        left[top] -= 1
-        options = fillings(capacity - int(sizes[top]), sizes, left, width)
-        left[top] += 1
-        return iter([(top, *o) for o in options])
-
-    while n_best > bound and nodes < node_limit:
-        if not stack:
-            stack.append(branches())
-        step = next(stack[-1], None)
-        if step is None:
+
+    def __init__(self, counts: dict[int, int], capacity: int, limit: int):
+        self.sizes = sorted(s for s, n in counts.items() if n)
+        self.left = [counts[s] for s in self.sizes]
+        self.capacity, self.limit, self.work, self.cut = capacity, limit, 0, False
+        self.total = sum(s * n for s, n in counts.items())
+        self.plan = best_fit(counts, capacity)
+        self.bins = sum(copies for copies, _ in self.plan)
+
+    def sums_to(self, total: int, there: list[int], reach: list[int], within: int) -> Iterator[Filling]:
+        """Multisets of the first ``within`` sizes of ``there``, which falls, that add up to ``total``.
+
+        The one whose smallest piece is largest comes first, as small pieces fit in more places later on. A branch that cannot
+        be completed is not entered. A filling has few different sizes, so the recursion is shallow.
+        """
+        if not total:
+            yield ()
+            return
+        for k in range(bisect_left(range(within + 1), True, key=lambda k: bool(reach[k] >> total & 1)), within + 1):
+            size = self.sizes[there[k - 1]]
+            self.work += 1
+            for many in range(1, min(self.left[there[k - 1]], total // size) + 1):
+                if reach[k - 1] >> (total - many * size) & 1:
+                    for more in self.sums_to(total - many * size, there, reach, k - 1):
+                        yield ((there[k - 1], many), *more)
+            if self.work >= self.limit:
+                return
+
+    def dominated(self, filling: Filling, waste: int) -> bool:
+        """Whether a piece that is left could join, or stand for one smaller piece or for several, within the bin."""
+        used, several, single = 1, 0, 0
+        for i, many in filling:
+            for _ in range(many):
+                several |= (several | used & ~1) << self.sizes[i]
+                used |= used << self.sizes[i]
+            single |= 1 << self.sizes[i]
+        better = spread(several | 1, waste) | (spread(single << 1, waste - 1) if waste else 0)
+        taken = dict(filling)
+        found = better & self.bits & ~1
+        while found:
+            size = (found & -found).bit_length() - 1
+            i = bisect_right(self.sizes, size) - 1
+            if self.left[i] > taken.get(i, 0):
+                return True
+            found &= found - 1
+        return False
+
+    def fillings(self, space: int, slack: int) -> Iterator[tuple[int, Filling]]:
+        """(waste, filling) of a space; ``slack`` is the most that it may waste."""
+        there = [i for i in range(bisect_right(self.sizes, space) - 1, -1, -1) if self.left[i]]
+        self.work += 1 + len(there)
+        if there and self.sizes[there[0]] == space:  # dominates all others
+            yield 0, ((there[0], 1),)
+            return
+        reach = reachable([self.sizes[i] for i in there], [self.left[i] for i in there], space)
+        for waste in range(min(space, slack) + 1):
+            if reach[-1] >> (space - waste) & 1:
+                for filling in self.sums_to(space - waste, there, reach, len(there)):
+                    self.work += len(filling)
+                    if not self.dominated(filling, waste):
+                        yield waste, filling
+            if self.work >= self.limit:
+                return
+
+    def branches(self, allowed: int, slack: int) -> Iterator[tuple[int, int, int, Filling]]:
+        """(discrepancies, copies, waste, whole bin) of a node, of which at most ``allowed`` discrepancies are left."""
+        top = max(i for i, n in enumerate(self.left) if n)
+        self.left[top] -= 1
+        found = self.fillings(self.capacity - self.sizes[top], slack)
+        for rank in range(allowed + 2):
+            waste, filling = next(found, (0, None))
+            self.left[top] += 1
+            if filling is None:
+                return
+            if rank > allowed:
+                self.cut = True
+                return
+            whole = {**dict(filling), top: dict(filling).get(top, 0) + 1}
+            copies = min(self.left[i] // many for i, many in whole.items())
+            if waste:
+                copies = min(copies, slack // waste)
+            for used in range(rank, allowed + 1):
+                yield used, copies, waste, tuple(whole.items())
+                if copies == 1:
+                    break
+                copies //= 2
+            else:
+                self.cut = True
+            self.left[top] -= 1
+
+    def place(self, copies: int, filling: Filling) -> None:
+        for i, many in filling:
+            self.left[i] -= copies * many
+
+    def dive(self, allowed: int) -> None:
+        """All plans of at most ``allowed`` discrepancies."""
+        path: list[tuple[int, int, int, Filling]] = []
+        bins = waste = spent = 0
+        stack = [self.branches(allowed, (self.bins - 1) * self.capacity - self.total)]
+        while stack and self.work < self.limit:
+            step = next(stack[-1], None)
+            if step is not None:
+                used, copies, lost, filling = step
+                slack = (self.bins - 1) * self.capacity - self.total - waste - copies * lost
+                if slack < 0:  # no better plan wastes as much
+                    continue
+                self.place(copies, filling)
+                if any(self.left):
+                    path.append(step)
+                    bins, waste, spent = bins + copies, waste + copies * lost, spent + used
+                    stack.append(self.branches(allowed - spent, slack))
+                    continue
+                self.bins = bins + copies
+                self.plan = [(c, tuple(self.sizes[i] for i, many in f for _ in range(many))) for _, c, _, f in [*path, step]]
+                self.place(-copies, filling)
+                continue
             stack.pop()
-            if not stack:
+            if path:
+                used, copies, lost, filling = path.pop()
+                self.place(-copies, filling)
+                bins, waste, spent = bins - copies, waste - copies * lost, spent - used
+        for _, copies, _, filling in path:
+            self.place(-copies, filling)
+
+    def best(self) -> list[Pattern]:
+        self.bits = sum(1 << s for s in self.sizes)
+        bound = lower_bound(np.array(self.sizes, np.int64), np.array(self.left, np.int64), self.capacity) if self.sizes else 0
+        allowed = 0
+        while self.bins > bound and self.work < self.limit:
+            self.cut = False
+            self.dive(allowed)
+            if not self.cut:
                 break
-            copies, items, lost = path.pop()
-            np.add.at(left, items, copies)
-            bins, waste = bins - copies, waste - lost
-            continue
-        nodes += 1
-        items = np.array(step)
-        kinds, times = np.unique(items, return_counts=True)
-        copies = int((left[kinds] // times).min())
-        lost = copies * (capacity - int(sizes[items].sum()))
-        if waste + lost > (n_best - 1) * capacity - total:  # no better plan wastes as much
-            continue
-        np.subtract.at(left, items, copies)
-        path.append((copies, items, lost))
-        bins, waste = bins + copies, waste + lost
-        if left.any():
-            stack.append(branches())
-            continue
-        if bins < n_best:
-            n_best, best = bins, [(c, tuple(sizes[i].tolist())) for c, i, _ in path]
-        copies, items, lost = path.pop()
-        np.add.at(left, items, copies)
-        bins, waste = bins - copies, waste - lost
-    return best
+            allowed += 1
+        return self.plan
+
+
+def completed(counts: dict[int, int], capacity: int = CAPACITY, work_limit: int = WORK_LIMIT) -> list[Pattern]:
+    """A plan with as few bins as bin completion finds: best-fit decreasing is the first incumbent, a plan that meets the lower bound
+    ends the search, and so does ``work_limit``."""
+    return Completion(counts, capacity, work_limit).best()
 
 
 def slots(plan: list[Pattern]) -> np.ndarray:
@@ -314,11 +392,11 @@ def slots(plan: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> DataFrame:
+def place(cut: DataFrame, capacity: int = CAPACITY, work_limit: int = WORK_LIMIT) -> DataFrame:
     """Stored ``pieces`` with sequence_id and offset instead of shard and rank."""
     by_shard = cut.groupBy("length", "shard").count()
     counts = {int(r["length"]): int(r["n"]) for r in by_shard.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    table = slots(completed(counts, capacity, node_limit))
+    table = slots(completed(counts, capacity, work_limit))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = by_shard.select("length", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     ranked = cut.join(base, ["length", "shard"]).withColumn("_rank", F.col("rank") + F.col("_base"))
@@ -340,7 +418,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         vocabulary: str | None = None, node_limit: int = NODE_LIMIT, with_ids: bool = False) -> DataFrame:
+         vocabulary: str | None = None, work_limit: int = WORK_LIMIT, with_ids: bool = False) -> DataFrame:
     """One row a piece with its place: sequence_id and offset."""
     cut = stored(pieces(docs, id_col, text_col, capacity, vocabulary, with_ids=with_ids), "pieces")
-    return place(cut, capacity, node_limit)
+    return place(cut, capacity, work_limit)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 from math import log2, log10
 
 import numpy as np
@@ -484,7 +485,7 @@ def test_bin_completion_reaches_the_optimum_where_best_fit_does_not():
     for _ in range(60):
         sizes = sorted((rng.randint(10, 60) for _ in range(11)), reverse=True)
         counts = Counter(sizes)
-        plan = packing.completed(counts, 100, width=8)
+        plan = packing.completed(counts, 100)
         check_plan(counts, plan, 100)
         n, greedy = sum(c for c, _ in plan), sum(c for c, _ in packing.best_fit(counts, 100))
         assert optimum(sizes, 100) <= n <= greedy
@@ -494,6 +495,41 @@ def test_bin_completion_reaches_the_optimum_where_best_fit_does_not():
     check_plan(tight, packing.completed(tight, 100), 100)
 
 
+def test_fillings_are_all_the_undominated_ones_once():
+    rng = random.Random(4)
+    for _ in range(40):
+        counts = Counter(rng.randint(2, 14) for _ in range(8))
+        search = packing.Completion(counts, 40, 10**6)
+        search.bits = sum(1 << s for s in search.sizes)
+        space = rng.randint(5, 25)
+        got = [(w, tuple(sorted(search.sizes[i] for i, n in f for _ in range(n)))) for w, f in search.fillings(space, space)]
+        assert len({f for _, f in got}) == len(got) and [w for w, _ in got] == sorted(w for w, _ in got)
+        pieces = list(counts.elements())
+        feasible = {tuple(sorted(p)) for r in range(len(pieces) + 1) for p in combinations(pieces, r) if sum(p) <= space}
+
+        def beaten(filling):
+            free = list((counts - Counter(filling)).elements())
+            parts = [p for r in range(len(filling) + 1) for p in combinations(filling, r)]
+            return any(sum(p) <= x <= sum(p) + space - sum(filling) and (len(p) != 1 or x > p[0]) for p in parts for x in free)
+
+        if any(f == (space,) for f in feasible):
+            assert got == [(0, (space,))]
+        else:
+            assert {f for _, f in got} == {f for f in feasible if not beaten(f)}
+
+
+def test_known_packings_without_waste_are_missed_by_one_sequence_at_most():
+    for seed in range(3):
+        rng, counts = random.Random(seed), Counter()
+        for _ in range(60):
+            a = rng.randint(778, 1003)
+            b = rng.randint(512, (2048 - a) // 2)
+            counts.update([a, b, 2048 - a - b])
+        plan = packing.completed(counts)
+        check_plan(counts, plan, 2048)
+        assert sum(c for c, _ in packing.best_fit(counts, 2048)) == 70 and sum(c for c, _ in plan) <= 61
+
+
 def test_lower_bound_holds():
     rng = random.Random(1)
     for _ in range(40):
