@@ -3,10 +3,10 @@
 Largest inner product becomes smallest distance by one more coordinate: candidates are lifted to the largest norm, queries
 are scaled to it. Distances are estimated from a few Gaussian projections, which are 2-stable: the squared projected
 distance over the squared distance has a chi-square distribution. A kd-tree over the projections is read leaf by
-leaf in order of projected distance, and the vectors of a leaf are verified; reading stops when a candidate that is nearer
-than the k-th best would lie that far out only with a probability below ``miss``.
+leaf in order of projected distance, and the vectors of those candidates of a leaf are verified for which the test is still open; reading
+stops when a candidate that is nearer than the k-th best would lie that far out only with a probability below ``miss``.
 
-Candidates are dealt out to cells, the leaves of a kd-tree fitted on a bounded sample; all rows are indexed. A query
+Candidates are dealt out to cells, the leaves of a kd-tree fitted on a bounded sample, whose size bounds their number; all rows are indexed. A query
 reads its own cell first, then the cells that its stopping test still leaves open, so cells are searched apart.
 
 No group is unbounded: of equal vectors the k + 1 smallest ids are candidates, as no other can be among k best; a cell
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from forecast_duel.llm.common import hash_share, stored
 from forecast_duel.llm.words import mixed
 
-DIMENSIONS = 8
+DIMENSIONS = 24
 #: Probability of stopping before a given true neighbour is read.
-MISS = 0.3
+MISS = 0.05
 #: Rows that the cells are fitted on, and rows of a cell.
 SAMPLE_ROWS = 20_000
 CELL_ROWS = 20_000
-LEAF_ROWS = 128
+#: Rows of the sample that a cell rests on at least.
+CELL_SAMPLE = 64
+LEAF_ROWS = 512
 
 
 def chi_square_below(x: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -83,12 +85,16 @@ def depth_for(rows: int, leaf: int) -> int:
 
 
 class Cell:
-    """A kd-tree over the projections of one cell's candidates; leaves keep the box of their points."""
+    """A kd-tree over the projections of one cell's candidates; leaves keep the box of their points.
+
+    ``verified`` counts the candidates whose vectors were read, over all queries.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
         leaf = leaf_of(projected, splits(projected, depth_for(len(ids), LEAF_ROWS)))
         order = np.lexsort((ids, leaf))
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.projected = ids[order], vectors[order], projected[order]
+        self.verified = 0
         used, begin = np.unique(leaf[order], return_index=True)
         self.begin = np.r_[begin, len(ids)]
         self.low = np.minimum.reduceat(projected[order], begin, axis=0)
@@ -102,10 +108,14 @@ class Cell:
         ids, scores = np.zeros(0, self.ids.dtype), np.zeros(0)
         for leaf in np.argsort(far, kind="stable"):
             # The lifted distance of an inner product; nothing nearer is likely to lie this far out.
-            if far[leaf] > ratio * max(2.0 * largest**2 - 2.0 * scale * bound, 0.0):
+            limit = ratio * max(2.0 * largest**2 - 2.0 * scale * bound, 0.0)
+            if far[leaf] > limit:
                 break
             b, e = self.begin[leaf], self.begin[leaf + 1]
-            found, score = self.ids[b:e], self.vectors[b:e] @ vector
+            away = self.projected[b:e] - projected
+            near = b + np.flatnonzero(np.einsum("ij,ij->i", away, away) <= limit)
+            self.verified += len(near)
+            found, score = self.ids[near], self.vectors[near] @ vector
             good = (score >= bound) & (found != own)
             if good.any():
                 ids, scores = np.r_[ids, found[good]], np.r_[scores, score[good]]
@@ -140,7 +150,8 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     n, width = size["n"], size["width"] or 1
     largest = float(np.sqrt(size["norm2"] or 1.0))
     directions = np.random.default_rng(7).standard_normal((width + 1, dimensions))
-    ratio, depth = stop_ratio(miss, dimensions), depth_for(n, cell_rows)
+    ratio = stop_ratio(miss, dimensions)
+    depth = min(depth_for(n, cell_rows), int(np.log2(max(1, SAMPLE_ROWS / CELL_SAMPLE))))
 
     def matrix(column: pa.Array) -> np.ndarray:
         if isinstance(column, pa.ChunkedArray):
@@ -190,7 +201,7 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
         F.sum("rows").alias("rows"),
         F.array(*(F.min(F.col("low")[i]) for i in range(dimensions))).alias("low"),
         F.array(*(F.max(F.col("high")[i]) for i in range(dimensions))).alias("high"))
-    # A box a cell: one row for ``cell_rows`` candidates.
+    # A box a cell; the sample bounds their number.
     boxes = limits.toArrow().sort_by("cell")
     cells = boxes.column("cell").to_numpy()
     low = np.array(boxes.column("low").to_pylist()).reshape(-1, dimensions)
@@ -198,10 +209,10 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     parts_of = -(-boxes.column("rows").to_numpy() // cell_rows)
 
     def route(batches):
-        """The nearest cell of each query."""
+        """The cell of each query by the splits; where that one is empty, another one."""
         for batch in batches:
             points = scaled(matrix(batch.column("vector"))) if len(batch) else np.zeros((0, dimensions))
-            home = [cells[int((np.maximum(0.0, np.maximum(low - p, p - high)) ** 2).sum(axis=1).argmin())] for p in points]
+            home = cells[np.minimum(np.searchsorted(cells, leaf_of(points, nodes)), len(cells) - 1)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(home, pa.int64()), batch.column("id"), batch.column("vector"), pa.array(np.full(len(batch), -np.inf))],
                 names=["cell", "id", "vector", "bound"])

@@ -85,6 +85,7 @@ def test_no_group_of_a_search_is_large(spark, monkeypatch):
 
     monkeypatch.setattr(nearest, "Cell", Bounded)
     monkeypatch.setattr(nearest, "SAMPLE_ROWS", 16)  # cells of very different sizes
+    monkeypatch.setattr(nearest, "CELL_SAMPLE", 1)
     rng = np.random.default_rng(5)
     same = rng.normal(size=16).tolist()
     rows = [(i, same if i % 3 == 0 else rng.normal(size=16).tolist()) for i in range(1800)]
@@ -206,3 +207,19 @@ def test_pipeline_takes_nulls_and_empty_tables(spark, docs_of, edges, empty):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, FOLDER), name)
         docs.collect()
+
+
+def test_the_stopping_test_spares_most_vectors():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    directions = rng.standard_normal((64, nearest.DIMENSIONS))
+    cell = nearest.Cell(np.arange(len(x)), x, x @ directions)
+    ratio, hits = nearest.stop_ratio(nearest.MISS), 0
+    for i in range(0, 6000, 120):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        found, got = cell.nearest(i, x[i], x[i] @ directions, 20, ratio, 1.0, -np.inf)
+        assert np.allclose(got, scores[found]) and i not in found
+        hits += len(set(found.tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 50 and cell.verified <= 0.7 * 6000 * 50
