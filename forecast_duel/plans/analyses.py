@@ -28,7 +28,6 @@ ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
 RUN_ANALYSES: dict[str, Callable[[Comparison], DataFrame]] = {
     "previous_runs": lambda c: runs.previous_runs(c.candidates, c.settings),
     "run_changes_by_client": lambda c: runs.run_changes_by_client(c.candidates, c.settings),
-    "sketch_quantiles": lambda c: sketches.sketch_quantiles(stored_sketches(c)),
     "sketch_audit": lambda c: sketches.sketch_audit(c.comparables, stored_sketches(c), c.settings),
 }
 
